@@ -3,7 +3,8 @@
 Features are the presence of words, of pairs of neighbours, of triples and of
 pairs that skip one word, hashed to 2**BITS places. Each coordinate has its own
 rate, and L1 keeps a weight at zero until its evidence is large enough, so a
-model is a short list of places and weights.
+model is a short list of places and weights. Features that only one or two rows
+have are not learnt.
 
 The model is fitted on at most TRAIN_ROWS labelled rows (those with the smallest
 hash of their id; a documented bound), in one task over their hashed features.
@@ -27,8 +28,10 @@ from ledgerweave.llm.arrow import as_bytes, sliced
 from ledgerweave.work import written
 
 #: Places that features are hashed to, and labelled rows that a model is fitted on, at most.
-BITS, TRAIN_ROWS = 18, 12_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.05, 1.0, 1.0, 1.0, 2
+BITS, TRAIN_ROWS = 22, 12_000
+ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 4.0, 0.0, 8
+#: A feature is learnt if so many of the rows have it.
+LEAST_ROWS = 3
 THRESHOLD = 0.7
 #: A task's cache of words; longer words aren't kept.
 CACHE, LONGEST_KEPT = 300_000, 64
@@ -83,7 +86,7 @@ class Model:
         return w
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Model:
+def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least_rows: int = LEAST_ROWS) -> Model:
     """FTRL-proximal over rows in order; the last coordinate is the bias, which has no L1."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -94,6 +97,10 @@ def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: flo
         zs = z[at]
         return np.where(np.abs(zs) <= penalty[at], 0.0, -(zs - np.sign(zs) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
+    seen = np.zeros(1 << bits, np.int32)
+    for x in rows:
+        seen[x] += 1
+    rows = [x[seen[x] >= least_rows] for x in rows]
     for _ in range(epochs):
         for x, y in zip(rows, labels, strict=True):
             at = np.append(x.astype(np.int64), size - 1)

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-Characters are read one after another. The search keeps, for boundaries within
-the longest piece's length, the best path's last piece and score, and the trie
-states of pieces that have begun and may go on. Ids are committed up to the
-boundary at which the backpointer paths of all survivors (the newest boundary
-and the beginnings of open pieces) meet; a text is never held as one lattice.
+Boundaries are worked through one after another: from each that a path reaches,
+pieces go at most the longest piece's length ahead. Only the boundaries between
+the last committed one and the furthest one reached are held, with the best
+path's last piece and score. Ids are committed up to the boundary at which the
+backpointer paths of all survivors meet: at once where no piece goes over a
+boundary, else by stepping back. A text is never held as one lattice.
 
 A unigram model takes the path with the largest sum of scores. For a BPE model
 that would be another segmentation than the model's own, so there the search
@@ -22,7 +23,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -48,17 +50,30 @@ class Vocabulary:
         self.scores = [s for _, s, _ in pieces]
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == 6}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == 2), 0)
+        #: What a character costs that is no piece.
+        self.unlikely = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
-        self.trie: dict = {}
+        #: A node is its piece's id (-1: none) and the nodes below by character.
+        self.trie: list = [-1, {}]
         for p, i in self.ids.items():
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
+        #: Neighbouring characters within pieces; between any others all paths meet.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else p.replace(BLANK, " ").encode() for p, _, t in pieces]
         self.splits = all(BLANK not in p.lstrip(BLANK) and "\n" not in p for p in self.ids)
         self.names = [p for p, _, _ in pieces]
 
+    def forget(self, ids: set[int]) -> None:
+        """Take pieces out of the trie: those that BPE never makes."""
+        for i in ids:
+            node = self.trie
+            for c in self.names[i]:
+                node = node[1][c]
+            node[0] = -1
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2
@@ -72,12 +87,31 @@ class Vocabulary:
         return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type, spec.add_dummy_prefix)
 
 
+class _Words(dict):
+    """Ids of words, boundedly many. A last character that no piece joins to the one before has ids of its own."""
+
+    def __init__(self, make: Callable[[str], bytes], joined: set[str]):
+        super().__init__()
+        self.make, self.joined = make, joined
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > 2 and word[-1] in ".," and word[-2] != " " and word[-2:] not in self.joined:
+            return self[word[:-1]] + self[word[-1]]
+        ids = self.make(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class StreamingEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.words = _Words(self.chunk, vocabulary.joined)
+        self.pairs: dict[int, bool] = {}
+        if vocabulary.kind == BPE:
+            vocabulary.forget({i for p, i in vocabulary.ids.items() if self.merge(p) != [i]})
         self.pattern = re.compile(r" *[^ \n]+| +|\n+")
         self.most_held = 0  # boundaries that waited for a common one, at most
 
@@ -94,92 +128,78 @@ class StreamingEncoder:
                 return [ids.get(p, -1) for p in parts]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def makes(self, piece: int) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merge(self.v.names[piece]) == [piece]
-        return known
-
     def stands(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(self.v.names[left] + self.v.names[right]) == [left, right]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.merge(self.v.names[left] + self.v.names[right]) == [left, right]
         return known
 
-    def stream(self, chars: Iterator[str]) -> Iterator[int]:
+    def stream(self, text: str) -> Iterator[int]:
         """Ids of a run of characters (blanks already marked), as soon as they are certain."""
-        v, bpe = self.v, self.v.kind == BPE
-        trie, scores = v.trie, v.scores
-        done, at = 0, 0  # boundaries committed to, and reached
-        score, piece, back = {0: 0.0}, {0: -1}, {0: 0}
-        opened: list[tuple[int, dict]] = []
-
-        def commit(to: int) -> list[int]:
-            nonlocal done
-            out, b = [], to
-            while b > done:
-                out.append(piece[b])
-                b = back[b]
-            for b in range(done, to):
-                score.pop(b, None), piece.pop(b, None), back.pop(b, None)
-            done = to
+        v, bpe, pairs, root = self.v, self.v.kind == BPE, self.pairs, self.v.trie[1]
+        scores, longest, end = v.scores, v.longest, len(text)
+        at = done = reach = 0  # the boundary that paths go on from, the last one committed to, the furthest one reached
+        # By boundary from `done` on: the last piece of the best path (-1: none, or a character's bytes), its beginning, its score.
+        piece, back, score = {0: -1}, {0: 0}, {0: 0.0}
+
+        def path(to: int) -> list[int]:
+            out = []
+            while to > done:
+                i, begin = piece[to], back[to]
+                out += [i] if i >= 0 else self.unknown(text[begin:to])[::-1]
+                to = begin
             return out[::-1]
 
-        for c in chars:
-            opened.append((at, trie))
-            at += 1
-            going, found = [], None
-            for start, node in opened:
-                node = node.get(c)
-                if node is None:
-                    continue
-                i = node.get("")
-                if i is not None and start in piece:
-                    before = piece[start]
-                    if bpe:
-                        if found is None and self.makes(i) and (before < 0 or self.stands(before, i)):
-                            found = (0.0, i, start)
-                    elif found is None or score[start] + scores[i] > found[0]:
-                        found = (score[start] + scores[i], i, start)
-                if len(node) > (i is not None):
-                    going.append((start, node))
-            opened = going
-            if found is None and not opened:
-                # A character of no piece: every path ends before it, or has it as bytes.
-                if at - 1 in piece:
-                    yield from commit(at - 1)
-                    raw = c.encode()
-                    yield from [v.byte_ids[x] for x in raw] if v.byte_ids else [v.unknown]
-                    done = at
-                    score, piece, back = {at: 0.0}, {at: -1}, {at: at}
-                    continue
-            if found is not None:
-                score[at], piece[at], back[at] = found
-            if not opened:
-                yield from commit(at)
+        while at < end:
+            if at == reach and at > done:  # no piece goes over this boundary: all paths meet here
+                yield from path(at)
+                done, piece, back, score = at, {at: piece[at]}, {at: at}, {at: 0.0}
             elif at - done > LOOK and at % LOOK == 0:
-                meet = {at, *(s for s, _ in opened)} & piece.keys()
+                meet = {b for b in piece if b >= at}
                 while len(meet) > 1:  # the furthest survivor steps back until all are one
                     b = max(meet)
                     meet.discard(b)
-                    meet.add(back[b] if b > done else done)
-                to = next(iter(meet), done)
+                    meet.add(back[b])
+                to = meet.pop()
                 if to > done:
-                    yield from commit(to)
-                self.most_held = max(self.most_held, at - done)
-        yield from commit(at)
+                    yield from path(to)
+                    done = to
+                    piece, back, score = ({b: x for b, x in own.items() if b >= to} for own in (piece, back, score))
+                self.most_held = max(self.most_held, reach - done)
+            before = piece.get(at)
+            if before is None:
+                at += 1
+                continue
+            below, to = root, at
+            for c in text[at : at + longest]:
+                node = below.get(c)
+                if node is None:
+                    break
+                to += 1
+                i, below = node
+                if i < 0:
+                    continue
+                if bpe:
+                    if to not in piece and (before < 0 or (self.stands(before, i) if (known := pairs.get(before << 32 | i)) is None else known)):
+                        piece[to], back[to] = i, at
+                        if to > reach:
+                            reach = to
+                else:
+                    total = score[at] + scores[i]
+                    if to not in piece or total > score[to]:
+                        piece[to], back[to], score[to] = i, at, total
+                        reach = max(reach, to)
+            if at + 1 not in piece and (reach == at or not bpe and (text[at] not in root or root[text[at]][0] < 0)):
+                piece[at + 1], back[at + 1], score[at + 1] = -1, at, score.get(at, 0.0) + v.unlikely
+                reach = max(reach, at + 1)
+            at += 1
+        yield from path(end)
+
+    def unknown(self, char: str) -> list[int]:
+        return [self.v.byte_ids[x] for x in char.encode()] if self.v.byte_ids else [self.v.unknown]
 
     def chunk(self, text: str) -> bytes:
-        known = self.words.get(text)
-        if known is None:
-            known = np.fromiter(self.stream(iter(text.replace(" ", BLANK))), "<u4").tobytes()
-            if len(text) <= LONGEST_KEPT:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[text] = known
-        return known
+        return array("I", self.stream(text.replace(" ", BLANK))).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""
@@ -188,8 +208,7 @@ class StreamingEncoder:
         text = (" " if self.v.dummy_prefix else "") + text.replace(BLANK, " ")
         if not self.v.splits:
             return self.chunk(text)
-        words, chunk = self.words, self.chunk
-        return b"".join([words[w] if w in words else chunk(w) for w in self.pattern.findall(text)])
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
