@@ -13,7 +13,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +29,7 @@ from ledgerweave.llm.arrow import as_bytes, int_lists, sliced
 from ledgerweave.work import new_path
 
 #: Entries of a task's cache of words; it starts anew when full.
-CACHE = 300_000
+CACHE = 500_000
 #: Words longer than this aren't kept.
 LONGEST_KEPT = 64
 #: Texts of these characters are their own NFC form and lower character by character.
@@ -44,11 +46,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    def __init__(self, make: Callable[[object], bytes]):
+    """Ids of words; `ends` has those of single characters that may follow a letter or digit as a word of their own."""
+
+    def __init__(self, make: Callable[[bytes], bytes], ends: dict[int, bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.ends = make, ends
 
-    def __missing__(self, word):
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1] in self.ends and word[-2:-1].isalnum():  # a word and a full stop or comma: no entry of its own
+            return self[word[:-1]] + self.ends[word[-1]]
         ids = self.make(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE:
@@ -78,25 +84,39 @@ class WordEncoder:
         self.added = [x["content"] for x in steps["added_tokens"]]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.pieces, self.words = _Cache(self._piece), _Cache(self._word)
+        self.tokenize = self.library.model.tokenize
+        self.ends = {b: self._letters(bytes([b])) for b in b".,"}
+        self.words = _Cache(self._word, self.ends)
 
-    def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+    def _letters(self, piece: bytes) -> bytes:
+        if not piece.isascii():
+            return array("I", [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
+        return array("I", [t.id for t in self.tokenize(piece.decode())]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._letters(word)
         text = word.decode()
         if PLAIN.fullmatch(text) and not any(a in text for a in self.added):
-            return b"".join([self.pieces[p] for p in self.pattern.findall(text.lower())])
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return b"".join([self._letters(p.encode()) for p in self.pattern.findall(text.lower())])
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if b"<|" not in text:  # else upper-case letters may tell a word from an added token
+            text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker: its tasks share the bounded cache."""
+    return WordEncoder(path)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before, end = WordEncoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encode, part, before, end = encoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for b in sliced(batches):
             ids = [encode(t) + end for t in as_bytes(b["text"])]
             counts = [len(x) // 4 for x in ids]
