@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.arrow import as_bytes, sliced
+from ledgerweave.work import written
 
 #: N-grams in a profile, and documents that a language's profile is fitted on, at most.
-DEPTH, TRAIN_ROWS = 300, 1_500
+DEPTH, TRAIN_ROWS = 300, 1_000
 UNDETERMINED = "und"
+#: The number of a blank in an n-gram; not 0, so that n-grams of different lengths differ.
+BLANK = 1
 
 
 @cache
@@ -42,9 +45,10 @@ def ngrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     codes = letters()[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)]
     codes = np.concatenate([[0], codes, [0]])
     codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]  # one blank between words
+    codes[codes == 0] = BLANK
     two = codes[:-1] << 21 | codes[1:]
-    three = (two[:-1] << 21 | codes[2:])[codes[1:-1] != 0]
-    return np.unique(np.concatenate([codes[codes != 0], two[(two != 0)], three]), return_counts=True)
+    three = (two[:-1] << 21 | codes[2:])[codes[1:-1] != BLANK]
+    return np.unique(np.concatenate([codes[codes != BLANK], two, three]), return_counts=True) if len(codes) > 1 else (codes[:0], codes[:0])
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -86,6 +90,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, depth: int = DEPTH) -> Pr
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")).where("lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % 4 <> 2")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= train_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    chosen = written(chosen, "language-rows")  # a table, so that Spark knows its size and broadcasts it only if small
     rows = rows.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +102,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, depth: int = DEPTH) -> Pr
                     found[lang] = [_added(found[lang])]
         for lang, parts in found.items():
             grams, counts = _added(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= depth)
