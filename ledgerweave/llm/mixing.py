@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
 MOST = 3
 #: Rows of a source in a bucket; residuals that meet in one step of the tree.
-BUCKET_ROWS, FAN = 20_000, 64
+BUCKET_ROWS, FAN = 2_000, 64
 TINY = 1e-9
 
 
