@@ -1 +1,135 @@
+"""Decisions, run states, gates, selection and modes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerweave.operators import rules as R
+from ledgerweave.operators import sampling as S
+from ledgerweave.operators.graph import connected_components
+from ledgerweave.plans.registry import Tables, query
+
+MONEY = "decimal(18,2)"
+CONJUNCTS = ["schema", "dates", "bounds", "duplicates", "totals"]
+
+
+@query("""
+    SELECT CASE WHEN bad > 0 THEN 'NO' WHEN open > 0 THEN 'UNKNOWN' ELSE 'YES' END AS state, count(*) AS orders, count_if(crit > 0) AS critical FROM (
+        SELECT l_orderkey, count_if(l_linenumber = 6 OR CAST(l_discount AS DECIMAL(18,2)) > 0.09) AS bad, count_if(l_linenumber = 7) AS open, count_if(CAST(l_discount AS DECIMAL(18,2)) > 0.09) AS crit FROM lineitem GROUP BY 1) GROUP BY 1""")
+def fold_results(t: Tables):
+    """Rule results of each order folded into one observation."""
+    rules = [
+        R.Rule("line", F.when(F.col("l_linenumber") == 7, R.UNKNOWN).when(F.col("l_linenumber") == 6, R.FAIL).otherwise(R.PASS), R.FIXABLE),
+        R.Rule("bounds", R.cross_field("bounds", F.col("l_discount").cast(MONEY), None, "0.09")),
+    ]
+    out = R.fold(R.apply_rules(t.lineitem, ["l_orderkey"], rules), ["l_orderkey"])
+    return out.groupBy("state").agg(F.count("*").alias("orders"), F.count_if("critical").alias("critical"))
+
+
+def unique_lines(t: Tables):
+    """The least line of those that share an address: a total order makes the pick the same everywhere."""
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_returnflag")).alias("x")
+    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), first).select("l_orderkey", "l_linenumber", "n", "x.*")
+
+
+def decide_lines(t: Tables):
+    line = ["l_orderkey", "l_linenumber"]
+    rows = unique_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    shipped = F.when(F.col("l_linenumber") != 7, F.col("l_shipdate"))
+    rules = [
+        R.Rule("schema", F.when(F.col("l_returnflag").isNull(), R.FAIL).otherwise(R.PASS)),
+        R.Rule("dates", R.cross_field("date_order", shipped, F.col("o_orderdate"), "not_earlier"), R.FIXABLE),
+        R.Rule("bounds", R.cross_field("bounds", F.col("l_discount").cast(MONEY), "0.01", "0.10")),
+        R.Rule("duplicates", F.when(F.col("n") > 1, R.FAIL).otherwise(R.PASS), R.FIXABLE),
+        # Orders whose key ends in 9 declare no control total.
+        R.Rule("totals", F.when(F.col("l_orderkey") % 10 == 9, R.UNKNOWN).otherwise(R.PASS)),
+    ]
+    seen = R.fold(R.apply_rules(rows, line, rules), [*line, "rule_id"]).withColumnRenamed("rule_id", "conjunct")
+    return R.decide(rows, seen, line, CONJUNCTS)
+
+
+LINES = """
+    WITH d AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(struct_pack(a := l_partkey, b := l_suppkey, c := l_shipdate, d := l_discount)) AS x FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT l_orderkey, l_linenumber, CAST(x.d AS DECIMAL(18,2)) NOT BETWEEN 0.01 AND 0.10 AS bad, l_linenumber = 7 OR x.c < o_orderdate AS undated, n > 1 AS twice, l_orderkey % 10 = 9 AS open FROM d JOIN orders ON o_orderkey = l_orderkey),
+    r AS (SELECT l_orderkey, l_linenumber, CAST(bad AS INT) + CAST(undated AS INT) + CAST(twice AS INT) + CAST(open AS INT) AS unmet, CASE WHEN bad THEN 'rejected' WHEN undated OR twice OR open THEN 'review' ELSE 'accepted_auto' END AS status FROM c)
+"""
+
+
+@query(LINES + "SELECT l_orderkey, l_linenumber, status, CASE status WHEN 'rejected' THEN 'REJECTED' WHEN 'review' THEN 'REVIEW' ELSE 'DATA' END AS sheet, CAST(unmet AS BIGINT) AS unmet FROM r")
+def decide_records(t: Tables):
+    return decide_lines(t).select("l_orderkey", "l_linenumber", "status", "sheet", "unmet")
+
+
+@query(LINES + """SELECT o_orderpriority AS priority, count(*) AS records, count_if(status = 'accepted_auto') AS data, count_if(status = 'review') AS review, count_if(status = 'rejected') AS rejected,
+    count_if(status = 'accepted_auto') / count(*) AS automation FROM r JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def decision_summary(t: Tables):
+    rows = decide_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("priority")), "l_orderkey")
+    return R.decision_summary(rows, ["priority"])
+
+
+@query(LINES + """SELECT l_orderkey, CASE WHEN l_orderkey % 40 = 1 THEN 'blocked' WHEN l_orderkey % 40 = 2 THEN 'failed' WHEN count_if(status = 'review') > 0 THEN 'partial' ELSE 'completed' END AS run_state FROM r GROUP BY 1""")
+def run_state(t: Tables):
+    k = F.col("l_orderkey") % 40
+    return R.run_state(decide_lines(t), ["l_orderkey"], k == 1, k == 2)
+
+
+@query(LINES + """, g AS (SELECT l_orderkey % 300 AS batch, count_if(status = 'review') > 0 AS open, count_if(status = 'accepted_auto') = 0 AS none, bool_and(l_orderkey % 7 <> 0) AS totals FROM r WHERE l_orderkey % 10 <> 9 AND unmet < 2 AND l_linenumber < 3 GROUP BY 1)
+    SELECT batch, CASE WHEN NOT open AND NOT none AND totals THEN 'open' ELSE 'closed' END AS gate, CAST(CAST(open AS INT) + CAST(none AS INT) + CAST(NOT totals AS INT) AS BIGINT) AS unmet FROM g""")
+def release_gate(t: Tables):
+    rows = decide_lines(t).where("l_orderkey % 10 <> 9 AND unmet < 2 AND l_linenumber < 3").withColumn("batch", F.col("l_orderkey") % 300).withColumn("totals_ok", F.col("l_orderkey") % 7 != 0)
+    return R.release_gate(rows, ["batch"])
+
+
+@query("""
+    WITH d AS (SELECT doc_id, n_chars < 300 AS short, lang = 'es' AS es, substr(sha256('seed-1|' || doc_id), 1, 16) AS k FROM documents),
+    f AS (SELECT doc_id, row_number() OVER (ORDER BY k, doc_id) AS n FROM d WHERE NOT short AND NOT es)
+    SELECT doc_id, CASE WHEN short AND es THEN 'short,language' WHEN short THEN 'short' ELSE 'language' END AS reasons FROM d WHERE short OR es
+    UNION ALL SELECT doc_id, 'random' FROM f WHERE n <= (SELECT ceil(count(*) * 0.05) FROM documents)""")
+def seeded_sample(t: Tables):
+    """Every document with a trigger, and a seeded twentieth of all from the others."""
+    rows = t.documents.select("doc_id", S.triggers({"short": F.col("n_chars") < 300, "language": F.col("lang") == "es"}).alias("reasons"))
+    return S.select_for_recheck(rows, "doc_id", "stable", 0.05, "seed-1").select("doc_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("""
+    WITH m AS (SELECT source, count(*) AS observations, sum(1 - quality) AS errors FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    g AS (SELECT source, observations, CAST(errors AS BIGINT) AS errors, CASE WHEN source = 'src3' THEN 'version' WHEN 3.0 / observations > 0.2 THEN 'rule_of_three' WHEN CAST(errors AS DOUBLE) / observations > 0.2 THEN 'error_share' ELSE 'open' END AS gate FROM m)
+    SELECT *, CASE WHEN source = 'src0' THEN 'high_risk' WHEN gate = 'open' THEN 'stable' ELSE 'calibration' END AS mode FROM g""")
+def mode_gate(t: Tables):
+    rows = t.documents.join(t.labels, "doc_id").groupBy("source").agg(F.count("*").alias("observations"), F.sum(1 - F.col("quality")).cast("long").alias("errors")).withColumn("same_version", F.col("source") != "src3")
+    return S.choose_mode(S.gate(rows, ["source"], 0.2), F.col("source") == "src0", F.lit(False))
+
+
+CLUSTERS = """
+    WITH RECURSIVE l AS (SELECT c_custkey AS a, s_suppkey + 1000000000 AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 97 = s_suppkey % 97),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+    SELECT node, min(reach) AS component FROM r GROUP BY node"""
+
+
+def _links(t: Tables):
+    c = t.customer.select("c_custkey", "c_nationkey", (F.col("c_custkey") % 97).alias("k"))
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_suppkey") % 97).alias("k"))
+    return c.join(s, ["c_nationkey", "k"]).select(F.col("c_custkey").alias("a"), (F.col("s_suppkey") + 1_000_000_000).alias("b"))
+
+
+@query(CLUSTERS)
+def cluster_sources(t: Tables):
+    """Sources linked by an owner: here customers and suppliers of one nation whose keys agree mod 97."""
+    return connected_components(_links(t))
+
+
+@query()
+def corpus_split(t: Tables):
+    clusters = connected_components(_links(t)).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    return S.split_corpus(clusters, "seed-1")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark),
+    h AS (SELECT item_id, sha256(trim(line)) AS h FROM b WHERE length(trim(line)) >= 20)
+    SELECT DISTINCT item_id FROM h WHERE h IN (SELECT sha256(trim(line)) FROM d)""")
+def leakage_check(t: Tables):
+    """Items of the closed set of which a line has been seen."""
+    line = lambda d, key: d.select(key, F.explode(F.split("text", "\n")).alias("line")).withColumn("h", F.sha2(F.trim("line"), 256))
+    closed = line(t.benchmark, "item_id").where(F.char_length(F.trim("line")) >= 20)
+    return S.leaked(line(t.documents, "doc_id"), closed, "h").select("item_id").distinct()

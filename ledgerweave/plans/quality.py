@@ -1 +1,131 @@
+"""Quality of the results: metrics, segments, percentiles, cost, drift, labour, markup."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ledgerweave.operators import compare as C
+from ledgerweave.operators import quality as Q
+from ledgerweave.plans.registry import Tables, query
+
+LABELLED = """
+    WITH o AS (SELECT d.doc_id, d.source, d.lang, CASE WHEN n_chars > 4000 THEN 'rejected' WHEN n_chars < 600 THEN 'review' ELSE 'accepted_auto' END AS status, n_chars >= 100 AS eligible,
+        CASE WHEN n_chars < 250 THEN 0 ELSE 1 END AS p, CASE WHEN l.doc_id % 9 = 0 THEN NULL ELSE l.quality END AS g FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+    k AS (SELECT *, p = g AS correct FROM o),
+    s AS (SELECT *, 'all' AS segment, 'all' AS value FROM k UNION ALL SELECT *, 'lang', lang FROM k UNION ALL SELECT *, 'source', source FROM k),
+    m AS (SELECT segment, value, count(*) AS records, count(DISTINCT source) AS sources,
+        CASE WHEN count_if(status = 'accepted_auto' AND correct IS NOT NULL) > 0 THEN count_if(coalesce(status = 'accepted_auto' AND NOT correct, false)) / count_if(status = 'accepted_auto' AND correct IS NOT NULL) END AS far,
+        CASE WHEN count_if(eligible) > 0 THEN count_if(coalesce(eligible AND status = 'accepted_auto' AND correct, false)) / count_if(eligible) END AS automation,
+        count_if(status = 'review') / count(*) AS review_load,
+        CASE WHEN count(correct) > 0 THEN count_if(coalesce(NOT correct, false)) / count(correct) END AS field_error,
+        CASE WHEN count_if(status = 'review' AND correct IS NOT NULL) > 0 THEN count_if(coalesce(status = 'review' AND correct, false)) / count_if(status = 'review' AND correct IS NOT NULL) END AS false_alarm,
+        CASE WHEN count_if(coalesce(status = 'accepted_auto' AND NOT correct, false)) = 0 THEN 3.0::DOUBLE / count(DISTINCT source) END AS rule_of_three FROM s GROUP BY ALL)
+"""
+
+
+def _measured(t: Tables):
+    n = F.col("n_chars")
+    status = F.when(n > 4000, "rejected").when(n < 600, "review").otherwise("accepted_auto")
+    seen = t.documents.select("doc_id", "source", "lang", status.alias("status"), (n >= 100).alias("eligible"), F.when(n < 250, 0).otherwise(1).alias("quality"))
+    gold = t.labels.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("quality")).alias("quality"))
+    rows = Q.by_segments(Q.compare_with_gold(seen, gold, ["doc_id"], ["quality"]), ["lang", "source"])
+    return Q.metrics(rows, ["segment", "value"], 1, "source")
+
+
+@query(LABELLED + "SELECT * FROM m")
+def bench_nine_metrics(t: Tables):
+    """The metrics over all and over each segment in one aggregation; documents are predicted by length, labels are gold."""
+    return _measured(t)
+
+
+@query(LABELLED + "SELECT segment, value, far FROM m WHERE segment <> 'all' AND far IS NOT NULL ORDER BY far DESC, segment, value LIMIT 1")
+def bench_segments_weakest(t: Tables):
+    return Q.weakest(_measured(t), "far").select("segment", "value", "far")
+
+
+@query(LABELLED + "SELECT segment, value, concat_ws(',', CASE WHEN far IS NULL OR far > 0.1 THEN 'far' END, CASE WHEN automation IS NULL OR automation < 0.2 THEN 'automation' END) AS unmet FROM m")
+def admission_checklist(t: Tables):
+    return Q.admission(_measured(t), {"far": ("most", 0.1), "automation": ("least", 0.2)}).select("segment", "value", F.concat_ws(",", "unmet").alias("unmet"))
+
+
+@query("""
+    SELECT event_type, count(*) AS n, CAST(quantile_disc(value, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p95 FROM events GROUP BY 1""")
+def latency_percentiles(t: Tables):
+    return Q.percentiles(t.events, ["event_type"], "value")
+
+
+@query("""
+    WITH c AS (SELECT role, conv_id, CAST(length(text) AS DECIMAL(18,2)) AS chars FROM conversations)
+    SELECT role, count(DISTINCT conv_id) AS documents, CAST(sum(chars * 0.01 + 0.5 + chars * 0.02) AS DOUBLE) AS total, CAST(sum(chars * 0.01 + 0.5 + chars * 0.02) AS DOUBLE) / count(DISTINCT conv_id) AS cost FROM c GROUP BY 1""")
+def cost_per_document(t: Tables):
+    chars = F.char_length("text").cast("decimal(18,2)")
+    price = lambda x: F.lit(x).cast("decimal(4,2)")
+    rows = t.conversations.select("role", F.col("conv_id").alias("document"), (chars * price("0.01")).alias("compute"), price("0.50").alias("api"), price("0.00").alias("storage"), chars.alias("minutes"), price("0.02").alias("minute_price"))
+    return Q.full_cost(rows, ["role"]).withColumn("total", F.col("total").cast("double"))
+
+
+@query("""
+    WITH f AS (SELECT lang, source, count(*) AS n, avg(CAST(n_chars < 1000 AS INT)) AS short, min(n_chars) / 100000 AS edge, max(lang) AS s FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1, 2),
+    a AS (SELECT * FROM f WHERE source = 'src1'), b AS (SELECT * FROM f WHERE source = 'src2')
+    SELECT coalesce(a.lang, b.lang) AS lang, CASE WHEN a.lang IS NULL OR b.lang IS NULL THEN 'different form' WHEN abs(a.short - b.short) > 0.1 OR abs(a.edge - b.edge) > 0.01 THEN 'drift' ELSE 'same' END AS verdict FROM a FULL JOIN b ON a.lang = b.lang""")
+def form_drift(t: Tables):
+    """Snapshots of a form (here a language) from two sources, compared by name."""
+    snap = t.documents.where(F.col("source").isin("src1", "src2")).groupBy("lang", "source").agg(F.avg((F.col("n_chars") < 1000).cast("int")).alias("short"), (F.min("n_chars") / 100000).alias("edge"), F.max("lang").alias("s"))
+    return C.drift(snap.where("source = 'src1'"), snap.where("source = 'src2'"), "lang", ["short"], ["edge"], ["s"])
+
+
+@query("""
+    WITH e AS (SELECT event_type, event_id, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS s, CASE WHEN event_id % 4 = 0 THEN 3 ELSE 1 END AS r FROM events)
+    SELECT event_type AS kind, count_if(r = 1) AS single, count_if(r > 1) AS grouped, CAST(sum(r) AS BIGINT) AS records, CAST(sum(CASE WHEN r = 1 THEN s END) AS DOUBLE) / count_if(r = 1) AS seconds_per_record FROM e GROUP BY 1""")
+def labour_by_kind(t: Tables):
+    """Time between a user's events as an operator's time for a decision."""
+    second = F.date_trunc("second", F.col("ts")).cast("timestamp").cast("long")
+    took = second - F.lag(second).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = t.events.select(F.col("event_type").alias("kind"), took.alias("seconds"), F.when(F.col("event_id") % 4 == 0, 3).otherwise(1).alias("records"))
+    return Q.labour(rows, ["kind"])
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT o_orderpriority AS kind, o_orderkey AS r FROM orders WHERE o_totalprice < 100000 OR o_orderkey % 7 = 0),
+    n AS (SELECT kind, r, row_number() OVER (PARTITION BY kind ORDER BY r) - 1 AS pos, count(*) OVER (PARTITION BY kind) AS records FROM d),
+    f AS (SELECT kind, string_agg(f, ',' ORDER BY f) AS fields FROM (SELECT DISTINCT o_orderpriority AS kind, unnest([CASE WHEN o_totalprice < 100000 THEN 'amount' END, CASE WHEN o_orderkey % 7 = 0 THEN 'date' END]) AS f FROM orders) WHERE f IS NOT NULL GROUP BY 1)
+    SELECT n.kind, records, max(CASE WHEN pos = 0 THEN r END) AS first, max(CASE WHEN pos = records // 2 THEN r END) AS middle, max(CASE WHEN pos = records - 1 THEN r END) AS last, fields FROM n JOIN f ON f.kind = n.kind GROUP BY ALL""")
+def doubt_groups(t: Tables):
+    fields = F.array_compact(F.array(F.when(F.col("o_totalprice") < 100000, "amount"), F.when(F.col("o_orderkey") % 7 == 0, "date")))
+    rows = t.orders.select(F.col("o_orderpriority").alias("kind"), "o_orderkey", F.explode(fields).alias("field"))
+    return Q.doubt_groups(rows, "kind", "o_orderkey", "field").withColumn("fields", F.concat_ws(",", "fields"))
+
+
+@query("""
+    WITH a AS (SELECT doc_id, quality AS q, toxic AS x FROM labels WHERE doc_id % 31 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS q, CASE WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END AS x FROM labels WHERE doc_id % 37 <> 0)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id,
+        CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN NULL WHEN a.q = b.q THEN CAST(a.q AS VARCHAR) WHEN a.doc_id % 2 = 0 THEN CAST(b.q AS VARCHAR) ELSE CAST(a.q AS VARCHAR) END AS quality,
+        CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN NULL ELSE CAST(a.x AS VARCHAR) END AS toxic,
+        a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.x = b.x AND (a.q = b.q OR a.doc_id % 2 = 0) AS accepted FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def annotators_reconcile(t: Tables):
+    """Two annotators and a third who settles some of their differences; what stays open rejects the row."""
+    a = t.labels.where("doc_id % 31 <> 0")
+    flip = lambda c, k: F.when(F.col("doc_id") % k == 0, 1 - F.col(c)).otherwise(F.col(c)).alias(c)
+    b = t.labels.where("doc_id % 37 <> 0").select("doc_id", flip("quality", 5), flip("toxic", 7))
+    told = b.where("doc_id % 2 = 0").select("doc_id", F.lit("quality").alias("field"), F.col("quality").cast("string").alias("value"))
+    return C.gold(a, b, told, ["doc_id"], ["quality", "toxic"])
+
+
+@query("""
+    WITH a AS (SELECT doc_id, quality AS q FROM labels WHERE doc_id % 31 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS q FROM labels WHERE doc_id % 37 <> 0)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN 'UNKNOWN' WHEN a.q = b.q THEN 'PASS' ELSE 'FAIL' END AS status, a.q AS first_value, b.q AS second_value FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def readings_matched(t: Tables):
+    """Two independent readings by address."""
+    b = t.labels.where("doc_id % 37 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"))
+    return C.match_readings(t.labels.where("doc_id % 31 <> 0"), b, ["doc_id"], "quality")
+
+
+@query("""
+    WITH b AS (SELECT lang, n_chars // 1000 AS k FROM documents WHERE doc_id % 10 <> 3), a AS (SELECT lang, n_chars // 1000 AS k FROM documents WHERE doc_id % 10 <> 4),
+    n AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, k, 1 AS n FROM b UNION ALL SELECT lang, k, -1 FROM a) GROUP BY 1, 2)
+    SELECT lang, k, CASE WHEN n > 0 THEN 'before' ELSE 'after' END AS side, CAST(abs(n) AS BIGINT) AS times FROM n WHERE n <> 0""")
+def preserved_payloads(t: Tables):
+    """Multisets of payloads before and after a migration: what was lost, what was added."""
+    rows = t.documents.select("doc_id", "lang", F.expr("n_chars div 1000").alias("k"))
+    return C.multiset_diff(rows.where("doc_id % 10 <> 3").drop("doc_id"), rows.where("doc_id % 10 <> 4").drop("doc_id"))
