@@ -74,6 +74,22 @@ def queries() -> dict:
 
 
 ORACLE = {
+    "op1_chat_formatting": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        f AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS last,
+                     CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+                     CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 16 WHEN 'assistant' THEN 12 ELSE 9 + 6 + 4 + length(regexp_replace(role, '(\\\\|\\[/INST\\]|<</SYS>>|\\[INST\\]|\\[NAME\\]|\\[ROLE\\]|<<SYS>>|\\[ANS\\]|</s>|<s>)', 'x\\1', 'g')) END
+                     + length(regexp_replace(text, '(\\\\|<s>\\[INST\\]|<s>\\[ROLE\\]|<s>\\[ANS\\]|<</SYS>>|\\[/INST\\]|<<SYS>>|\\[INST\\]|\\[NAME\\]|\\[ROLE\\]|\\[ANS\\]|</s>|<s>)', 'x\\1', 'g')) AS chars FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+               count_if(NOT ((last = '' AND role IN ('system', 'user')) OR (last IN ('system', 'assistant') AND role = 'user') OR (last = 'user' AND role = 'assistant'))) AS turns_out_of_order
+        FROM f GROUP BY conv_id""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        g AS (SELECT page_id, strlen(h) AS payload_bytes, d, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+        b AS (SELECT page_id, payload_bytes, first, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(d, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest FROM g)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
