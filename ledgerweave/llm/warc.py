@@ -169,12 +169,14 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, captured_at
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     html = F.coalesce(pages["html"], F.lit(""))
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("same"))
-    ids = rows.where("same IS NOT NULL").select("page_id", "same")
-    many = ids.groupBy("same").agg(F.min("page_id").alias("first_id"), F.count("*").alias("many")).where("many > 1")
-    pairs = ids.join(many, "same").select(F.col("page_id").alias("of"), F.col("same").alias("key"), "first_id", "many").distinct()
-    told = rows.join(pairs, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("key")), "left").select("page_id", "url", "html", F.when(F.col("many").isNotNull(), F.col("same")).alias("same"), "first_id")
-    placed = told.repartition("page_id").sortWithinPartitions("page_id", "same", "url")
+    place = F.coalesce(pages["page_id"].cast("long"), F.lit(-(2**63)))
+    rows = pages.select(place.alias("place"), pages["page_id"].cast("long").alias("page_id"), pages["url"], html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("same"))
+    ids = rows.where("same IS NOT NULL").select("place", "page_id", "same")
+    many = ids.groupBy("same").agg(F.min("page_id").alias("first_id"), F.count("*").alias("many")).where("many > 1").select("same", "first_id")
+    pairs = ids.join(many, "same").select(F.col("place").alias("of"), F.col("same").alias("key"), "first_id").distinct()
+    # Payloads are dealt out once, by page; the join keeps to that, so the rest of its condition isn't an equality.
+    placed = rows.repartition("place").join(pairs, (F.col("place") == F.col("of")) & F.col("same").between(F.col("key"), F.col("key")), "left")
+    placed = placed.select("page_id", "url", "html", F.col("key").alias("same"), "first_id").sortWithinPartitions("page_id", "same", "url")
     return written(placed.mapInArrow(_writer(folder, captured_at), INDEX), "warc-index")
 
 
