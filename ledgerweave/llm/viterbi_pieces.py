@@ -35,7 +35,7 @@ from ledgerweave.llm.arrow import as_bytes, int_lists, sliced
 
 BLANK = "▁"
 #: Entries of a task's caches of words and of pairs; longer words aren't kept.
-CACHE, PAIRS, LONGEST_KEPT = 300_000, 1_000_000, 64
+CACHE, PAIRS, LONGEST_KEPT = 800_000, 1_000_000, 64
 #: Characters between looks for a boundary where all paths meet, while pieces stay open.
 LOOK = 64
 UNIGRAM, BPE = 1, 2
@@ -198,8 +198,39 @@ class StreamingEncoder:
     def unknown(self, char: str) -> list[int]:
         return [self.v.byte_ids[x] for x in char.encode()] if self.v.byte_ids else [self.v.unknown]
 
+    def within_window(self, text: str) -> list[int]:
+        """The same search for a BPE word so short that it is committed at its end."""
+        root, longest, pairs, end = self.v.trie[1], self.v.longest, self.pairs, len(text)
+        piece: list[int | None] = [None] * (end + 1)
+        back, reach, piece[0] = [0] * (end + 1), 0, -1
+        for at in range(end):
+            before = piece[at]
+            if before is None:
+                continue
+            below, to = root, at
+            for c in text[at : at + longest]:
+                node = below.get(c)
+                if node is None:
+                    break
+                to += 1
+                i, below = node
+                if i >= 0 and piece[to] is None and (before < 0 or (self.stands(before, i) if (known := pairs.get(before << 32 | i)) is None else known)):
+                    piece[to], back[to] = i, at
+                    if to > reach:
+                        reach = to
+            if reach == at:
+                piece[at + 1], back[at + 1], reach = -1, at, at + 1
+        out: list[int] = []
+        while end:
+            i, begin = piece[end], back[end]
+            out += [i] if i >= 0 else self.unknown(text[begin:end])[::-1]
+            end = begin
+        out.reverse()
+        return out
+
     def chunk(self, text: str) -> bytes:
-        return array("I", self.stream(text.replace(" ", BLANK))).tobytes()
+        text = text.replace(" ", BLANK)
+        return array("I", self.within_window(text) if self.v.kind == BPE and len(text) <= LOOK else self.stream(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""

@@ -223,6 +223,8 @@ def test_sentencepiece(spark, docs, odd, none):
     for t in TEXTS:
         ids = np.frombuffer(coder.encode(t), "<u4").tolist()
         assert ids == library.encode(t), t
+        if t:
+            assert list(coder.stream(("▁" + t).replace(" ", "▁"))) == ids  # one run, committed as it goes
         assert coder.decode(coder.encode(t)) == t.replace("▁", " ")
     long = "".join(random.Random(3).choice("abcdeinorst") for _ in range(5000))
     assert np.frombuffer(coder.encode(long), "<u4").tolist() == library.encode(long)
