@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Blanks that may separate groups of digits.
 GROUP_BLANKS = (" ", " ", " ", " ")
@@ -113,13 +114,13 @@ def ambiguous_date(raw: Column) -> Column:
     return F.coalesce((parts[0] <= 12) & (parts[1] <= 12) & (parts[0] != parts[1]), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no function for it."""
     return text.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 

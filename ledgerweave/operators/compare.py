@@ -31,7 +31,7 @@ def disagreements(first: DataFrame, second: DataFrame, keys: list[str], fields:
     side = lambda c: F.when(c.isNotNull(), "present").otherwise("absent")
     differ = F.array_compact(F.array(*(F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), cell(c, F.col(f"a_{c}"), F.col(f"b_{c}"))) for c in fields)))
     found = F.when(one_sided, F.array(cell(None, side(F.col("in_a")), side(F.col("in_b"))))).otherwise(differ)
-    return both.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")
+    return both.select(*keys, F.explode(found).alias("__cell")).select(*keys, "__cell.*")
 
 
 def gold(first: DataFrame, second: DataFrame, resolutions: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

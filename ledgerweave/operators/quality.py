@@ -117,7 +117,7 @@ def template_drift(current: DataFrame, admitted: DataFrame, keys: list[str], nam
     """(keys, metric, change): metrics of a template against its admitted version."""
     a, b = current.select(*keys, *(F.col(c).alias(f"now_{c}") for c in names)), admitted.select(*keys, *(F.col(c).alias(f"was_{c}") for c in names))
     cells = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(f"now_{c}") - F.col(f"was_{c}")).alias("change")) for c in names))
-    return a.join(b, keys).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    return a.join(b, keys).select(*keys, F.explode(cells).alias("__cell")).select(*keys, "__cell.*")
 
 
 def doubt_groups(doubts: DataFrame, kind: str, record: str, field: str) -> DataFrame:

@@ -28,7 +28,7 @@ class Rule:
 def apply_rules(records: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
     """(keys, rule_id, status, severity), one row for each record and rule; the input is scanned once."""
     results = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), r.status.alias("status"), F.lit(r.severity).alias("severity")) for r in rules))
-    return records.select(*keys, F.explode(results).alias("r")).select(*keys, "r.*").where("status IS NOT NULL")
+    return records.select(*keys, F.explode(results).alias("__rule")).select(*keys, "__rule.*").where("status IS NOT NULL")
 
 
 # The closed set of cross-field rules. A reference value that is missing makes UNKNOWN.
@@ -96,7 +96,10 @@ def schema_check(fields: DataFrame, spec: DataFrame, records: DataFrame, keys: l
     spec doesn't name fail. A precision is never cut to fit.
     """
     f, s = fields.alias("f"), F.broadcast(spec).alias("s")
-    wanted = records.select(*keys).crossJoin(F.broadcast(spec))  # records x the spec's few fields
+    # The spec is a declared list of fields: it becomes an array of constants, so that no join is needed.
+    lit = lambda r, c: (F.array(*map(F.lit, r[c])) if isinstance(r[c], list) else F.lit(r[c])).cast(spec.schema[c].dataType).alias(c)
+    declared = F.array(*(F.struct(*(lit(r, c) for c in spec.columns)) for r in spec.collect()))
+    wanted = records.select(*keys, F.explode(declared).alias("__spec")).select(*keys, "__spec.*")
     got = wanted.join(fields.withColumnRenamed("kind", "found"), [*keys, "field"], "left").withColumn("present", F.col("raw").isNotNull() | F.col("refusal").isNotNull() | F.col("found").isNotNull())
     empty = F.col("present") & (F.coalesce(F.trim("raw"), F.lit("")) == "")
     unread = F.col("present") & ~empty & F.col("refusal").isNotNull()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,22 +56,32 @@ PARTS = {"development": 0.6, "check": 0.2, "closed": 0.2}
 def split_corpus(clusters: DataFrame, seed: str, parts: dict[str, float] = PARTS) -> DataFrame:
     """(cluster, part): each cluster whole to the part that lacks most; clusters in a hashed order.
 
-    A fold over clusters, each depending on all before: it runs on one row for
-    each cluster of sources, gathered in hashed order. clusters: cluster, size.
+    Every choice depends on all before it, so one task streams the clusters'
+    sizes in that order and holds one sum for each part. clusters: cluster, size.
     Fewer clusters than parts, or an empty closed part, is an error.
     """
-    rows = [(r["cluster"], int(r["size"])) for r in clusters.select("cluster", "size").collect()]
-    if len(rows) < len(parts):
+    n, total = clusters.agg(F.count("*"), F.sum("size")).first()
+    if n < len(parts):
         raise ValueError("fewer clusters than parts")
-    total, names, filled, out = sum(n for _, n in rows), list(parts), dict.fromkeys(parts, 0), []
-    for cluster, size in sorted(rows, key=lambda r: hashlib.sha256("".join(sorted((seed, str(r[0])))).encode()).hexdigest()):
-        part = min(names, key=lambda p: (filled[p] - parts[p] * total, names.index(p)))
-        filled[part] += size
-        out.append((cluster, part))
-    if not filled[names[-1]]:
+    names, kind = list(parts), clusters.schema["cluster"].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filled = dict.fromkeys(names, 0)
+        for b in batches:
+            out = []
+            for size in b["size"]:
+                part = min(names, key=lambda p: (filled[p] - parts[p] * total, names.index(p)))
+                filled[part] += int(size)
+                out.append(part)
+            yield pd.DataFrame({"cluster": b["cluster"], "part": out})
+
+    # The hash is of the seed and the cluster's key in order of their text, as one string.
+    name = F.col("cluster").cast("string")
+    order = F.sha2(F.concat(F.least(F.lit(seed), name), F.greatest(F.lit(seed), name)), 256)
+    told = clusters.select("cluster", "size", order.alias("order")).repartition(1).sortWithinPartitions("order", "cluster").select("cluster", "size").mapInPandas(fold, f"cluster {kind}, part string")
+    if not told.where(F.col("part") == names[-1]).limit(1).count():
         raise ValueError("the closed part is empty")
-    kind = clusters.schema["cluster"].dataType.simpleString()
-    return clusters.sparkSession.createDataFrame(out, f"cluster {kind}, part string")
+    return told
 
 
 def leaked(seen: DataFrame, closed: DataFrame, key: str) -> DataFrame:

@@ -120,7 +120,9 @@ def cluster_sources(t: Tables):
 
 @query()
 def corpus_split(t: Tables):
-    clusters = connected_components(_links(t)).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    """Customers linked through their nation, each cluster whole to one part."""
+    links = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1_000_000_000).cast("long").alias("b"))
+    clusters = connected_components(links).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
     return S.split_corpus(clusters, "seed-1")
 
 
