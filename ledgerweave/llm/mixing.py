@@ -170,17 +170,17 @@ def mix_documents(docs: DataFrame, seed: int = 42, text: str = "text", key: str
 
 def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
-    size = "__size"
+    size = "__lw_size"
     inner = docs.mapInArrow(_with_size(docs.columns), T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())]))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size))
-    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
-    told = inner.withColumn("__own", nth.cast("long")).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__nth")))
-    return told.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(F.col("doc_id").alias("__lw_id"), F.col("nth").alias("__lw_nth"), F.col("copies").alias("__lw_copies"))
+    told = inner.withColumn("__lw_own", nth.cast("long")).join(plan, F.col("doc_id").eqNullSafe(F.col("__lw_id")) & (F.col("__lw_own") == F.col("__lw_nth")))
+    return told.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.col("__lw_copies").cast("int")))).select(*docs.columns)
 
 
 def _with_size(columns: list[str]):
     def run(batches):
         for b in batches:
-            yield batch({c: b[c] for c in columns} | {"__size": word_counts(b["text"])})
+            yield batch({c: b[c] for c in columns} | {"__lw_size": word_counts(b["text"])})
 
     return run

@@ -234,14 +234,14 @@ def drop_near_copies(docs: DataFrame, near: int = NEAR) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             fp = np.array([fingerprint(t) for t in as_bytes(b["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(fp)], [*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(fp)], [*names, "__lw_fp"])
 
-    staged = written(docs.mapInArrow(run, f"{kinds}, __fp long"), "near-rows")
-    rows = staged.select("doc_id", F.col("__fp").alias("fp"))
+    staged = written(docs.mapInArrow(run, f"{kinds}, __lw_fp long"), "near-rows")
+    rows = staged.select("doc_id", F.col("__lw_fp").alias("fp"))
     named = components(rows, near).where("component_id IS NOT NULL OR fp = keep_fp")
-    kept = rows.join(named, "fp").where("doc_id <=> component_id AND fp = keep_fp").groupBy("doc_id", "fp").agg(F.count("*").alias("many"))
-    kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept"), "many"), "near-kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
-    once = staged.join(kept.where("many = 1"), same, "left_semi")
-    repeated = staged.join(kept.where("many > 1"), same, "left_semi").dropDuplicates(["doc_id", "__fp"])
+    kept = rows.join(named, "fp").where("doc_id <=> component_id AND fp = keep_fp").groupBy("doc_id", "fp").agg(F.count("*").alias("__lw_many"))
+    kept = written(kept.select(F.col("doc_id").alias("__lw_id"), F.col("fp").alias("__lw_kept"), "__lw_many"), "near-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__lw_id")) & (F.col("__lw_fp") == F.col("__lw_kept"))
+    once = staged.join(kept.where("__lw_many = 1"), same, "left_semi")
+    repeated = staged.join(kept.where("__lw_many > 1"), same, "left_semi").dropDuplicates(["doc_id", "__lw_fp"])
     return once.unionByName(repeated).select(*names)

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     return Model(np.frombuffer(got["places"], np.int64), np.frombuffer(got["weights"]), got["bias"], bits)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns in keep and a score between 0 and 1 for each row, from its whole text alone; a null text is empty."""
     names = keep if keep is not None else docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -159,12 +159,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         model = shared.value
         weights, features = model.dense(), features_of(model.bits)
         for b in sliced(batches):
-            p = [sigmoid(float(weights[features(t)].sum()) + model.bias) for t in as_bytes(b["__text"])]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64())], [*names, "score"])
+            p = [sigmoid(float(weights[features(t)].sum()) + model.bias) for t in as_bytes(b["__lw_text"])]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(p, pa.float64())], [*names, name])
 
-    source = docs.select(*names, docs[text].alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, f"{schema}, score double")
+    source = docs.select(*names, docs[text].alias("__lw_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__lw_text")
+    return source.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,4 +182,4 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     model = fit(docs, labels)
-    return score(docs.select(*docs.columns), model).where(F.col("score") < threshold).select(*docs.columns)
+    return score(docs.select(*docs.columns), model, name="__lw_score").where(F.col("__lw_score") < threshold).select(*docs.columns)
