@@ -79,3 +79,15 @@ def drift(old: DataFrame, new: DataFrame, key: str, shares: list[str], edges: li
 def survived(before: DataFrame, after: DataFrame, keys: list[str]) -> Column | DataFrame:
     """Rows of before that after lacks: none means that the past outlived the change."""
     return before.join(after, keys, "left_anti")
+
+
+def qualification(reference: DataFrame, pupil: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(missed, extra, compared, agreed): a pupil's rows against the reference's; how much is enough isn't decided here."""
+    a = reference.select(*keys, *(F.col(c).cast("string").alias(f"a_{c}") for c in fields), F.lit(True).alias("in_a"))
+    b = pupil.select(*keys, *(F.col(c).cast("string").alias(f"b_{c}") for c in fields), F.lit(True).alias("in_b"))
+    both = a.join(b, keys, "full_outer")
+    shared = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    agreed = F.lit(0).cast("long")
+    for c in fields:
+        agreed = agreed + F.count_if(shared & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))
+    return both.agg(F.count_if(F.col("in_b").isNull()).alias("missed"), F.count_if(F.col("in_a").isNull()).alias("extra"), (F.count_if(shared) * len(fields)).alias("compared"), agreed.alias("agreed"))
