@@ -95,7 +95,7 @@ class WordEncoder:
 
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters
-            return self._letters(word)
+            return self._letters(word.lower())
         text = word.decode()
         if PLAIN.fullmatch(text) and not any(a in text for a in self.added):
             return b"".join([self._letters(p.encode()) for p in self.pattern.findall(text.lower())])

@@ -347,7 +347,7 @@ def test_exact_splits_hot_digits(spark, monkeypatch):
 def test_tokens(spark, docs, odd, none):
     path = queries.tokenizer_path("word_bpe_49k.json")
     encode = token_orc.encoder(path)
-    for t in [*TEXTS, "<|endoftext|> It's DON'T 'S 12² a_b", "a<|startoftext|>b é́ ǅ ΣΑΣ \x85 \x1c"]:
+    for t in [*TEXTS, "<|endoftext|> It's DON'T 'S 12² a_b", "<|x UPPER Case. <|ENDOFTEXT|> END", "a<|startoftext|>b é́ ǅ ΣΑΣ \x85 \x1c"]:
         assert np.frombuffer(encode(t.encode()), "<u4").tolist() == encode.library.encode(t, add_special_tokens=False).ids, t
     for data in (docs, odd):
         rows = [(i, encode.library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in plain_rows(data)]
