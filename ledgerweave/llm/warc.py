@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -42,6 +43,11 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "record_id string, page_id long, bundle string, frame long, at long, length long"
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path for a URI as Spark writes it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
 
@@ -102,7 +108,7 @@ def read_seek_table(file: pa.NativeFile) -> list[tuple[int, int, int]]:
 
 def _writer(folder: str, captured_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         context, pack = TaskContext.get(), zstandard.ZstdCompressor(level=3)
         part, attempt = context.partitionId(), context.taskAttemptId()
         bundles, out, last = 0, None, None
@@ -166,7 +172,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, captured_at
     SHA-256; only that and the id are grouped, with map-side combination.
     """
     spark = pages.sparkSession
-    fs, root = pafs.FileSystem.from_uri(folder)
+    fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     html = F.coalesce(pages["html"], F.lit(""))
     place = F.coalesce(pages["page_id"].cast("long"), F.lit(-(2**63)))
@@ -185,7 +191,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url"]
     for b in batches:
         for bundle, low, high in zip(b["bundle"].to_pylist(), b["low"].to_pylist(), b["high"].to_pylist(), strict=True):
-            fs, path = pafs.FileSystem.from_uri(bundle)
+            fs, path = file_system(bundle)
             with fs.open_input_file(path) as file:
                 for at, packed, whole in read_seek_table(file)[low : high + 1]:
                     out = []
@@ -210,7 +216,7 @@ def fetch(index: DataFrame, record: str) -> list[tuple[dict[str, str], bytes]]:
     """Fields and payload of the records with an id, by reading one frame for each."""
     found = []
     for r in index.where(F.col("record_id") == record).select("bundle", "frame", "at", "length").collect():
-        fs, path = pafs.FileSystem.from_uri(r["bundle"])
+        fs, path = file_system(r["bundle"])
         with fs.open_input_file(path) as file:
             at, packed, whole = read_seek_table(file)[r["frame"]]
             data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, at), max_output_size=whole)
