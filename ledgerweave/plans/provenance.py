@@ -67,14 +67,14 @@ def form_summary(t: Tables):
 MONEY = V.MoneyRules(decimal=",", group=" ", currency="RUB")
 
 
-def checked(document):
-    """What the rules find in a training document: unreadable amounts, repeats, gaps, cells outside their band, pages that need a second reading."""
-    typed = V.with_money(document, F.col("amount_raw"), "amount", MONEY).withColumn("d", F.lit(1))
-    repeats = R.parse_duplicates(typed, ["number"]).where("status = 'FAIL'")
-    gaps = R.gap_check(typed, ["d"], "number", "forbidden")
-    n = typed.agg(F.count_if(F.col("amount.refusal").isNotNull()).alias("refused"), F.count_if(~F.col("x").between(0.6, 0.8)).alias("outside"), F.count_distinct(F.when((F.col("layer") == "broken") | (F.col("rotation") != 0), F.col("page"))).alias("pages"), F.max("page").alias("last_page"), F.sum("amount.value").cast("decimal(38,2)").cast("string").alias("total"))
-    one = F.lit(1).alias("d")  # one document: a row on each side
-    return n.select(one, "*").join(repeats.agg(F.count("*").alias("repeated")).select(one, "*"), "d").join(gaps.select("d", "missing"), "d").drop("d")
+def checked(documents):
+    """What the rules find in documents by kind: unreadable amounts, repeats, gaps, cells outside their band, pages that need a second reading."""
+    typed = V.with_money(documents, F.col("amount_raw"), "amount", MONEY)
+    repeats = R.parse_duplicates(typed, ["kind", "number"]).groupBy("kind").agg(F.count_if(F.col("status") == "FAIL").alias("repeated"))
+    gaps = R.gap_check(typed, ["kind"], "number", "forbidden").select("kind", "missing")
+    pages = F.count_distinct(F.when((F.col("layer") == "broken") | (F.col("rotation") != 0), F.col("page")))
+    n = typed.groupBy("kind").agg(F.count_if(F.col("amount.refusal").isNotNull()).alias("refused"), F.count_if(~F.col("x").between(0.6, 0.8)).alias("outside"), pages.alias("pages"), F.max("page").alias("last_page"), F.sum("amount.value").cast("decimal(38,2)").cast("string").alias("total"))
+    return n.join(repeats, "kind").join(gaps, "kind")
 
 
 @query("""
@@ -84,9 +84,8 @@ def checked(document):
         ('parentheses', 1, 1, 0, 0, 53, 0, 0), ('leading_zeros', 0, 0, 0, 0, 53, 0, 0), ('changed_form', 0, 0, 840, 0, 53, 0, 0), ('page_break', 0, 0, 0, 0, 54, 0, 0)) v(kind, k, refused, outside, pages, last_page, repeated, missing)""")
 def corruptions_found(t: Tables):
     """Nine known corruptions of the training document, each with what the rules must find."""
-    document = fixtures.training_document(t.spark)
-    out = None
+    document, out = fixtures.training_document(t.spark), None
     for kind in ["none", *fixtures.CORRUPTIONS]:
-        one = checked(document if kind == "none" else fixtures.corrupted(document, kind)).withColumn("kind", F.lit(kind))
+        one = (document if kind == "none" else fixtures.corrupted(document, kind)).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    return out.select("kind", "refused", "outside", "pages", "last_page", "total", "repeated", "missing")
+    return checked(out).select("kind", "refused", "outside", "pages", "last_page", "total", "repeated", "missing")
