@@ -88,4 +88,4 @@ def corruptions_found(t: Tables):
     for kind in ["none", *fixtures.CORRUPTIONS]:
         one = (document if kind == "none" else fixtures.corrupted(document, kind)).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    return checked(out).select("kind", "refused", "outside", "pages", "last_page", "total", "repeated", "missing")
+    return checked(out.repartition("kind")).select("kind", "refused", "outside", "pages", "last_page", "total", "repeated", "missing")
