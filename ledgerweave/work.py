@@ -19,9 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", folder).rstrip("/")
 
 
+#: What this process has put into the shared folder.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what new_path() gave out; for when no DataFrame that reads it is needed any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_registry():
     with pytest.raises(ValueError, match="no reader"):
         R.read(None, "parchment")
     assert {"text", "csv", "mt940", "ofx", "camt053", "xlsx", "docx", "pdf"} <= set(R.READERS)
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from ledgerweave import work
+
+    kept = list(work.MADE)
+    work.MADE.clear()
+    work.written(spark.range(3), "t")
+    path = work.MADE[0].removeprefix("file://")
+    assert os.path.isdir(path)
+    work.clean(spark)
+    assert not os.path.exists(path) and work.MADE == []
+    work.MADE.extend(kept)
