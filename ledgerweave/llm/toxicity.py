@@ -33,6 +33,8 @@ ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 4.0, 0.0, 8
 #: A feature is learnt if so many of the rows have it.
 LEAST_ROWS = 3
 THRESHOLD = 0.7
+#: Scores hold toxic texts to be so many times likelier than they are among the labelled rows: missing one costs more than a false alarm.
+ODDS = 3.0
 #: A task's cache of words; longer words aren't kept.
 CACHE, LONGEST_KEPT = 300_000, 64
 #: Odd multipliers that tell the kinds of features apart (digits of pi and e in hexadecimal).
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
     got = ready.repartition(1).sortWithinPartitions("order", "doc_id", "x").mapInArrow(learn, "places binary, weights binary, bias double").first()
     if got is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, bits)
-    return Model(np.frombuffer(got["places"], np.int64), np.frombuffer(got["weights"]), got["bias"], bits)
+    return Model(np.frombuffer(got["places"], np.int64), np.frombuffer(got["weights"]), got["bias"] + math.log(ODDS), bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
