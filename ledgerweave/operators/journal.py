@@ -160,3 +160,10 @@ def stalls(marks: DataFrame, key: str, time: str, limit_seconds: float) -> DataF
     after = F.lead(time).over(w)
     seconds = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1_000_000
     return marks.select(key, F.col(time).alias("from"), after.alias("to"), seconds.alias("seconds")).where(F.col("seconds") >= limit_seconds)
+
+
+def cut_parts(entries: DataFrame, stream: str, size: Column, limit: int) -> DataFrame:
+    """entries with part: a new part begins where the bytes before an entry reach another multiple of the limit."""
+    w = Window.partitionBy(stream).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(size).over(w), F.lit(0))
+    return entries.withColumn("part", F.floor(before / limit).cast("long"))

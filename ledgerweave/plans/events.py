@@ -174,3 +174,17 @@ def licence_mentions(t: Tables):
     low = F.lower("text")
     found = F.array_compact(F.array(*(F.when(low.rlike(f"(^|[^a-z]){x}([^a-z]|$)"), x) for x in ("apache", "mit", "gpl", "bsd"))))
     return t.documents.select("doc_id", F.concat_ws(",", found).alias("licences")).where("licences <> ''")
+
+
+@query("""
+    WITH s AS (SELECT user_id, event_id, coalesce(sum(length(props) + 20) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS part FROM events)
+    SELECT user_id, CAST(part AS BIGINT) AS part, count(*) AS entries FROM s GROUP BY ALL""")
+def journal_cut(t: Tables):
+    """A journal's parts by size, here of 500 bytes."""
+    rows = t.events.withColumn("sequence", F.col("event_id"))
+    return J.cut_parts(rows, "user_id", F.char_length("props") + 20, 500).groupBy("user_id", "part").agg(F.count("*").alias("entries"))
+
+
+@query("SELECT o_orderkey, sha256(concat_ws(chr(10), 'run/1', CAST(o_custkey AS VARCHAR), o_orderstatus, '', 'c1')) AS run_key FROM orders")
+def run_keys(t: Tables):
+    return t.orders.select("o_orderkey", V.run_key(F.col("o_custkey"), F.col("o_orderstatus"), F.lit(None).cast("string"), F.lit("c1")).alias("run_key"))

@@ -111,3 +111,12 @@ def grid_lines(t: Tables):
 def record_anchor(t: Tables):
     rows = t.embeddings.select(F.col("label").alias("record"), F.lit(1).alias("page"), F.col("vec_id").alias("object_id"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")))
     return L.record_anchor(rows, ["record"], "page", "x", "y", "object_id")
+
+
+@query("""
+    WITH p AS (SELECT doc_id, unnest(range(0, ceil(len(string_split(text, chr(10))) / 20)::BIGINT)) AS page FROM documents),
+    v AS (SELECT page > 0 AND (page % 4 = 3) = ((page - 1) % 4 = 3) AS follows, (page % 3 = 2) = ((page - 1) % 3 = 2) AS repeated FROM p)
+    SELECT CASE WHEN NOT follows THEN 'separate' WHEN repeated THEN 'stitched' ELSE 'unresolved' END AS verdict, count(*) AS pages, count_if(follows AND repeated) AS headers FROM v GROUP BY 1""")
+def stitch_counters(t: Tables):
+    """How many pages were stitched, left apart or left open, and how many repeated headers were dropped."""
+    return L.stitch(_paged(t), ["doc_id"], "page").groupBy("verdict").agg(F.count("*").alias("pages"), F.count_if("header_repeated").alias("headers"))

@@ -64,6 +64,21 @@ def form_summary(t: Tables):
     return P.form_summary(rows, ["source"])
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, count(*) AS n, string_agg(DISTINCT 'amount = ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ': d' || l_orderkey || ', page ' || l_linenumber || ', ' || CASE WHEN l_partkey % 4 = 0 THEN 'no address' ELSE 'cell' END || ', by money', ';' ORDER BY 'amount = ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ': d' || l_orderkey || ', page ' || l_linenumber || ', ' || CASE WHEN l_partkey % 4 = 0 THEN 'no address' ELSE 'cell' END || ', by money') AS trail
+    FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2""")
+def evidence_trail(t: Tables):
+    """Each value's evidence, and where it comes from in one line."""
+    from ledgerweave.operators.governance import trail
+
+    value = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    fields = t.lineitem.where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.lit("amount").alias("field"), value.alias("raw"), value.alias("value"), F.when(F.col("l_partkey") % 4 != 0, "cell").alias("address"), F.lit("money").alias("rule"))
+    seen = P.evidence(fields, ["l_orderkey", "l_linenumber"])
+    line = trail(F.col("field"), F.col("value"), F.concat(F.lit("d"), F.col("l_orderkey").cast("string")), F.col("l_linenumber"), F.col("address"), F.col("rule"))
+    told = seen.withColumn("line", line).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.concat_ws(";", F.array_sort(F.collect_set("line"))).alias("trail"))
+    return told
+
+
 MONEY = V.MoneyRules(decimal=",", group=" ", currency="RUB")
 
 

@@ -129,3 +129,11 @@ def preserved_payloads(t: Tables):
     """Multisets of payloads before and after a migration: what was lost, what was added."""
     rows = t.documents.select("doc_id", "lang", F.expr("n_chars div 1000").alias("k"))
     return C.multiset_diff(rows.where("doc_id % 10 <> 3").drop("doc_id"), rows.where("doc_id % 10 <> 4").drop("doc_id"))
+
+
+@query("""
+    WITH e AS (SELECT event_type, sum(value) AS s, count(*) AS n FROM events GROUP BY 1) SELECT event_type AS kind, CASE WHEN event_type <> 'view' THEN (n * 20.0::DOUBLE - s) / (n * 20.0::DOUBLE) END AS saved FROM e""".replace("sum(value) AS s", "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s"))
+def labour_savings(t: Tables):
+    """Time against a baseline of twenty seconds a decision; without a baseline nothing is told."""
+    n = t.events.groupBy(F.col("event_type").alias("kind")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("s"), F.count("*").alias("n"))
+    return n.select("kind", Q.savings(F.col("s"), F.when(F.col("kind") != "view", F.col("n") * 20.0)).alias("saved"))
