@@ -67,11 +67,11 @@ def corrected_copy(t: Tables):
 
 
 @query("""
-    WITH m AS (SELECT o_orderkey, o_orderpriority AS g FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
+    WITH m AS (SELECT o_orderkey, o_orderpriority AS g FROM orders), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
     SELECT o_orderkey, m.g AS grp, 'accept' AS action FROM m WHERE g <> '3-MEDIUM' AND o_orderkey % 6 = 0""")
 def group_decisions(t: Tables):
     """One decision for each group, where the group has as many members as expected; then some are taken back."""
-    members = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderpriority").alias("grp"))
+    members = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("grp"))
     n = members.groupBy("grp").agg(F.count("*").alias("n"))
     told = n.select("grp", (F.col("n") + (F.col("grp") == "3-MEDIUM").cast("int")).alias("expected"), F.lit("accept").alias("action"))
     return J.undo(J.fan_out(told, members, "grp", "o_orderkey"), members.where("o_orderkey % 6 <> 0").select("o_orderkey"), "o_orderkey")
@@ -120,11 +120,11 @@ def template_asof(t: Tables):
 
 
 @query("""
-    WITH o AS (SELECT o_custkey % 50 AS family, CASE o_orderstatus WHEN 'O' THEN 'client' WHEN 'F' THEN 'common' ELSE 'draft' END AS level, o_orderkey AS version FROM orders WHERE o_orderkey % 70 < 2),
+    WITH o AS (SELECT o_custkey % 50 AS family, CASE o_orderstatus WHEN 'O' THEN 'client' WHEN 'F' THEN 'common' ELSE 'draft' END AS level, o_orderkey AS version FROM orders),
     r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY level, version DESC) AS n FROM o WHERE level <> 'draft') SELECT family, level, version FROM r WHERE n = 1""")
 def template_level(t: Tables):
     level = F.when(F.col("o_orderstatus") == "O", "client").when(F.col("o_orderstatus") == "F", "common").otherwise("draft")
-    rows = t.orders.where("o_orderkey % 70 < 2").select((F.col("o_custkey") % 50).alias("family"), level.alias("level"), F.col("o_orderkey").alias("version"))
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("family"), level.alias("level"), F.col("o_orderkey").alias("version"))
     return J.best_level(rows, ["family"], ["client", "common"], "level", "version")
 
 

@@ -72,15 +72,13 @@ def table_stitch(t: Tables):
 
 @query("""
     WITH l AS (SELECT source, doc_id AS page, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
-    s AS (SELECT page % 20 AS document, page, n, substr(line, 1, 3) AS line FROM l WHERE n <= 40),
-    g AS (SELECT document, line, count(DISTINCT page) AS pages, min(n) AS pos FROM s GROUP BY 1, 2),
-    o AS (SELECT document, count(DISTINCT page) AS of FROM s GROUP BY 1),
-    k AS (SELECT g.document, line, pages, row_number() OVER (PARTITION BY g.document ORDER BY pos, line) AS k FROM g JOIN o ON o.document = g.document WHERE pages >= greatest(2, floor(of * 0.15)))
-    SELECT document, line, pages FROM k WHERE k <= 12""")
+    g AS (SELECT source, line, count(DISTINCT page) AS pages, min(n) AS pos FROM l GROUP BY 1, 2),
+    k AS (SELECT source, line, pages, row_number() OVER (PARTITION BY source ORDER BY pos, line) AS k FROM g WHERE pages >= 2)
+    SELECT source, sha256(line) AS line, pages FROM k WHERE k <= 12""")
 def repeating_header(t: Tables):
-    """Beginnings of lines that many documents of a group share; the share is lower than a form's 0.9, so that some are found."""
-    rows = t.documents.select((F.col("doc_id") % 20).alias("document"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where("n < 40")
-    return L.repeating_header(rows.withColumn("line", F.substring("line", 1, 3)), ["document"], "page", "n", "line", share=0.15)
+    """Lines that documents of a source share, the first twelve by place; two documents are enough, where a form's header needs 0.9 of its pages."""
+    rows = t.documents.select("source", F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return L.repeating_header(rows, ["source"], "page", "n", "line", share=0.0).withColumn("line", F.sha2("line", 256))
 
 
 @query("""

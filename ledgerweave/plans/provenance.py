@@ -24,13 +24,13 @@ def prior_decisions(t: Tables):
 
 
 @query("""
-    WITH o AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v FROM orders WHERE o_orderkey % 10 = 0), n AS (SELECT l_orderkey, count(*) AS n, count_if(l_discount <= 0.05) AS p FROM lineitem GROUP BY 1)
+    WITH o AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS v FROM orders), n AS (SELECT l_orderkey, count(*) AS n, count_if(l_discount <= 0.05) AS p FROM lineitem GROUP BY 1)
     SELECT CAST(o_orderkey AS VARCHAR) AS record_id, i.item, CASE i.item WHEN 'document' THEN 'd' || o_custkey WHEN 'page' THEN CAST(o_orderkey % 7 AS VARCHAR) WHEN 'place' THEN 'unknown' WHEN 'raw' THEN v WHEN 'rule' THEN 'money' WHEN 'value' THEN v
         WHEN 'checks' THEN coalesce(p || ' of ' || n, 'unknown') WHEN 'decision' THEN o_orderstatus ELSE 'unknown' END AS text
     FROM o LEFT JOIN n ON l_orderkey = o_orderkey, (VALUES ('document'), ('page'), ('place'), ('raw'), ('rule'), ('value'), ('checks'), ('decision'), ('history')) i(item)""")
 def nine_items(t: Tables):
     v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    own = t.orders.where("o_orderkey % 10 = 0").withColumn("record_id", F.col("o_orderkey").cast("string"))
+    own = t.orders.withColumn("record_id", F.col("o_orderkey").cast("string"))
     fields = own.select("record_id", F.lit("amount").alias("field"), F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("document"), (F.col("o_orderkey") % 7).alias("page"), F.lit(None).cast("string").alias("place"), v.alias("raw"), F.lit("money").alias("rule"), v.alias("value"))
     checks = t.lineitem.select(F.col("l_orderkey").cast("string").alias("record_id"), F.when(F.col("l_discount") <= 0.05, "PASS").otherwise("FAIL").alias("status"))
     return P.nine_items(fields, checks, own.select("record_id", F.col("o_orderstatus").alias("status")), own.limit(0).select("record_id", F.lit("x").alias("action"))).select("record_id", "item", "text")
@@ -66,13 +66,13 @@ def form_summary(t: Tables):
 
 @query("""
     SELECT l_orderkey, l_linenumber, count(*) AS n, string_agg(DISTINCT 'amount = ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ': d' || l_orderkey || ', page ' || l_linenumber || ', ' || CASE WHEN l_partkey % 4 = 0 THEN 'no address' ELSE 'cell' END || ', by money', ';' ORDER BY 'amount = ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ': d' || l_orderkey || ', page ' || l_linenumber || ', ' || CASE WHEN l_partkey % 4 = 0 THEN 'no address' ELSE 'cell' END || ', by money') AS trail
-    FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2""")
+    FROM lineitem GROUP BY 1, 2""")
 def evidence_trail(t: Tables):
     """Each value's evidence, and where it comes from in one line."""
     from ledgerweave.operators.governance import trail
 
     value = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    fields = t.lineitem.where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.lit("amount").alias("field"), value.alias("raw"), value.alias("value"), F.when(F.col("l_partkey") % 4 != 0, "cell").alias("address"), F.lit("money").alias("rule"))
+    fields = t.lineitem.select("l_orderkey", "l_linenumber", F.lit("amount").alias("field"), value.alias("raw"), value.alias("value"), F.when(F.col("l_partkey") % 4 != 0, "cell").alias("address"), F.lit("money").alias("rule"))
     seen = P.evidence(fields, ["l_orderkey", "l_linenumber"])
     line = trail(F.col("field"), F.col("value"), F.concat(F.lit("d"), F.col("l_orderkey").cast("string")), F.col("l_linenumber"), F.col("address"), F.col("rule"))
     told = seen.withColumn("line", line).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.concat_ws(";", F.array_sort(F.collect_set("line"))).alias("trail"))
