@@ -200,6 +200,33 @@ def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjunc
     return out.select(*keys, status.alias("status"), sheet.alias("sheet"), unmet.cast("long").alias("unmet"), F.col("contradicted").cast("long").alias("contradicted"))
 
 
+def decide_in_row(records: DataFrame, keys: list[str], conjuncts: dict[str, list[Rule]], run_ok: bool = True) -> DataFrame:
+    """decide() where every conjunct comes from rules of the record itself: folded within the row, without a shuffle.
+
+    A rule that says nothing (null) doesn't count; a conjunct without a result is unknown.
+    """
+    told = {(c, k): f"__{c}_{k}" for c, rules in conjuncts.items() for k in range(len(rules))}
+    rows = records.select(*keys, *(conjuncts[c][k].status.alias(name) for (c, k), name in told.items()))
+    states, critical = [], F.lit(False)
+    for c, rules in conjuncts.items():
+        own = [F.col(told[c, k]) for k in range(len(rules))]
+        failed, open_, none = F.lit(False), F.lit(False), F.lit(True)
+        for s, rule in zip(own, rules, strict=True):
+            failed = failed | F.coalesce(s == FAIL, F.lit(False))
+            open_ = open_ | F.coalesce(~s.isin(PASS, FAIL), F.lit(False))
+            none = none & s.isNull()
+            if rule.severity == CRITICAL:
+                critical = critical | F.coalesce(s == FAIL, F.lit(False))
+        states.append(failed | open_ | none)
+    unmet = F.lit(0)
+    for x in states:
+        unmet = unmet + x.cast("int")
+    rows = rows.select(*keys, unmet.alias("unmet"), critical.alias("__critical"))
+    status = F.when(F.lit(not run_ok), None).when(F.col("__critical"), "rejected").when(F.col("unmet") > 0, "review").otherwise("accepted_auto")
+    sheet = F.when(status == "accepted_auto", "DATA").when(status == "review", "REVIEW").when(status == "rejected", "REJECTED")
+    return rows.select(*keys, status.alias("status"), sheet.alias("sheet"), F.col("unmet").cast("long").alias("unmet"), F.lit(0).cast("long").alias("contradicted"))
+
+
 def run_state(decisions: DataFrame, run: list[str], blocked: Column | None = None, failed: Column | None = None) -> DataFrame:
     """(run, run_state): blocked, then failed, then partial (no decision, no status, or some in review), then completed."""
     none = F.lit(False)

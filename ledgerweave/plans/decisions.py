@@ -10,7 +10,6 @@ from ledgerweave.operators.graph import connected_components
 from ledgerweave.plans.registry import Tables, query
 
 MONEY = "decimal(18,2)"
-CONJUNCTS = ["schema", "dates", "bounds", "duplicates", "totals"]
 
 
 @query("""
@@ -44,8 +43,7 @@ def decide_lines(t: Tables):
         # Orders whose key ends in 9 declare no control total.
         R.Rule("totals", F.when(F.col("l_orderkey") % 10 == 9, R.UNKNOWN).otherwise(R.PASS)),
     ]
-    seen = R.fold(R.apply_rules(rows, line, rules), [*line, "rule_id"]).withColumnRenamed("rule_id", "conjunct")
-    return R.decide(rows, seen, line, CONJUNCTS)
+    return R.decide_in_row(rows, line, {r.rule_id: [r] for r in rules})
 
 
 LINES = """

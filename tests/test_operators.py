@@ -101,6 +101,17 @@ def test_fold_and_decide(spark):
     assert got(R.run_state(runs, ["run"])) == [(1, "completed"), (2, "partial")] and got(R.run_state(runs, ["run"], F.col("r") == "a", F.col("r") == "b")) == [(1, "blocked"), (2, "failed")]
 
 
+def test_folding_in_the_row_is_the_same(spark):
+    df = frame(spark, [(k, a, b, c) for k, (a, b, c) in enumerate([(x, y, z) for x in ("PASS", "FAIL", "UNKNOWN", None) for y in ("PASS", "FAIL", "odd", None) for z in ("PASS", "FAIL", None)])], "k int, a string, b string, c string")
+    rules = {"one": [R.Rule("a", F.col("a")), R.Rule("b", F.col("b"), R.FIXABLE)], "two": [R.Rule("c", F.col("c"))]}
+    results = None
+    for name, own in rules.items():
+        part = R.fold(R.apply_rules(df, ["k"], own), ["k"]).withColumn("conjunct", F.lit(name))
+        results = part if results is None else results.unionByName(part)
+    assert got(R.decide_in_row(df, ["k"], rules)) == got(R.decide(df, results, ["k"], ["one", "two"]))
+    assert {r[1] for r in got(R.decide_in_row(df, ["k"], rules, run_ok=False))} == {None}
+
+
 def test_schema_rules(spark):
     spec = frame(spark, [("a", "money", True, None, 2), ("v", "vocabulary", False, ["x"], None), ("w", "vocabulary", False, None, None)], "field string, kind string, required boolean, terms array<string>, max_digits int")
     cells = [(1, "a", "1.5", "money", None, "1.5", 1), (1, "v", "y", "vocabulary", None, "y", None), (1, "w", "q", "vocabulary", None, "q", None), (1, "z", "?", "text", None, "?", None), (2, "a", " ", "money", None, None, None), (2, "v", "bad", None, "E", None, None)]
