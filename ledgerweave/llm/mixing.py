@@ -170,11 +170,14 @@ def mix_documents(docs: DataFrame, seed: int = 42, text: str = "text", key: str
 
 def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns."""
-    size = "__lw_size"
-    inner = docs.mapInArrow(_with_size(docs.columns), T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())]))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size))
-    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(F.col("doc_id").alias("__lw_id"), F.col("nth").alias("__lw_nth"), F.col("copies").alias("__lw_copies"))
-    told = inner.withColumn("__lw_own", nth.cast("long")).join(plan, F.col("doc_id").eqNullSafe(F.col("__lw_id")) & (F.col("__lw_own") == F.col("__lw_nth")))
+    size, own = "__lw_size", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # Rows are dealt out once, by id; numbering and join keep to that, so the join has one equality.
+    inner = docs.mapInArrow(_with_size(docs.columns), T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())])).withColumn("__lw_key", own).repartition("__lw_key")
+    nth = F.row_number().over(Window.partitionBy("__lw_key", "doc_id").orderBy("source", size))
+    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(own.alias("__lw_of"), F.col("doc_id").alias("__lw_id"), F.col("nth").alias("__lw_nth"), F.col("copies").alias("__lw_copies"))
+    absent = F.col("__lw_id").isNull().cast("int")
+    same = F.col("__lw_own").between(F.col("__lw_nth"), F.col("__lw_nth")) & F.col("doc_id").isNull().cast("int").between(absent, absent)
+    told = inner.withColumn("__lw_own", nth.cast("long")).join(plan, (F.col("__lw_key") == F.col("__lw_of")) & same)
     return told.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.col("__lw_copies").cast("int")))).select(*docs.columns)
 
 
