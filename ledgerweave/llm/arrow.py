@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+_held: tuple[object, object] = (None, None)
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker's tasks share: the last such object, so that one stage's caches don't outlive it in a later one."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        _held = (key, make())
+    return _held[1]
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; a null text is empty."""
     return pc.fill_null(column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()), b"").to_pylist()

@@ -15,7 +15,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrow import as_bytes, int_lists, sliced
+from ledgerweave.llm.arrow import as_bytes, held, int_lists, sliced
 from ledgerweave.work import new_path
 
 #: Entries of a task's cache of words; it starts anew when full.
@@ -108,10 +107,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@cache
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker: its tasks share the bounded cache."""
-    return WordEncoder(path)
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def _encode(path: str, end_id: int):

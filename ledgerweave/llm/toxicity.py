@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.arrow import as_bytes, sliced
+from ledgerweave.llm.arrow import as_bytes, held, sliced
 from ledgerweave.work import written
 
 #: Places that features are hashed to, and labelled rows that a model is fitted on, at most.
@@ -69,10 +68,9 @@ class Features:
         return np.unique((x * last >> self.shift).astype(np.uint32))
 
 
-@cache
 def features_of(bits: int) -> Features:
     """One for each Python worker: its tasks share the bounded cache."""
-    return Features(bits)
+    return held(("features", bits), lambda: Features(bits))
 
 
 @dataclass(frozen=True)

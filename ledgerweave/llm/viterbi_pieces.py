@@ -25,13 +25,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerweave.llm.arrow import as_bytes, int_lists, sliced
+from ledgerweave.llm.arrow import as_bytes, held, int_lists, sliced
 
 BLANK = "▁"
 #: Entries of a task's caches of words and of pairs; longer words aren't kept.
@@ -249,10 +248,9 @@ class StreamingEncoder:
         return raw.decode(errors="replace")
 
 
-@cache
 def coder_of(model: str) -> StreamingEncoder:
     """One for each Python worker: its tasks share the bounded caches."""
-    return StreamingEncoder(Vocabulary.load(model))
+    return held(("pieces", model), lambda: StreamingEncoder(Vocabulary.load(model)))
 
 
 def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
