@@ -88,7 +88,15 @@ class Model:
 
 def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least_rows: int = LEAST_ROWS) -> Model:
     """FTRL-proximal over rows in order; the last coordinate is the bias, which has no L1."""
-    size = (1 << bits) + 1
+    seen = np.zeros(1 << bits, np.int32)
+    for x in rows:
+        seen[x] += 1
+    kept = np.flatnonzero(seen >= least_rows)
+    # Rows hold places among the kept features from here on; what is learnt has no room for the others.
+    seen[:] = -1
+    seen[kept] = np.arange(len(kept), dtype=np.int32)
+    size = len(kept) + 1
+    rows = [np.append(own[own >= 0], np.int32(size - 1)) for own in (seen[x] for x in rows)]
     z, n = np.zeros(size), np.zeros(size)
     penalty = np.full(size, l1)
     penalty[-1] = 0.0
@@ -97,13 +105,8 @@ def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: flo
         zs = z[at]
         return np.where(np.abs(zs) <= penalty[at], 0.0, -(zs - np.sign(zs) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    seen = np.zeros(1 << bits, np.int32)
-    for x in rows:
-        seen[x] += 1
-    rows = [x[seen[x] >= least_rows] for x in rows]
     for _ in range(epochs):
-        for x, y in zip(rows, labels, strict=True):
-            at = np.append(x.astype(np.int64), size - 1)
+        for at, y in zip(rows, labels, strict=True):
             w = weights(at)
             g = sigmoid(float(w.sum())) - y
             root = np.sqrt(n[at])
@@ -111,7 +114,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: flo
             n[at] += g * g
     w = weights(slice(None))
     places = np.flatnonzero(w[:-1])
-    return Model(places, w[places], float(w[-1]), bits)
+    return Model(kept[places], w[places], float(w[-1]), bits)
 
 
 def sigmoid(x: float) -> float:
