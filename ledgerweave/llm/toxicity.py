@@ -33,7 +33,8 @@ ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 4.0, 0.0, 8
 LEAST_ROWS = 3
 THRESHOLD = 0.7
 #: Scores hold toxic texts to be so many times likelier than they are among the labelled rows: missing one costs more than a false alarm.
-ODDS = 3.0
+#: With few toxic rows to learn from the odds are raised less: as if so many more had been seen that say nothing.
+ODDS, DOUBT = 3.0, 20
 #: A task's cache of words; longer words aren't kept.
 CACHE, LONGEST_KEPT = 300_000, 64
 #: Odd multipliers that tell the kinds of features apart (digits of pi and e in hexadecimal).
@@ -143,14 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
             x += [np.frombuffer(r, np.uint32) for r in b["x"].to_pylist()]
             y += b["y"].to_pylist()
         m = ftrl(x, y, bits)
-        yield pa.RecordBatch.from_arrays([pa.array([m.places.astype(np.int64).tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], ["places", "weights", "bias"])
+        raised = math.log((ODDS * sum(y) + DOUBT) / (sum(y) + DOUBT))
+        yield pa.RecordBatch.from_arrays([pa.array([m.places.astype(np.int64).tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias + raised])], ["places", "weights", "bias"])
 
     ready = rows.select(F.xxhash64("doc_id").alias("order"), "doc_id", F.col("__y").alias("y"), "text").mapInArrow(extract, "order long, doc_id long, y int, x binary")
     ready = written(ready, "toxic-features")
     got = ready.repartition(1).sortWithinPartitions("order", "doc_id", "x").mapInArrow(learn, "places binary, weights binary, bias double").first()
     if got is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, bits)
-    return Model(np.frombuffer(got["places"], np.int64), np.frombuffer(got["weights"]), got["bias"] + math.log(ODDS), bits)
+    return Model(np.frombuffer(got["places"], np.int64), np.frombuffer(got["weights"]), got["bias"], bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
