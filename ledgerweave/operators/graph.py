@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.work import checkpointed
+from ledgerweave.work import forget, new_path, write_to
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,20 +29,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges has two columns of one orderable type. Rounds of large-star and
     small-star leave a forest of stars after about log n rounds; each round is
     aggregations with map-side combination and a join that adaptive execution
-    can split, then a reliable checkpoint. Rows with a null, loops and repeated
+    can split, then a table in the shared folder that cuts the lineage; the
+    table of the round before goes. Rows with a null, loops and repeated
     rows change nothing; an empty table gives an empty one. A node without a
     link to another has no row.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = checkpointed(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    last = new_path(spark, "links")
+    now = write_to(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), last)
     state = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not seen[0] or tuple(seen) == state:
             break
-        state = tuple(seen)
-        now = checkpointed(_small_star(_large_star(now)))
+        state, path = tuple(seen), new_path(spark, "links")
+        now = write_to(_small_star(_large_star(now)), path)
+        forget(spark, last)
+        last = path
     else:
         raise RuntimeError("the components didn't settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

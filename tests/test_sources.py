@@ -130,15 +130,33 @@ def test_registry():
 
 
 def test_intermediate_tables_can_be_cleared(spark):
+    """Those of one session only: rounds of connected components leave one table, and clean() takes it."""
     import os
 
     from ledgerweave import work
-
-    kept = list(work.MADE)
-    work.MADE.clear()
-    work.written(spark.range(3), "t")
-    path = work.MADE[0].removeprefix("file://")
-    assert os.path.isdir(path)
+    from ledgerweave.operators.graph import connected_components
+
+    local = lambda p: p.removeprefix("file://")
+    kept = work.MADE.pop(spark, [])
+    other = spark.newSession()
+    work.written(other.range(3), "t")
+    assert connected_components(spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "a long, b long")).count() == 6
+    (path,), (theirs,) = work.MADE[spark], work.MADE[other]
+    assert os.path.isdir(local(path)) and os.path.isdir(local(theirs))
     work.clean(spark)
-    assert not os.path.exists(path) and work.MADE == []
-    work.MADE.extend(kept)
+    assert not os.path.exists(local(path)) and os.path.isdir(local(theirs)) and work.MADE[spark] == []
+    work.clean(other)
+    work.MADE[spark] = kept
+
+
+def test_several_machines_need_a_shared_folder(spark):
+    from ledgerweave import work
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None if "checkpoint" in key else "file:/w")})
+        sparkContext = type("Context", (), {"master": "yarn", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda key: None)}))})
+
+    with pytest.raises(RuntimeError, match="share"):
+        work.shared_dir(Far())
+    Far.sparkContext.master = "local[2]"
+    assert work.shared_dir(Far()) == "file:///w/_work"
