@@ -6,8 +6,9 @@ its own n-grams is out of place in the language's profile; an n-gram that the
 profile lacks counts as far as can be. The nearest language is predicted.
 
 Profiles are fitted on at most TRAIN_ROWS documents of each language (those with
-the smallest hash of their id; a documented bound). They hold DEPTH n-grams of
-each language, and that is all that is broadcast.
+the smallest hash of their id), for at most MOST_LANGS languages; both are
+documented bounds. They hold DEPTH n-grams of each language, and that is all
+that is broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ledgerweave.work import written
 
 #: N-grams in a profile, and documents that a language's profile is fitted on, at most.
 DEPTH, TRAIN_ROWS = 300, 1_000
+#: Languages that profiles are fitted for, at most: those with the most documents. It bounds what is broadcast.
+MOST_LANGS = 500
 UNDETERMINED = "und"
 #: The number of a blank in an n-gram; not 0, so that n-grams of different lengths differ.
 BLANK = 1
@@ -85,13 +88,39 @@ class Profiles:
         return self.names[best], 1 - float(d[best]) / next_best if next_best > d[best] else 0.0
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, depth: int = DEPTH) -> Profiles:
-    """Profiles of the languages of documents whose crc32(doc_id as text) mod 4 isn't 2."""
+def _chosen(rows: DataFrame, train_rows: int, most_langs: int) -> DataFrame:
+    """(lang, doc_id): of each language the documents with the smallest hash of their id, at most train_rows.
+
+    Counts of each language give a cut on the hash that leaves some more than
+    that, so that the ranking by language meets a few rows, however many a
+    language has. Counts are of different ids, by a sketch; the slack is many
+    times its error.
+    """
+    n = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("n"))
+    n = n.orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not n:
+        return rows.select("lang", "doc_id").limit(0)
+    share = F.create_map(*(F.lit(x) for r in n for x in (r["lang"], min(1.0, (1.5 * train_rows + 200) / max(1, r["n"])))))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    drawn = draw <= F.element_at(share, F.col("lang")) * float(2**53)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
+    left = rows.select("lang", "doc_id").where(drawn).distinct()
+    return left.withColumn("n", first).where(F.col("n") <= train_rows).select("lang", "doc_id")
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, depth: int = DEPTH, most_langs: int = MOST_LANGS) -> Profiles:
+    """Profiles of the languages of documents whose crc32(doc_id as text) mod 4 isn't 2.
+
+    Rows without an id or a language teach nothing; a null or empty text adds no
+    n-gram, a very long one counts whole. Of rows that share an id and a
+    language one text counts, that with the smallest hash. An empty table gives
+    no profiles, and then every prediction is `und`.
+    """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text")).where("lang IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS string)) % 4 <> 2")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= train_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
+    chosen = _chosen(rows, train_rows, most_langs).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     chosen = written(chosen, "language-rows")  # a table, so that Spark knows its size and broadcasts it only if small
-    rows = rows.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
+    rows = rows.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("lang", F.col("t.text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
@@ -120,9 +149,11 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row for each row of docs, from its whole text alone.
 
-    A text that is null or has no letter is `und` with score 0. held_out:
-    crc32(doc_id as text) mod 4 is 2; a null id isn't held out and isn't learnt
-    from. Equally near languages: the first by name.
+    A text that is null or has no letter is `und` with score 0, and so is every
+    text where no language was learnt; a very long text counts whole. Rows that
+    repeat an id have rows of their own. held_out: crc32(doc_id as text) mod 4 is
+    2; a null id isn't held out and isn't learnt from. Equally near languages:
+    the first by name. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
