@@ -6,8 +6,9 @@ rate, and L1 keeps a weight at zero until its evidence is large enough, so a
 model is a short list of places and weights. Features that only one or two rows
 have are not learnt.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (those with the smallest
-hash of their id; a documented bound), in one task over their hashed features.
+The model is fitted on at most TRAIN_ROWS labelled documents (those with the
+smallest hash of their id) and at most TRAIN_PLACES features of theirs in all;
+both are documented bounds, so the one task that learns holds no more than that.
 Scoring reads every whole text; a model has at most 2**BITS weights of 12 bytes.
 """
 
@@ -28,6 +29,8 @@ from ledgerweave.work import written
 
 #: Places that features are hashed to, and labelled rows that a model is fitted on, at most.
 BITS, TRAIN_ROWS = 22, 12_000
+#: Features that a model is fitted on, at most, over all rows; 4 bytes each. Rows that would exceed it are left out.
+TRAIN_PLACES = 48_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 4.0, 0.0, 8
 #: A feature is learnt if so many of the rows have it.
 LEAST_ROWS = 3
@@ -122,15 +125,23 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS, train_places: int = TRAIN_PLACES) -> Model:
     """A model from labelled rows whose crc32(doc_id as text) mod 3 isn't 1.
 
     Labels without an id or a mark are left out; of several for an id the largest
-    counts. Without labelled rows every weight is 0.
+    counts. Of documents that share an id one counts, that whose text has the
+    smallest hash. A null text is empty and has no feature; a very long one has
+    2**bits at most. Without labelled rows, and for empty tables, every weight is 0.
     """
     named = labels.select(labels["doc_id"].cast("long").alias("__id"), labels["toxic"].cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL AND crc32(CAST(__id AS string)) % 3 <> 1")
-    chosen = named.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
+    named = named.groupBy("__id").agg(F.max("__y").alias("__y"))
+    # A cut on the hash leaves some more than is wanted, however many labels there are; the rest are ranked.
+    share = min(1.0, (1.5 * train_rows + 200) / max(1, named.count()))
+    draw = F.shiftrightunsigned(F.xxhash64("__id"), 11)
+    chosen = named.where(draw <= F.lit(share * 2**53)).orderBy(draw, "__id").limit(train_rows)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    rows = rows.groupBy("doc_id").agg(one, F.first("__y").alias("__y")).select("doc_id", "__y", F.col("t.text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = features_of(bits)
@@ -139,10 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits:
             yield pa.RecordBatch.from_arrays([b["order"], b["doc_id"], b["y"], pa.array(x, pa.binary())], ["order", "doc_id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
+        x, y, places = [], [], 0
         for b in batches:
-            x += [np.frombuffer(r, np.uint32) for r in b["x"].to_pylist()]
-            y += b["y"].to_pylist()
+            for row, label in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+                if places + len(row) // 4 <= train_places:
+                    x.append(np.frombuffer(row, np.uint32))
+                    y.append(label)
+                    places += len(row) // 4
         m = ftrl(x, y, bits)
         raised = math.log((ODDS * sum(y) + DOUBT) / (sum(y) + DOUBT))
         yield pa.RecordBatch.from_arrays([pa.array([m.places.astype(np.int64).tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias + raised])], ["places", "weights", "bias"])
@@ -176,7 +190,9 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     """(doc_id, held_out, score, predicted), one row for each row of docs.
 
     held_out: crc32(doc_id as text) mod 3 is 1; the model has seen none of these.
-    A null id isn't held out and has no label. Empty texts have the bias's score.
+    A null id isn't held out and has no label. Null and empty texts have the
+    bias's score; very long ones are scored whole. Rows that repeat an id have
+    rows of their own; an empty table gives an empty result.
     """
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     rows = score(own, fit(docs, labels), keep=["doc_id"])
@@ -185,6 +201,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns.
+
+    Null and empty texts have the bias's score, very long ones are scored whole;
+    rows that tie or repeat stay or go alike. An empty table gives an empty one.
+    """
     model = fit(docs, labels)
     return score(docs.select(*docs.columns), model, name="__lw_score").where(F.col("__lw_score") < threshold).select(*docs.columns)
