@@ -8,8 +8,8 @@ decompressing one frame. Records whose payload equals an earlier page's are
 revisits and hold no payload.
 
 Bundles are written by tasks through pyarrow's file systems into the shared
-folder: first under an attempt's own name, then moved, so a repeated attempt
-replaces its own bundle with the same bytes.
+folder. An attempt's bundles have names of their own, and the index names those
+of the attempts that counted: what a lost attempt left is never read.
 """
 
 from __future__ import annotations
@@ -114,6 +114,9 @@ def _writer(folder: str, captured_at: str):
         bundles, out, last = 0, None, None
         frame, frame_size, sizes, rows, index = [], 0, [], [], []
 
+        def bundle_name() -> str:
+            return f"bundle-{part:06d}-{bundles:04d}-{attempt}.warc.zst"
+
         def close_frame() -> None:
             nonlocal frame, frame_size, rows
             if frame:
@@ -130,24 +133,23 @@ def _writer(folder: str, captured_at: str):
             close_frame()
             out.write(seek_table(sizes))
             out.close()
-            name = f"bundle-{part:06d}-{bundles:04d}.warc.zst"
-            fs.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
+            name = bundle_name()
             ids, pages, frames, at, length = zip(*index, strict=True)
             made = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pages, pa.int64()), pa.array([f"{folder}/{name}"] * len(ids)), pa.array(frames, pa.int64()), pa.array(at, pa.int64()), pa.array(length, pa.int64())], ["record_id", "page_id", "bundle", "frame", "at", "length"])
             out, sizes, index, bundles = None, [], [], bundles + 1
             return made
 
         for b in sliced(batches, 256):
-            for page, url, payload, key, first in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), as_bytes(b["html"]), b["same"].to_pylist(), b["first_id"].to_pylist(), strict=True):
-                again = last == (page, key)  # rows that repeat one page
-                last = (page, key)
+            for place, page, url, payload, key, first, first_place in zip(b["place"].to_pylist(), b["page_id"].to_pylist(), b["url"].to_pylist(), as_bytes(b["html"]), b["same"].to_pylist(), b["first_id"].to_pylist(), b["first_place"].to_pylist(), strict=True):
+                again = last == (place, page, key)  # rows that repeat one page
+                last = (place, page, key)
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 refers = None
-                if key is not None and (again or first != page):
-                    refers = record_id(page if again and first == page else first, digest)
+                if key is not None and (again or first != page or first_place != place):
+                    refers = record_id(first, digest)
                 raw = record(page, url, payload, refers, captured_at)
                 if out is None:
-                    out = fs.open_output_stream(f"{root}/.bundle-{part:06d}-{bundles:04d}.warc.zst.{attempt}")
+                    out = fs.open_output_stream(f"{root}/{bundle_name()}", compression=None)  # frames are compressed already
                 rows.append((record_id(page, digest), page, frame_size, len(raw)))
                 frame.append(raw)
                 frame_size += len(raw)
@@ -164,25 +166,29 @@ def _writer(folder: str, captured_at: str):
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, captured_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each page; return the index, as a table in the shared folder.
 
-    pages has page_id, url and html. A null html is empty; a null url has no
-    field; a null page_id counts as larger than any other. Of records whose
-    payloads are equal and have min_bytes or more, the smallest page_id is the
-    response and the others revisit it; of rows that repeat a page, one is the
-    response. An empty table writes no bundle. Payloads are compared by their
-    SHA-256; only that and the id are grouped, with map-side combination.
+    pages has page_id, url and html. A null html is empty, a very long one is a
+    record like others; a null url has no field; a null page_id counts as larger
+    than any other. Of records whose payloads are equal and have min_bytes or
+    more, the smallest page_id is the response and the others revisit it; of rows
+    that repeat a page, and of rows without an id, one is the response. An empty
+    table writes no bundle. Payloads are compared by their SHA-256; only that and
+    the id are grouped, with map-side combination. Rows are dealt out by page,
+    those without an id by their content.
     """
     spark = pages.sparkSession
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     html = F.coalesce(pages["html"], F.lit(""))
-    place = F.coalesce(pages["page_id"].cast("long"), F.lit(-(2**63)))
-    rows = pages.select(place.alias("place"), pages["page_id"].cast("long").alias("page_id"), pages["url"], html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("same"))
+    page = pages["page_id"].cast("long")
+    place = F.coalesce(page, F.xxhash64(html, pages["url"]))
+    rows = pages.select(place.alias("place"), page.alias("page_id"), pages["url"], html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("same"))
     ids = rows.where("same IS NOT NULL").select("place", "page_id", "same")
-    many = ids.groupBy("same").agg(F.min("page_id").alias("first_id"), F.count("*").alias("many")).where("many > 1").select("same", "first_id")
-    pairs = ids.join(many, "same").select(F.col("place").alias("of"), F.col("same").alias("key"), "first_id").distinct()
-    # Payloads are dealt out once, by page; the join keeps to that, so the rest of its condition isn't an equality.
+    least = F.min(F.struct(F.col("page_id").isNull(), "place", "page_id")).alias("least")
+    many = ids.groupBy("same").agg(least, F.count("*").alias("many")).where("many > 1").select("same", F.col("least.page_id").alias("first_id"), F.col("least.place").alias("first_place"))
+    pairs = ids.join(many, "same").select(F.col("place").alias("of"), F.col("same").alias("key"), "first_id", "first_place").distinct()
+    # Payloads are dealt out once, by place; the join keeps to that, so the rest of its condition isn't an equality.
     placed = rows.repartition("place").join(pairs, (F.col("place") == F.col("of")) & F.col("same").between(F.col("key"), F.col("key")), "left")
-    placed = placed.select("page_id", "url", "html", F.col("key").alias("same"), "first_id").sortWithinPartitions("page_id", "same", "url")
+    placed = placed.select("place", "page_id", "url", "html", F.col("key").alias("same"), "first_id", "first_place").sortWithinPartitions("page_id", "place", "same", "url")
     return written(placed.mapInArrow(_writer(folder, captured_at), INDEX), "warc-index")
 
 
