@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,7 +24,8 @@ class MoneyRules:
     implicit_cents: bool | None = None
     currency: str | None = None
     labels: dict[str, str] = field(default_factory=dict)
-    scale: int = 2
+    #: Digits after the point that a value may have; one with more is refused, never rounded.
+    scale: int = 6
 
 
 def _first(*cases: tuple[Column, Column], default: Column | None = None) -> Column:
@@ -32,9 +34,11 @@ def _first(*cases: tuple[Column, Column], default: Column | None = None) -> Colu
 
 
 def with_money(rows: DataFrame, raw: Column, name: str, rules: MoneyRules) -> DataFrame:
-    """rows with a struct column `name` (value, currency, refusal): an exact decimal, or a code and a null value.
+    """rows with a struct column `name` (value, currency, text, digits, refusal): an exact decimal, or a code and nulls.
 
-    Each step is a projection of its own, so that no expression is repeated in the next.
+    text has the value's own digits and digits counts those after the point, so
+    that precision is a rule of its own. What decimal(38, scale) can't hold is
+    E_TYPE_PRECISION: nothing is rounded. Each step is a projection of its own, so that no expression is repeated in the next.
     """
     kept, c = rows.columns, F.col
     longest_first = sorted(rules.labels, key=lambda x: (-len(x), x))
@@ -71,8 +75,15 @@ def with_money(rows: DataFrame, raw: Column, name: str, rules: MoneyRules) -> Da
     )
     rows = rows.withColumn("__number", number)
     shape = c("__number").rlike("^[0-9]*(\\.[0-9]*)?$") & c("__number").rlike("[0-9]")
-    exact = F.concat(F.when(c("__minus"), "-").otherwise(""), F.when(c("__number").startswith("."), "0").otherwise(""), c("__number"))
-    rows = rows.withColumn("__value", F.when(shape, exact.try_cast(f"decimal(38,{rules.scale})")))
+    rows = rows.withColumn("__number", F.when(shape, c("__number")))
+    whole, fraction = F.regexp_replace(F.substring_index("__number", ".", 1), "^0+", ""), F.regexp_extract("__number", "\\.([0-9]*)$", 1)
+    rows = rows.withColumn("__whole", F.when(whole == "", "0").otherwise(whole)).withColumn("__fraction", fraction)
+    kept_digits = F.regexp_replace("__fraction", "0+$", "")
+    fits = (F.char_length(kept_digits) <= rules.scale) & (F.char_length("__whole") <= 38 - rules.scale)
+    plain_text = F.concat(c("__whole"), F.when(c("__fraction") != "", F.concat(F.lit("."), c("__fraction"))).otherwise(""))
+    signed = F.concat(F.when(c("__minus") & plain_text.rlike("[1-9]"), "-").otherwise(""), plain_text)
+    rows = rows.withColumn("__fits", F.when(c("__number").isNotNull(), fits)).withColumn("__exact", signed)
+    rows = rows.withColumn("__value", F.when(c("__fits"), c("__exact").try_cast(f"decimal(38,{rules.scale})")))
     lone = ~c("__both") & c("__one").isNotNull() & (c("__dots") + c("__commas") == 1) & ~c("__point") & ~c("__group")
     refusal = _first(
         (c("__raw").isNull() | (F.trim("__raw") == ""), F.lit("E_TYPE_EMPTY")),
@@ -81,11 +92,14 @@ def with_money(rows: DataFrame, raw: Column, name: str, rules: MoneyRules) -> Da
         (c("__one").isNull() & c("__digits") & F.lit(rules.implicit_cents is None), F.lit("E_TYPE_AMBIGUOUS_AMOUNT")),
         (lone & declared.isNotNull(), F.lit("E_TYPE_NO_RULE")),
         (lone & declared.isNull() & c("__three"), F.lit("E_TYPE_AMBIGUOUS_AMOUNT")),
-        (c("__value").isNull(), F.lit("E_TYPE_NOT_A_NUMBER")),
+        (c("__fits").isNull(), F.lit("E_TYPE_NOT_A_NUMBER")),
+        (c("__value").isNull(), F.lit("E_TYPE_PRECISION")),
     )
     rows = rows.withColumn("__refusal", refusal)
-    typed = F.struct(F.when(c("__refusal").isNull(), c("__value")).alias("value"), F.when(c("__refusal").isNull(), c("__currency")).alias("currency"), c("__refusal").alias("refusal"))
-    return rows.select(*kept, typed.alias(name))
+    sound = lambda x: F.when(c("__refusal").isNull(), x)
+    typed = F.struct(sound(c("__value")).alias("value"), sound(c("__currency")).alias("currency"), sound(c("__exact")).alias("text"), sound(F.char_length("__fraction")).alias("digits"), c("__refusal").alias("refusal"))
+    # A generator of one row: filters on the result stay above it, or the planner would write out every step within every step.
+    return rows.select(*kept, F.explode(F.array(typed)).alias(name))
 
 
 def date(raw: Column, order: str | None) -> Column:
@@ -115,16 +129,34 @@ def ambiguous_date(raw: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no function for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+@F.pandas_udf(T.StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC").str.casefold().str.normalize("NFC")
+
+
+def _beyond_ascii(text: Column, of) -> Column:
+    """What a Python function makes of a text; one of ASCII alone stays in the JVM, and nulls travel in its place."""
+    return F.coalesce(of(F.when(~text.rlike("^[\\x00-\\x7F]*$"), text)), text)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC; Spark has no function for it."""
+    return _beyond_ascii(text, _nfc)
+
+
+def nfkc(text: Column) -> Column:
+    return _beyond_ascii(text, _nfkc)
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
@@ -146,7 +178,20 @@ def policy_text(raw: Column, compat: bool = False, keep_control: bool = False, n
 
 
 def term_key(text: Column) -> Column:
-    return F.lower(collapsed(nfc(text)))
+    """What terms are compared by: NFC, full case folding (ß is ss), blanks collapsed."""
+    return F.lower(collapsed(_beyond_ascii(text, _folded)))
+
+
+def vocabulary_term(text: Column, terms: dict[str, str]) -> Column:
+    """Struct (value, refusal): the term that a text names; a declared list of terms becomes one map, so no join is needed."""
+    known: dict[str, str] = {}
+    for term, value in terms.items():
+        key = " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFC", term).casefold()).lower().split())
+        if known.setdefault(key, value) != value:
+            raise ValueError(f"E_VOCABULARY_CONTRADICTION {term}")
+    value = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair)), term_key(text)) if known else F.lit(None).cast("string")
+    refusal = F.when(text.isNull() | (F.trim(text) == ""), "E_TYPE_EMPTY").when(value.isNull(), "E_TYPE_NOT_IN_VOCABULARY")
+    return F.struct(F.when(refusal.isNull(), value).alias("value"), refusal.alias("refusal"))
 
 
 def snapped(x: Column) -> Column:
@@ -165,10 +210,9 @@ def rounded(x: Column, digits: int, mode: str) -> Column:
         return F.round(x, digits)
     if mode == "half_even":
         return F.bround(x, digits)
-    scale = F.lit(10**digits)
-    size, sign = F.abs(x) * scale, F.signum(x.cast("double")).cast("int")
-    steps = {"half_down": F.ceil(size - F.lit("0.5").cast("decimal(2,1)")), "up": F.ceil(size), "down": F.floor(size)}[mode]
-    return (steps * sign / scale).cast(f"decimal(38,{digits})")
+    down, up = (F.when(x < 0, a).otherwise(b).cast(f"decimal(38,{digits})") for a, b in ((F.ceil(x, F.lit(digits)), F.floor(x, F.lit(digits))), (F.floor(x, F.lit(digits)), F.ceil(x, F.lit(digits)))))
+    half = F.lit(f"0.{'0' * digits}5").cast(f"decimal({digits + 2},{digits + 1})")
+    return {"up": up, "down": down, "half_down": F.when(F.abs(x - down) > half, up).otherwise(down)}[mode]
 
 
 def run_key(*parts: Column) -> Column:

@@ -63,17 +63,34 @@ def field_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     return both.select(*keys, "path", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def drift(old: DataFrame, new: DataFrame, key: str, shares: list[str], edges: list[str], structure: list[str], edge_tolerance: float = 0.01, share_tolerance: float = 0.10) -> DataFrame:
+def form_snapshot(pages: DataFrame, lines: DataFrame, records: DataFrame, fields: DataFrame, keys: list[str], columns: int) -> DataFrame:
+    """(keys, columns, orientation, rotation, whole_lines, doubtful, unread): what a form looks like, never how much of it there is.
+
+    pages: keys, page, width, height, rotation (the first page counts); lines:
+    keys, cells; records: keys, doubts; fields: keys, refusal. A share of nothing
+    is 0. columns: how many columns the form declares.
+    """
+    one = pages.groupBy(*keys).agg(F.min_by(F.struct("width", "height", "rotation"), "page").alias("__p"))
+    share = lambda rows, hit, name: rows.groupBy(*keys).agg((F.count_if(hit) / F.count("*")).alias(name))
+    out = one.join(share(lines, F.col("cells") >= max(1, columns - 1), "whole_lines"), keys, "left").join(share(records, F.col("doubts") > 0, "doubtful"), keys, "left").join(share(fields, F.col("refusal").isNotNull(), "unread"), keys, "left")
+    w, h = F.col("__p.width"), F.col("__p.height")
+    orientation = F.when((w > 0) & (h > 0), F.when(w > h, "landscape").otherwise("portrait")).otherwise("unknown")
+    shares = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("whole_lines", "doubtful", "unread")]
+    return out.select(*keys, F.lit(columns).alias("columns"), orientation.alias("orientation"), F.coalesce("__p.rotation", F.lit(0)).alias("rotation"), *shares)
+
+
+def drift(old: DataFrame, new: DataFrame, key: str | list[str], shares: list[str], edges: list[str], structure: list[str], edge_tolerance: float = 0.01, share_tolerance: float = 0.10) -> DataFrame:
     """(key, verdict): `different form` where the structure differs or a side lacks the form, `drift` where an edge or a share moved, else `same`."""
-    a = old.select(key, F.lit(True).alias("in_a"), *(F.col(c).alias(f"a_{c}") for c in [*shares, *edges, *structure]))
-    b = new.select(key, F.lit(True).alias("in_b"), *(F.col(c).alias(f"b_{c}") for c in [*shares, *edges, *structure]))
+    keys = [key] if isinstance(key, str) else key
+    a = old.select(*keys, F.lit(True).alias("in_a"), *(F.col(c).alias(f"a_{c}") for c in [*shares, *edges, *structure]))
+    b = new.select(*keys, F.lit(True).alias("in_b"), *(F.col(c).alias(f"b_{c}") for c in [*shares, *edges, *structure]))
     moved = lambda c, by: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) > by
     other, drifted = F.col("in_a").isNull() | F.col("in_b").isNull(), F.lit(False)
     for c in structure:
         other = other | ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     for c, by in [*((c, edge_tolerance) for c in edges), *((c, share_tolerance) for c in shares)]:
         drifted = drifted | F.coalesce(moved(c, by), F.lit(True))
-    return a.join(b, key, "full_outer").select(key, F.when(other, "different form").when(drifted, "drift").otherwise("same").alias("verdict"))
+    return a.join(b, keys, "full_outer").select(*keys, F.when(other, "different form").when(drifted, "drift").otherwise("same").alias("verdict"))
 
 
 def survived(before: DataFrame, after: DataFrame, keys: list[str]) -> Column | DataFrame:

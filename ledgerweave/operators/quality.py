@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +34,22 @@ def by_segments(rows: DataFrame, labels: list[str]) -> DataFrame:
     return rows.withColumn("__s", F.explode(cells)).select(*rows.columns, "__s.*")
 
 
-def metrics(rows: DataFrame, by: list[str], fields: int, source: str) -> DataFrame:
+def metrics(rows: DataFrame, by: list[str], fields: int, source: str, document: str | None = None, threshold: str | None = None) -> DataFrame:
     """The metrics of each group in one aggregation.
 
     rows: status, eligible, correct (tri-state), wrong_fields, source. Records
     whose gold is unknown leave the denominators of FAR, false alarm and error
     rate; automation keeps every eligible record in its own. The 3/N bound is
-    told where FAR counts nothing wrong, with N distinct sources.
+    told where FAR counts nothing wrong, with N distinct sources; with a
+    threshold (a decimal text), shortage is how many sources it still lacks, and
+    null where no number would do. With a document, its distinct values count
+    beside records and sources.
     """
+    needed = None if threshold is None or Decimal(threshold) <= 0 else math.ceil(3 / Decimal(threshold))
     auto, review = F.col("status") == "accepted_auto", F.col("status") == "review"
     n = rows.groupBy(*by).agg(
         F.count("*").alias("records"),
-        F.count_distinct(source).alias("sources"),
+        F.count_distinct(source).alias("sources"), *([F.count_distinct(document).alias("documents")] if document else []),
         F.count_if(auto & F.col("correct").isNotNull()).alias("auto_known"),
         F.count_if(auto & ~F.col("correct")).alias("auto_wrong"),
         F.count_if(F.col("eligible")).alias("eligible"),
@@ -54,13 +61,37 @@ def metrics(rows: DataFrame, by: list[str], fields: int, source: str) -> DataFra
         F.sum(F.coalesce("wrong_fields", F.lit(0))).alias("wrong"),
     )
     return n.select(
-        *by, "records", "sources",
+        *by, "records", *(["documents"] if document else []), "sources",
         ratio(F.col("auto_wrong"), F.col("auto_known")).alias("far"), ratio(F.col("auto_right"), F.col("eligible")).alias("automation"), ratio(F.col("in_review"), F.col("records")).alias("review_load"),
         ratio(F.col("wrong"), F.col("known") * fields).alias("field_error"), ratio(F.col("review_right"), F.col("review_known")).alias("false_alarm"),
         F.when((F.col("auto_wrong") == 0) & (F.col("sources") > 0), F.lit(3.0) / F.col("sources")).alias("rule_of_three"),
+        *([F.when(F.lit(needed is not None), F.greatest(F.lit(0), F.lit(needed or 0) - F.col("sources"))).cast("long").alias("shortage")] if threshold is not None else []),
     )
 
 
+#: The nine metrics in their order.
+METRICS = ("far", "automation", "review_load", "field_error", "coverage_loss", "false_alarm", "throughput_p95", "full_cost", "template_drift")
+
+
+def nine_metrics(measured: DataFrame, coverage: DataFrame, timings: DataFrame, costs: DataFrame, drifted: DataFrame) -> DataFrame:
+    """(segment, value, metric, measure): all nine metrics of the whole and of each segment in one result.
+
+    measured: metrics() by segment and value. coverage (coverage_loss), timings
+    (p95), costs (cost) and drifted (changes of a template's metrics; the largest
+    counts) are told of the whole only: for segments they are null, not missing.
+    """
+    whole = F.col("segment") == ALL
+    one = lambda rows, c, name: rows.agg(F.max(c).cast("double").alias("measure")).select(F.lit(ALL).alias("segment"), F.lit(ALL).alias("value"), F.lit(name).alias("metric"), "measure")
+    shared = [one(coverage, "coverage_loss", "coverage_loss"), one(timings, "p95", "throughput_p95"), one(costs, "cost", "full_cost"), one(drifted, F.abs("change"), "template_drift")]
+    cell = lambda name, c: F.struct(F.lit(name).alias("metric"), c.alias("measure"))
+    own = [cell(m, F.col(m)) for m in METRICS if m in measured.columns]
+    absent = [F.when(~whole, cell(m, F.lit(None).cast("double"))) for m in METRICS if m not in measured.columns]
+    out = measured.select("segment", "value", F.explode(F.array_compact(F.array(*own, *absent))).alias("__m")).select("segment", "value", "__m.*")
+    for rows in shared:
+        out = out.unionByName(rows)
+    return out
+
+
 def coverage_loss(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, coverage_loss): records of gold that weren't found, and unknown ones, over gold's."""
     n = rows.groupBy(*by).agg(F.sum(F.greatest(F.lit(0), F.col("gold") - F.col("found")) + F.col("unknown")).alias("lost"), F.sum("gold").alias("gold"))
@@ -121,7 +152,7 @@ def template_drift(current: DataFrame, admitted: DataFrame, keys: list[str], nam
 
 
 def doubt_groups(doubts: DataFrame, kind: str, record: str, field: str) -> DataFrame:
-    """(kind, records, fields, first, middle, last): groups of records that share a doubt, with examples by record."""
+    """(kind, records, fields, first, middle, last): groups of records that share a doubt, with examples by record; the largest comes first."""
     from pyspark.sql import Window
 
     one = doubts.groupBy(kind, record).agg(F.collect_set(field).alias("f"))
@@ -129,4 +160,4 @@ def doubt_groups(doubts: DataFrame, kind: str, record: str, field: str) -> DataF
     fields = doubts.select(kind, field).distinct().groupBy(kind).agg(F.sort_array(F.collect_list(field)).alias("fields"))
     at = one.withColumn("at", F.row_number().over(Window.partitionBy(kind).orderBy(record)) - 1).join(n, kind)
     spot = lambda k: F.max(F.when(F.col("at") == k, F.col(record)))
-    return at.groupBy(kind, "records").agg(spot(F.lit(0)).alias("first"), spot(F.floor(F.col("records") / 2)).alias("middle"), spot(F.col("records") - 1).alias("last")).join(fields, kind)
+    return at.groupBy(kind, "records").agg(spot(F.lit(0)).alias("first"), spot(F.floor(F.col("records") / 2)).alias("middle"), spot(F.col("records") - 1).alias("last")).join(fields, kind).orderBy(F.desc("records"), kind)

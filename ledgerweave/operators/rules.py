@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PASS, FAIL, UNKNOWN = "PASS", "FAIL", "UNKNOWN"
 CRITICAL, FIXABLE = "critical", "fixable"
@@ -88,34 +89,53 @@ def cross_field(kind: str, *args, **options) -> Column:
 # the schema of a record's fields, in long form.
 
 
-def schema_check(fields: DataFrame, spec: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, field, rule_id, status): presence, then the first of empty and uninterpreted, then type, vocabulary, precision.
+@dataclass(frozen=True)
+class Field:
+    """A declared field: its name, its kind, whether it must be there, its terms and its digits after the point, if declared."""
+
+    name: str
+    kind: str | None
+    required: bool = False
+    terms: tuple[str, ...] | None = None
+    max_digits: int | None = None
+
+
+#: What is known of a record's field; a null struct is a field that the record lacks.
+CELL = "struct<raw: string, kind: string, refusal: string, value_text: string, digits: int>"
 
-    fields: keys, field, raw, kind, refusal, value_text, digits. spec: field,
-    kind, required, terms (array or null), max_digits (or null). Fields that the
-    spec doesn't name fail. A precision is never cut to fit.
+
+def schema_check(records: DataFrame, keys: list[str], spec: list[Field], cells: dict[str, Column], extra: Column | None = None) -> DataFrame:
+    """(keys, field, rule_id, status): presence, then the first of empty and uninterpreted, then type, vocabulary, precision.
+
+    cells: for each field of the record a struct CELL; spec: the declared fields.
+    Everything is told within the record's row, so there is no join. Fields that
+    the spec doesn't name fail: those among cells, and names in the array extra.
+    A precision is never cut to fit. Without a spec the whole check is UNKNOWN.
     """
-    f, s = fields.alias("f"), F.broadcast(spec).alias("s")
-    # The spec is a declared list of fields: it becomes an array of constants, so that no join is needed.
-    lit = lambda r, c: (F.array(*map(F.lit, r[c])) if isinstance(r[c], list) else F.lit(r[c])).cast(spec.schema[c].dataType).alias(c)
-    declared = F.array(*(F.struct(*(lit(r, c) for c in spec.columns)) for r in spec.collect()))
-    wanted = records.select(*keys, F.explode(declared).alias("__spec")).select(*keys, "__spec.*")
-    got = wanted.join(fields.withColumnRenamed("kind", "found"), [*keys, "field"], "left").withColumn("present", F.col("raw").isNotNull() | F.col("refusal").isNotNull() | F.col("found").isNotNull())
-    empty = F.col("present") & (F.coalesce(F.trim("raw"), F.lit("")) == "")
-    unread = F.col("present") & ~empty & F.col("refusal").isNotNull()
-    sound = F.col("present") & ~empty & ~unread
-    must = F.col("required")
-    rules = [
-        Rule("presence", F.when(F.col("present") | ~must, PASS).otherwise(FAIL)),
-        Rule("empty_value", F.when(empty, F.when(must, FAIL).otherwise(PASS))),
-        Rule("uninterpreted", F.when(unread, FAIL)),
-        Rule("type", F.when(sound, F.when(F.col("kind").isNull(), UNKNOWN).when(F.col("found") == F.col("kind"), PASS).otherwise(FAIL))),
-        Rule("vocabulary", F.when(sound & (F.col("kind") == "vocabulary"), F.when(F.col("terms").isNull(), UNKNOWN).when(F.array_contains("terms", F.col("value_text")), PASS).otherwise(FAIL))),
-        Rule("precision", F.when(sound & F.col("max_digits").isNotNull(), F.when(F.col("digits") <= F.col("max_digits"), PASS).otherwise(FAIL))),
-    ]
-    known = apply_rules(got, [*keys, "field"], rules).drop("severity")
-    extra = f.join(s, F.col("f.field") == F.col("s.field"), "left_anti").select(*keys, "field", F.lit("unknown_field").alias("rule_id"), F.lit(FAIL).alias("status"))
-    return known.unionByName(extra)
+    if not spec:
+        return records.select(*keys, F.lit(None).cast("string").alias("field"), F.lit("declared").alias("rule_id"), F.lit(UNKNOWN).alias("status"))
+    told = lambda name, rule, status: F.struct(F.lit(name).alias("field"), F.lit(rule).alias("rule_id"), status.alias("status"))
+    rows = records.select(*keys, *(c.cast(CELL).alias(f"__cell_{n}") for n, c in cells.items()), (extra if extra is not None else F.array().cast("array<string>")).alias("__extra"))
+    results = []
+    for f in spec:
+        cell = F.col(f"__cell_{f.name}") if f.name in cells else F.lit(None).cast(CELL)
+        present, raw = cell.isNotNull(), cell["raw"]
+        empty = present & (F.coalesce(F.trim(raw), F.lit("")) == "")
+        unread = present & ~empty & cell["refusal"].isNotNull()
+        sound = present & ~empty & ~unread
+        results.append(told(f.name, "presence", F.when(present | F.lit(not f.required), PASS).otherwise(FAIL)))
+        results.append(told(f.name, "empty_value", F.when(empty, FAIL if f.required else PASS)))
+        results.append(told(f.name, "uninterpreted", F.when(unread, FAIL)))
+        results.append(told(f.name, "type", F.when(sound, F.when(F.lit(f.kind is None), UNKNOWN).when(cell["kind"] == F.lit(f.kind), PASS).otherwise(FAIL))))
+        if f.kind == "vocabulary":
+            results.append(told(f.name, "vocabulary", F.when(sound, F.when(F.lit(f.terms is None), UNKNOWN).when(cell["value_text"].isin(*(f.terms or [""])), PASS).otherwise(FAIL))))
+        if f.max_digits is not None:
+            results.append(told(f.name, "precision", F.when(sound, F.when(cell["digits"] <= f.max_digits, PASS).otherwise(FAIL))))
+    declared = {f.name for f in spec}
+    foreign = [told(n, "unknown_field", F.when(F.col(f"__cell_{n}").isNotNull(), FAIL)) for n in cells if n not in declared]
+    more = F.transform("__extra", lambda x: F.struct(x.alias("field"), F.lit("unknown_field").alias("rule_id"), F.lit(FAIL).alias("status")))
+    out = rows.select(*keys, F.explode(F.concat(F.array(*results, *foreign), more)).alias("__r"))
+    return out.select(*keys, "__r.*").where("status IS NOT NULL")
 
 
 # Rules over the set of a document's records.
@@ -134,19 +154,43 @@ def order_check(rows: DataFrame, document: list[str], position: list[str], value
     return out.select(*document, status.alias("status"), F.when(F.col("missing") > 0, 0).otherwise(F.col("inversions")).cast("long").alias("inversions"))
 
 
-def gap_check(rows: DataFrame, document: list[str], number: str, policy: str | None) -> DataFrame:
-    """(document, status, missing, runs): numbers absent between the least and the largest; counted by islands, never listed out.
+def inversions(rows: DataFrame, document: list[str], position: list[str], value: str, declared: str) -> DataFrame:
+    """(document, position, before, after): every adjacent pair out of the declared order, a row for each."""
+    before = F.lag(value).over(Window.partitionBy(*document).orderBy(*position))
+    told = rows.withColumn("before", before).withColumn("after", F.col(value))
+    return told.where(F.col("before") > F.col("after") if declared == "ascending" else F.col("before") < F.col("after")).select(*document, *position, "before", "after")
+
+
+#: How many of the missing numbers are named.
+NAMED = 20
+
+
+def gap_check(rows: DataFrame, document: list[str], number: str, policy: str | None, basis: str | None = None) -> DataFrame:
+    """(document, status, missing, runs, first): numbers absent between the least and the largest, counted by islands, the first few named.
 
-    policy: `allowed` PASS, `forbidden` FAIL, else UNKNOWN where some are absent.
+    policy: None (nothing is declared: UNKNOWN), `not_a_sequence` (PASS with a
+    basis, UNKNOWN without one), else by what is found: `allowed` PASS,
+    `forbidden` FAIL, any other UNKNOWN where numbers are absent. A number that
+    is null makes UNKNOWN; so do numbers that aren't whole.
     """
-    given = rows.groupBy(*document).agg(F.count_if(F.col(number).isNull()).alias("nulls"), F.count_distinct(number).alias("n"))
-    after = F.lead(number).over(Window.partitionBy(*document).orderBy(number))
-    held = rows.select(*document, number).where(F.col(number).isNotNull()).distinct().withColumn("hole", after - F.col(number) - 1)
-    holes = held.where("hole > 0").groupBy(*document).agg(F.sum("hole").alias("missing"), F.count("*").alias("runs"))
+    whole = isinstance(rows.schema[number].dataType, T.IntegralType)
+    own = rows.select(*document, F.col(number).alias("__n")) if whole else rows.select(*document, F.when(F.col(number) == F.floor(number), F.col(number)).try_cast("long").alias("__n"))
+    given = own.groupBy(*document).agg(F.count_if(F.col("__n").isNull()).alias("nulls"))
+    after = F.lead("__n").over(Window.partitionBy(*document).orderBy("__n"))
+    held = own.where(F.col("__n").isNotNull()).distinct().withColumn("hole", after - F.col("__n") - 1).where("hole > 0")
+    nth = F.row_number().over(Window.partitionBy(*document).orderBy("__n"))
+    some = F.when(F.col("nth") <= NAMED, F.sequence(F.col("__n") + 1, F.col("__n") + F.least(F.col("hole"), F.lit(NAMED))))
+    holes = held.withColumn("nth", nth).groupBy(*document).agg(F.sum("hole").alias("missing"), F.count("*").alias("runs"), F.slice(F.sort_array(F.flatten(F.collect_list(some))), 1, NAMED).alias("first"))
     out = given.join(holes, document, "left").fillna(0, ["missing", "runs"])
-    found = F.lit({"allowed": PASS, "forbidden": FAIL}.get(policy, UNKNOWN))
-    status = F.when(F.col("nulls") > 0, UNKNOWN).when((F.col("n") < 2) | (F.col("missing") == 0), PASS).otherwise(found)
-    return out.select(*document, status.alias("status"), F.col("missing").cast("long").alias("missing"), F.col("runs").cast("long").alias("runs"))
+    absent = F.col("missing") > 0
+    if policy is None or (policy == "not_a_sequence" and not basis):
+        status = F.lit(UNKNOWN)
+    elif policy == "not_a_sequence":
+        status = F.lit(PASS)
+    else:
+        status = F.when(F.col("nulls") > 0, UNKNOWN).when(~absent, PASS).otherwise({"allowed": PASS, "forbidden": FAIL}.get(policy, UNKNOWN))
+    first = F.coalesce(F.transform("first", lambda x: x.cast("long")), F.array().cast("array<long>"))
+    return out.select(*document, status.alias("status"), F.col("missing").cast("long").alias("missing"), F.col("runs").cast("long").alias("runs"), first.alias("first"))
 
 
 def parse_duplicates(rows: DataFrame, address: list[str]) -> DataFrame:
@@ -180,30 +224,77 @@ def fold(results: DataFrame, keys: list[str], known: tuple[str, ...] = (PASS, FA
     return n.select(*keys, state.alias("state"), (F.col("critical") > 0).alias("critical"))
 
 
-def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjuncts: list[str], run_ok: bool = True) -> DataFrame:
-    """(keys, status, sheet, unmet): the closed conjunction; a conjunct without an observation is unknown.
+#: The closed formula of automatic admission: a record is accepted where every conjunct holds. Fixed values.
+CONJUNCTS = (
+    "run_not_blocked",
+    "coverage_complete",
+    "provenance_complete",
+    "required_types_valid",
+    "order_and_duplicate_checks_passed",
+    "required_totals_passed",
+    "domain_rules_passed",
+    "independent_check_passed_or_not_required_by_versioned_policy",
+    "reversibility_check_passed",
+    "no_value_warning",
+    "template_is_admitted",
+)
+
+
+def observe(rows: DataFrame, keys: list[str], conjuncts: dict[str, list[Rule]]) -> DataFrame:
+    """(keys, conjunct, state, critical): the rules of all rows of a record folded into one observation of each conjunct.
 
-    observations: keys, conjunct, state, critical. Two states for one conjunct
-    are an error that shows as UNKNOWN here and is counted in `contradicted`.
+    One aggregation, whatever the number of rules. A rule that says nothing (null)
+    doesn't count; a conjunct that no rule tells a thing about is unknown.
     """
-    known = observations.where(F.col("conjunct").isin(conjuncts))
-    one = known.groupBy(*keys, "conjunct").agg(F.min("state").alias("state"), F.count_distinct("state").alias("states"), F.max("critical").alias("critical"))
+    told = {(c, k): f"__{c}_{k}" for c, rules in conjuncts.items() for k in range(len(rules))}
+    flat = rows.select(*keys, *(conjuncts[c][k].status.alias(name) for (c, k), name in told.items()))
+    any_of = lambda holds: F.coalesce(F.max(holds), F.lit(False))
+    parts = []
+    for c, rules in conjuncts.items():
+        own = [F.col(told[c, k]) for k in range(len(rules))]
+        failed, critical, open_, said = F.lit(False), F.lit(False), F.lit(False), F.lit(False)
+        for s, rule in zip(own, rules, strict=True):
+            failed = failed | F.coalesce(s == FAIL, F.lit(False))
+            critical = critical | (F.coalesce(s == FAIL, F.lit(False)) & F.lit(rule.severity == CRITICAL))
+            open_ = open_ | F.coalesce(~s.isin(PASS, FAIL), F.lit(False))
+            said = said | s.isNotNull()
+        parts.append((c, any_of(failed), any_of(critical), any_of(open_), any_of(said)))
+    n = flat.groupBy(*keys).agg(*(x.alias(f"{c}__{k}") for c, *columns in parts for k, x in zip(("failed", "critical", "open", "said"), columns, strict=True)))
+    of = lambda c, k: F.col(f"{c}__{k}")
+    cells = F.array(*(F.struct(F.lit(c).alias("conjunct"), F.when(of(c, "failed"), "NO").when(of(c, "open") | ~of(c, "said"), "UNKNOWN").otherwise("YES").alias("state"), of(c, "critical").alias("critical")) for c in conjuncts))
+    return n.select(*keys, F.explode(cells).alias("__o")).select(*keys, "__o.*")
+
+
+def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjuncts: list[str] | tuple[str, ...] = CONJUNCTS, run_ok: bool = True) -> DataFrame:
+    """(keys, status, sheet, unmet, error): the closed conjunction; a conjunct without an observation is unknown.
+
+    observations: keys, conjunct, state, critical. An observation of a conjunct
+    that the formula hasn't, or two states for one conjunct, is an error: such a
+    record gets no status, and goes to the sheet ERRORS with its code. A blocked
+    or failed run gives no status either.
+    """
+    foreign = ~F.coalesce(F.col("conjunct").isin(*conjuncts), F.lit(False))
+    one = observations.groupBy(*keys, "conjunct").agg(F.min("state").alias("state"), F.count_distinct("state").alias("states"), F.max("critical").alias("critical"))
     per = one.groupBy(*keys).agg(
-        F.count_if((F.col("state") == "NO") & F.col("critical") & (F.col("states") == 1)).alias("no_critical"),
-        F.count_if((F.col("state") == "YES") & (F.col("states") == 1)).alias("yes"),
-        F.count_if(F.col("states") > 1).alias("contradicted"),
-    )
-    out = records.select(*keys).join(per, keys, "left").fillna(0, ["no_critical", "yes", "contradicted"])
-    unmet = F.lit(len(conjuncts)) - F.col("yes")
-    status = F.when(F.lit(not run_ok), None).when(F.col("no_critical") > 0, "rejected").when(unmet > 0, "review").otherwise("accepted_auto")
-    sheet = F.when(status == "accepted_auto", "DATA").when(status == "review", "REVIEW").when(status == "rejected", "REJECTED")
-    return out.select(*keys, status.alias("status"), sheet.alias("sheet"), unmet.cast("long").alias("unmet"), F.col("contradicted").cast("long").alias("contradicted"))
+        F.count_if(foreign).alias("foreign"), F.count_if(F.col("states") > 1).alias("contradicted"),
+        F.count_if(~foreign & (F.col("state") == "NO") & F.col("critical")).alias("no_critical"), F.count_if(~foreign & (F.col("state") == "YES")).alias("yes"),
+    )
+    out = records.select(*keys).join(per, keys, "left").fillna(0, ["no_critical", "yes", "contradicted", "foreign"])
+    error = F.when(F.col("foreign") > 0, "E_CONJUNCT_UNKNOWN").when(F.col("contradicted") > 0, "E_CONJUNCT_CONTRADICTED")
+    return _decided(out.withColumn("error", error), keys, F.lit(len(conjuncts)) - F.col("yes"), F.col("no_critical") > 0, run_ok)
+
+
+def _decided(rows: DataFrame, keys: list[str], unmet: Column, rejected: Column, run_ok: bool) -> DataFrame:
+    sound = F.when(rejected, "rejected").when(unmet > 0, "review").otherwise("accepted_auto")
+    status = F.when(F.col("error").isNull() & F.lit(run_ok), sound)
+    sheet = F.when(F.col("error").isNotNull() & F.lit(run_ok), "ERRORS").when(status == "accepted_auto", "DATA").when(status == "review", "REVIEW").when(status == "rejected", "REJECTED")
+    return rows.select(*keys, status.alias("status"), sheet.alias("sheet"), unmet.cast("long").alias("unmet"), "error")
 
 
 def decide_in_row(records: DataFrame, keys: list[str], conjuncts: dict[str, list[Rule]], run_ok: bool = True) -> DataFrame:
-    """decide() where every conjunct comes from rules of the record itself: folded within the row, without a shuffle.
+    """decide() where every conjunct comes from rules of the record's only row: folded within it, without a shuffle.
 
-    A rule that says nothing (null) doesn't count; a conjunct without a result is unknown.
+    Rows that share their keys are decided each for itself: observe() folds them. A rule that says nothing (null) doesn't count; a conjunct without a result is unknown.
     """
     told = {(c, k): f"__{c}_{k}" for c, rules in conjuncts.items() for k in range(len(rules))}
     rows = records.select(*keys, *(conjuncts[c][k].status.alias(name) for (c, k), name in told.items()))
@@ -221,10 +312,8 @@ def decide_in_row(records: DataFrame, keys: list[str], conjuncts: dict[str, list
     unmet = F.lit(0)
     for x in states:
         unmet = unmet + x.cast("int")
-    rows = rows.select(*keys, unmet.alias("unmet"), critical.alias("__critical"))
-    status = F.when(F.lit(not run_ok), None).when(F.col("__critical"), "rejected").when(F.col("unmet") > 0, "review").otherwise("accepted_auto")
-    sheet = F.when(status == "accepted_auto", "DATA").when(status == "review", "REVIEW").when(status == "rejected", "REJECTED")
-    return rows.select(*keys, status.alias("status"), sheet.alias("sheet"), F.col("unmet").cast("long").alias("unmet"), F.lit(0).cast("long").alias("contradicted"))
+    rows = rows.select(*keys, unmet.alias("__unmet"), critical.alias("__critical"), F.lit(None).cast("string").alias("error"))
+    return _decided(rows, keys, F.col("__unmet"), F.col("__critical"), run_ok)
 
 
 def run_state(decisions: DataFrame, run: list[str], blocked: Column | None = None, failed: Column | None = None) -> DataFrame:

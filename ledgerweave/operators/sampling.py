@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,20 +21,50 @@ def triggers(features: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), name) for name, c in features.items())))
 
 
-def select_for_recheck(rows: DataFrame, record: str, mode: str, share: float | None = None, seed: str | None = None) -> DataFrame:
+#: Rows at the edge of a draw that are ranked one by one; hexadecimal digits of the key that a round of counting looks at.
+EDGE, DIGITS = 10_000, 3
+
+
+def first_by_hash(rows: DataFrame, seed: str, record: str, quota: int) -> DataFrame:
+    """The quota rows that come first in the seeded order.
+
+    Counts by the key's leading digits tell where the quota ends: what lies below
+    is a filter, and only the rows of that last bin are ranked. A round counts
+    16**DIGITS bins at most; rounds go on until the bin is small.
+    """
+    key, prefix, need = sample_key(seed, F.col(record)), "", quota
+    while quota > 0:
+        bins = rows.where(F.startswith(key, F.lit(prefix))).groupBy(F.substring(key, len(prefix) + 1, DIGITS).alias("digits")).agg(F.count("*").alias("n")).collect()  # 16**DIGITS rows at most
+        for digits, n in sorted(map(tuple, bins)):
+            if n >= need:
+                prefix += digits
+                break
+            need -= n
+        else:
+            return rows  # all are wanted
+        if n == need:
+            return rows.where(F.substring(key, 1, len(prefix)) <= prefix)
+        if n <= EDGE or len(prefix) + DIGITS > 16:
+            edge = rows.where(F.startswith(key, F.lit(prefix))).orderBy(key, record).limit(need)
+            return rows.where(F.substring(key, 1, len(prefix)) < prefix).unionByName(edge)
+    return rows.limit(0)
+
+
+def select_for_recheck(rows: DataFrame, record: str, mode: str, share: Decimal | str | float | None = None, seed: str | None = None) -> DataFrame:
     """(record, reasons): who is rechecked, and why (K03). rows: record, reasons.
 
     Calibration and high risk take everyone. Stable takes those with a reason,
-    and of the others the first ceil(share * all) in the seeded order.
+    and of the others the first ceil(share * all) in the seeded order; the share
+    is a decimal and isn't rounded. Rows are counted when the plan is built.
     """
     if mode in ("calibration", "high_risk"):
         return rows.select(record, F.array(F.lit(mode)).alias("reasons"))
-    if not share or not 0 < share <= 1 or seed is None:
+    part = Decimal(str(share)) if share is not None else None
+    if mode != "stable" or part is None or not 0 < part <= 1 or seed is None:
         raise ValueError("a stable mode needs a share within (0, 1] and a seed")
-    quota = -(-rows.count() * int(round(share * 10_000)) // 10_000)
-    free = rows.where(F.size("reasons") == 0)
-    drawn = free.orderBy(sample_key(seed, F.col(record)), record).limit(quota).select(record, F.array(F.lit("random")).alias("reasons"))
-    return rows.where(F.size("reasons") > 0).select(record, "reasons").unionByName(drawn)
+    quota = math.ceil(part * rows.count())
+    drawn = first_by_hash(rows.where(F.size("reasons") == 0).select(record), seed, record, quota)
+    return rows.where(F.size("reasons") > 0).select(record, "reasons").unionByName(drawn.select(record, F.array(F.lit("random")).alias("reasons")))
 
 
 def gate(metrics: DataFrame, keys: list[str], threshold: float | None, sampling: bool = True) -> DataFrame:

@@ -25,31 +25,39 @@ def fold_results(t: Tables):
     return out.groupBy("state").agg(F.count("*").alias("orders"), F.count_if("critical").alias("critical"))
 
 
-def unique_lines(t: Tables):
-    """The least line of those that share an address: a total order makes the pick the same everywhere."""
-    first = F.min(F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_returnflag")).alias("x")
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), first).select("l_orderkey", "l_linenumber", "n", "x.*")
+LINE = ["l_orderkey", "l_linenumber"]
 
 
 def decide_lines(t: Tables):
-    line = ["l_orderkey", "l_linenumber"]
-    rows = unique_lines(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    """The eleven conjuncts of each line, from all rows that share its address; one bad row of several decides."""
+    rows = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     shipped = F.when(F.col("l_linenumber") != 7, F.col("l_shipdate"))
-    rules = [
-        R.Rule("schema", F.when(F.col("l_returnflag").isNull(), R.FAIL).otherwise(R.PASS)),
-        R.Rule("dates", R.cross_field("date_order", shipped, F.col("o_orderdate"), "not_earlier"), R.FIXABLE),
-        R.Rule("bounds", R.cross_field("bounds", F.col("l_discount").cast(MONEY), "0.01", "0.10")),
-        R.Rule("duplicates", F.when(F.col("n") > 1, R.FAIL).otherwise(R.PASS), R.FIXABLE),
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    fine = F.lit(R.PASS)
+    rules = {
+        "run_not_blocked": [R.Rule("run", fine)],
+        "coverage_complete": [R.Rule("coverage", F.when(k % 97 == 5, R.UNKNOWN).otherwise(R.PASS))],
+        "provenance_complete": [R.Rule("evidence", F.when(part % 211 == 0, R.FAIL).otherwise(R.PASS), R.FIXABLE)],
+        "required_types_valid": [R.Rule("schema", F.when(F.col("l_returnflag").isNull(), R.FAIL).otherwise(R.PASS)), R.Rule("quantity", R.cross_field("bounds", F.col("l_quantity").cast(MONEY), "1", "50"))],
         # Orders whose key ends in 9 declare no control total.
-        R.Rule("totals", F.when(F.col("l_orderkey") % 10 == 9, R.UNKNOWN).otherwise(R.PASS)),
-    ]
-    return R.decide_in_row(rows, line, {r.rule_id: [r] for r in rules})
+        "required_totals_passed": [R.Rule("totals", F.when(k % 10 == 9, R.UNKNOWN).otherwise(R.PASS))],
+        "domain_rules_passed": [R.Rule("dates", R.cross_field("date_order", shipped, F.col("o_orderdate"), "not_earlier"), R.FIXABLE), R.Rule("bounds", R.cross_field("bounds", F.col("l_discount").cast(MONEY), "0.01", "0.10"))],
+        "independent_check_passed_or_not_required_by_versioned_policy": [R.Rule("second", fine)],
+        "reversibility_check_passed": [R.Rule("reverse", fine)],
+        "no_value_warning": [R.Rule("warning", F.when(part % 53 == 7, R.UNKNOWN).otherwise(R.PASS))],
+        "template_is_admitted": [R.Rule("template", fine)],
+    }
+    twice = R.parse_duplicates(t.lineitem, LINE)
+    state = F.when(F.col("status") == R.PASS, "YES").when(F.col("status") == R.FAIL, "NO").otherwise("UNKNOWN")
+    unique = twice.select(*LINE, F.lit("order_and_duplicate_checks_passed").alias("conjunct"), state.alias("state"), F.lit(False).alias("critical"))
+    return R.decide(twice, R.observe(rows, LINE, rules).unionByName(unique), LINE)
 
 
 LINES = """
-    WITH d AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(struct_pack(a := l_partkey, b := l_suppkey, c := l_shipdate, d := l_discount)) AS x FROM lineitem GROUP BY 1, 2),
-    c AS (SELECT l_orderkey, l_linenumber, CAST(x.d AS DECIMAL(18,2)) NOT BETWEEN 0.01 AND 0.10 AS bad, l_linenumber = 7 OR x.c < o_orderdate AS undated, n > 1 AS twice, l_orderkey % 10 = 9 AS open FROM d JOIN orders ON o_orderkey = l_orderkey),
-    r AS (SELECT l_orderkey, l_linenumber, CAST(bad AS INT) + CAST(undated AS INT) + CAST(twice AS INT) + CAST(open AS INT) AS unmet, CASE WHEN bad THEN 'rejected' WHEN undated OR twice OR open THEN 'review' ELSE 'accepted_auto' END AS status FROM c)
+    WITH c AS (SELECT l_orderkey, l_linenumber, count(*) > 1 AS twice, max(CAST(CAST(l_discount AS DECIMAL(18,2)) NOT BETWEEN 0.01 AND 0.10 AS INT)) > 0 AS bad, l_linenumber = 7 OR max(CAST(l_shipdate < o_orderdate AS INT)) > 0 AS undated,
+        l_orderkey % 10 = 9 AS open, l_orderkey % 97 = 5 AS uncovered, max(CAST(l_partkey % 211 = 0 AS INT)) > 0 AS nowhere, max(CAST(l_partkey % 53 = 7 AS INT)) > 0 AS warned FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+    r AS (SELECT l_orderkey, l_linenumber, CAST(bad OR undated AS INT) + CAST(twice AS INT) + CAST(open AS INT) + CAST(uncovered AS INT) + CAST(nowhere AS INT) + CAST(warned AS INT) AS unmet,
+        CASE WHEN bad THEN 'rejected' WHEN undated OR twice OR open OR uncovered OR nowhere OR warned THEN 'review' ELSE 'accepted_auto' END AS status FROM c)
 """
 
 
@@ -58,6 +66,19 @@ def decide_records(t: Tables):
     return decide_lines(t).select("l_orderkey", "l_linenumber", "status", "sheet", "unmet")
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN m = 1 THEN 'E_CONJUNCT_UNKNOWN' WHEN m = 2 THEN 'E_CONJUNCT_CONTRADICTED' END AS error, CASE WHEN m IN (1, 2) THEN 'ERRORS' WHEN m = 3 THEN 'REJECTED' WHEN m IN (4, 5) THEN 'REVIEW' ELSE 'DATA' END AS sheet,
+           CASE WHEN m = 3 THEN 'rejected' WHEN m IN (4, 5) THEN 'review' WHEN m NOT IN (1, 2) THEN 'accepted_auto' END AS status FROM (SELECT o_orderkey, o_orderkey % 8 AS m FROM orders)""")
+def decide_faulty(t: Tables):
+    """Observations of conjuncts: one that the formula hasn't, two states for one, a critical NO, a missing one, an unknown one."""
+    m = F.col("o_orderkey") % 8
+    cell = lambda c, state, critical=False: F.struct(F.lit(c).alias("conjunct"), F.lit(state).alias("state"), F.lit(critical).alias("critical"))
+    first = R.CONJUNCTS[0]
+    given = [*(cell(c, "YES") for c in R.CONJUNCTS[1:]), F.when(m == 3, cell(first, "NO", True)).when(m == 5, cell(first, "UNKNOWN")).when(m != 4, cell(first, "YES")), F.when(m == 1, cell("no_such_conjunct", "NO", True)), F.when(m == 2, cell(first, "NO"))]
+    told = t.orders.select("o_orderkey", F.explode(F.array_compact(F.array(*given))).alias("o")).select("o_orderkey", "o.*")
+    return R.decide(t.orders, told, ["o_orderkey"]).select("o_orderkey", "error", "sheet", "status")
+
+
 @query(LINES + """SELECT o_orderpriority AS priority, count(*) AS records, count_if(status = 'accepted_auto') AS data, count_if(status = 'review') AS review, count_if(status = 'rejected') AS rejected,
     count_if(status = 'accepted_auto') / count(*) AS automation FROM r JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def decision_summary(t: Tables):
@@ -90,6 +111,18 @@ def seeded_sample(t: Tables):
     return S.select_for_recheck(rows, "doc_id", "stable", 0.05, "seed-1").select("doc_id", F.concat_ws(",", "reasons").alias("reasons"))
 
 
+@query("""
+    WITH k AS (SELECT event_id, substr(sha256('seed-2|' || event_id), 1, 16) AS k FROM events), n AS (SELECT event_id, row_number() OVER (ORDER BY k, event_id) AS n FROM k)
+    SELECT '0.00004' AS share, event_id FROM n WHERE n <= (SELECT ceil(count(*) * 0.00004) FROM events) UNION ALL SELECT '0.33333', event_id FROM n WHERE n <= (SELECT ceil(count(*) * 0.33333::DECIMAL(9,5)) FROM events) UNION ALL SELECT '1', event_id FROM n""")
+def seeded_shares(t: Tables):
+    """Quotas of exact decimal shares: a tiny one still draws a row, and the whole draws all."""
+    rows, out = t.events.select("event_id", F.array().cast("array<string>").alias("reasons")), None
+    for share in ("0.00004", "0.33333", "1"):
+        one = S.select_for_recheck(rows, "event_id", "stable", share, "seed-2").select(F.lit(share).alias("share"), "event_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""
     WITH m AS (SELECT source, count(*) AS observations, sum(1 - quality) AS errors FROM documents JOIN labels USING (doc_id) GROUP BY 1),
     g AS (SELECT source, observations, CAST(errors AS BIGINT) AS errors, CASE WHEN source = 'src3' THEN 'version' WHEN 3.0 / observations > 0.2 THEN 'rule_of_three' WHEN CAST(errors AS DOUBLE) / observations > 0.2 THEN 'error_share' ELSE 'open' END AS gate FROM m)

@@ -24,13 +24,16 @@ LABELLED = """
 """
 
 
-def _measured(t: Tables):
+def _segmented(t: Tables):
     n = F.col("n_chars")
     status = F.when(n > 4000, "rejected").when(n < 600, "review").otherwise("accepted_auto")
     seen = t.documents.select("doc_id", "source", "lang", status.alias("status"), (n >= 100).alias("eligible"), F.when(n < 250, 0).otherwise(1).alias("quality"))
     gold = t.labels.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("quality")).alias("quality"))
-    rows = Q.by_segments(Q.compare_with_gold(seen, gold, ["doc_id"], ["quality"]), ["lang", "source"])
-    return Q.metrics(rows, ["segment", "value"], 1, "source")
+    return Q.by_segments(Q.compare_with_gold(seen, gold, ["doc_id"], ["quality"]), ["lang", "source"])
+
+
+def _measured(t: Tables):
+    return Q.metrics(_segmented(t), ["segment", "value"], 1, "source")
 
 
 @query(LABELLED + "SELECT * FROM m")
@@ -39,6 +42,28 @@ def bench_nine_metrics(t: Tables):
     return _measured(t)
 
 
+@query(LABELLED.replace("count(DISTINCT source) AS sources,", "count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS documents, CAST(greatest(0, 30 - count(DISTINCT source)) AS BIGINT) AS shortage,") + """,
+    t AS (SELECT max(p) AS p FROM (SELECT CAST(quantile_disc(value, 0.95) AS DOUBLE) AS p FROM events)), c AS (SELECT CAST(sum(CAST(length(text) AS DECIMAL(18,2))) AS DOUBLE) / count(DISTINCT conv_id) AS c FROM conversations),
+    l AS (SELECT sum(greatest(0, g - f)) / sum(g) AS l FROM (SELECT count(*) AS g, count_if(n_chars >= 100) AS f FROM documents GROUP BY source)), d AS (SELECT abs(far - 0.5) AS d FROM m WHERE segment = 'all'),
+    u AS (SELECT segment, value, unnest([{'metric': 'far', 'measure': far}, {'metric': 'automation', 'measure': automation}, {'metric': 'review_load', 'measure': review_load}, {'metric': 'field_error', 'measure': field_error}, {'metric': 'false_alarm', 'measure': false_alarm},
+        {'metric': 'coverage_loss', 'measure': CASE WHEN segment = 'all' THEN (SELECT l FROM l) END}, {'metric': 'throughput_p95', 'measure': CASE WHEN segment = 'all' THEN (SELECT p FROM t) END}, {'metric': 'full_cost', 'measure': CASE WHEN segment = 'all' THEN (SELECT c FROM c) END},
+        {'metric': 'template_drift', 'measure': CASE WHEN segment = 'all' THEN (SELECT d FROM d) END}, {'metric': 'documents', 'measure': documents}, {'metric': 'shortage', 'measure': shortage}]) AS x FROM m)
+    SELECT segment, value, x.metric AS metric, CAST(x.measure AS DOUBLE) AS measure FROM u""")
+def all_nine_metrics(t: Tables):
+    """The nine metrics of the whole and of each segment in one result, with documents as a level of counting and what the rule of three still lacks."""
+    rows = _segmented(t)
+    measured = Q.metrics(rows, ["segment", "value"], 1, "source", "doc_id", "0.1")
+    whole = t.events.select(F.lit(1).alias("k"), "value")
+    covered = t.documents.groupBy("source").agg(F.count("*").alias("gold"), F.count_if(F.col("n_chars") >= 100).alias("found")).select(F.lit(1).alias("k"), "gold", "found", F.lit(0).alias("unknown"))
+    none = F.lit(0).cast("decimal(18,2)")
+    cost = t.conversations.select(F.lit(1).alias("k"), F.col("conv_id").alias("document"), F.char_length("text").cast("decimal(18,2)").alias("compute"), none.alias("api"), none.alias("storage"), none.alias("minutes"), none.alias("minute_price"))
+    now = measured.where("segment = 'all'").select(F.lit(1).alias("k"), "far")
+    drifted = Q.template_drift(now, now.withColumn("far", F.lit(0.5)), ["k"], ["far"])
+    nine = Q.nine_metrics(measured, Q.coverage_loss(covered, ["k"]), Q.percentiles(whole, ["k"], "value"), Q.full_cost(cost, ["k"]), drifted)
+    more = measured.select("segment", "value", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("measure")) for c in ("documents", "shortage")))).alias("m")).select("segment", "value", "m.*")
+    return nine.unionByName(more)
+
+
 @query(LABELLED + "SELECT segment, value, far FROM m WHERE segment <> 'all' AND far IS NOT NULL ORDER BY far DESC, segment, value LIMIT 1")
 def bench_segments_weakest(t: Tables):
     return Q.weakest(_measured(t), "far").select("segment", "value", "far")
@@ -65,14 +90,36 @@ def cost_per_document(t: Tables):
     return Q.full_cost(rows, ["role"]).withColumn("total", F.col("total").cast("double"))
 
 
-@query("""
-    WITH f AS (SELECT lang, source, count(*) AS n, avg(CAST(n_chars < 1000 AS INT)) AS short, min(n_chars) / 100000 AS edge, max(lang) AS s FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1, 2),
-    a AS (SELECT * FROM f WHERE source = 'src1'), b AS (SELECT * FROM f WHERE source = 'src2')
-    SELECT coalesce(a.lang, b.lang) AS lang, CASE WHEN a.lang IS NULL OR b.lang IS NULL THEN 'different form' WHEN abs(a.short - b.short) > 0.1 OR abs(a.edge - b.edge) > 0.01 THEN 'drift' ELSE 'same' END AS verdict FROM a FULL JOIN b ON a.lang = b.lang""")
+SNAPSHOT = """
+    WITH d AS (SELECT lang, CAST(substr(source, 4) AS INT) AS version, doc_id, n_chars, text FROM documents), p AS (SELECT lang, version, arg_min(doc_id, doc_id) AS page, min(doc_id) AS f FROM d GROUP BY 1, 2),
+    l AS (SELECT lang, version, len(string_split(x, ' ')) AS cells FROM (SELECT lang, version, unnest(string_split(text, chr(10))) AS x FROM d)), w AS (SELECT lang, version, count_if(cells >= 7) / count(*) AS whole_lines FROM l GROUP BY 1, 2),
+    r AS (SELECT lang, version, count_if(n_chars > 4000) / count(*) AS doubtful, count_if(n_chars < 300) / count(*) AS unread FROM d GROUP BY 1, 2),
+    s AS (SELECT p.lang, p.version, 8 AS columns, CASE WHEN f % 11 = 0 THEN 'unknown' WHEN f % 3 = 0 THEN 'landscape' ELSE 'portrait' END AS orientation, CAST(CASE WHEN f % 13 = 0 THEN 90 ELSE 0 END AS INT) AS rotation, whole_lines, doubtful, unread
+        FROM p JOIN w ON w.lang = p.lang AND w.version = p.version JOIN r ON r.lang = p.lang AND r.version = p.version)
+"""
+
+
+def _snapshots(t: Tables):
+    d = t.documents.select("lang", F.substring("source", 4, 10).cast("int").alias("version"), "doc_id", "n_chars", "text")
+    keys, k = ["lang", "version"], F.col("doc_id")
+    pages = d.select(*keys, k.alias("page"), F.when(k % 11 != 0, F.when(k % 3 == 0, 800).otherwise(500)).alias("width"), F.lit(600).alias("height"), F.when(k % 13 == 0, 90).otherwise(0).alias("rotation"))
+    lines = d.select(*keys, F.explode(F.split("text", "\n")).alias("line")).select(*keys, F.size(F.split("line", " ")).alias("cells"))
+    return C.form_snapshot(pages, lines, d.select(*keys, (F.col("n_chars") > 4000).cast("int").alias("doubts")), d.select(*keys, F.when(F.col("n_chars") < 300, "E_TYPE_EMPTY").alias("refusal")), keys, 8)
+
+
+@query(SNAPSHOT + "SELECT * FROM s")
+def form_snapshots(t: Tables):
+    """What each language's form looks like in each of its versions (here sources): first page, whole lines, doubts, unread fields."""
+    return _snapshots(t)
+
+
+@query(SNAPSHOT + """SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.version + 1, b.version) AS version, CASE WHEN a.lang IS NULL OR b.lang IS NULL OR a.orientation <> b.orientation OR a.rotation <> b.rotation THEN 'different form'
+    WHEN abs(a.whole_lines - b.whole_lines) > 0.1 OR abs(a.doubtful - b.doubtful) > 0.1 OR abs(a.unread - b.unread) > 0.1 THEN 'drift' ELSE 'same' END AS verdict FROM s a FULL JOIN s b ON a.lang = b.lang AND a.version + 1 = b.version""")
 def form_drift(t: Tables):
-    """Snapshots of a form (here a language) from two sources, compared by name."""
-    snap = t.documents.where(F.col("source").isin("src1", "src2")).groupBy("lang", "source").agg(F.avg((F.col("n_chars") < 1000).cast("int")).alias("short"), (F.min("n_chars") / 100000).alias("edge"), F.max("lang").alias("s"))
-    return C.drift(snap.where("source = 'src1'"), snap.where("source = 'src2'"), "lang", ["short"], ["edge"], ["s"])
+    """Each version's snapshot against the one before it."""
+    now = _snapshots(t)
+    was = now.withColumn("version", F.col("version") + 1)
+    return C.drift(was, now, ["lang", "version"], ["whole_lines", "doubtful", "unread"], [], ["columns", "orientation", "rotation"])
 
 
 @query("""

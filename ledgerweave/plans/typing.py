@@ -27,7 +27,7 @@ def type_money(t: Tables):
         .when(k == 4, F.concat(F.lit("+ "), F.regexp_replace(comma, "(\\d)(?=(\\d{3})+,)", "$1 "))).when(k == 5, F.concat(comma, F.lit(" kr"))).when(k == 6, "  ").otherwise(comma)
     )
     typed = V.with_money(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), raw, "m", MONEY)
-    return typed.select("l_orderkey", "l_linenumber", "l_partkey", F.col("m.value").cast("string").alias("value"), "m.currency", "m.refusal")
+    return typed.select("l_orderkey", "l_linenumber", "l_partkey", F.col("m.text").alias("value"), "m.currency", "m.refusal")
 
 
 @query("""
@@ -42,17 +42,35 @@ def type_date(t: Tables):
     return typed.select("o_orderkey", F.col("d.value").cast("string").alias("value"), "d.refusal", "ambiguous")
 
 
-TERMS = [("1-urgent", "urgent"), ("2-high", "high"), ("3-medium", "medium"), ("5-low", "low")]
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, CAST(l_quantity AS BIGINT) AS q, l_partkey % 6 AS k FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, k, CASE k WHEN 0 THEN CAST(CAST(a / 10 AS DECIMAL(18,3)) AS VARCHAR) WHEN 1 THEN CAST(CAST(-a / 100 AS DECIMAL(18,4)) AS VARCHAR) WHEN 2 THEN q || '.005' WHEN 5 THEN CAST(q AS VARCHAR) END AS value,
+           CASE k WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 5 THEN 0 END AS digits, CASE k WHEN 3 THEN 'E_TYPE_PRECISION' WHEN 4 THEN 'E_TYPE_PRECISION' END AS refusal FROM l""")
+def type_exact_money(t: Tables):
+    """Amounts of three, four and no digits after the point are kept as they are; those of seven, or of forty before it, are refused and never rounded."""
+    a, k = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_partkey") % 6
+    point = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    whole = F.col("l_quantity").cast("long").cast("string")
+    raw = (
+        F.when(k == 0, point((a / 10).cast("decimal(18,3)"))).when(k == 1, F.concat(F.lit("-"), point((a / 100).cast("decimal(18,4)")))).when(k == 2, F.concat(whole, F.lit(",005")))
+        .when(k == 3, F.concat(whole, F.lit(",1234567"))).when(k == 4, F.concat(F.repeat(F.lit("9"), 40), F.lit(",5"))).otherwise(whole)
+    )
+    rules = V.MoneyRules(decimal=",", group=" ", implicit_cents=False, currency="RUB")
+    typed = V.with_money(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", k.alias("k"), raw.alias("raw")), F.col("raw"), "m", rules)
+    return typed.select("l_orderkey", "l_linenumber", "l_partkey", "k", F.col("m.text").alias("value"), "m.digits", "m.refusal")
 
 
 @query("""
     SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' END AS value,
-           CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'E_TYPE_NOT_IN_VOCABULARY' END AS refusal FROM orders""")
+           CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'E_TYPE_NOT_IN_VOCABULARY' END AS refusal FROM orders
+    UNION ALL SELECT -o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN 'street' END, CASE WHEN o_orderkey % 5 = 3 THEN 'E_TYPE_EMPTY' WHEN o_orderkey % 5 = 4 THEN 'E_TYPE_NOT_IN_VOCABULARY' END FROM orders""")
 def type_vocabulary(t: Tables):
-    """A term outside the vocabulary is refused; the vocabulary is a declared list, so a few rows."""
-    terms = F.broadcast(t.spark.createDataFrame(TERMS, "key string, value string"))
-    rows = t.orders.select("o_orderkey", F.lower(V.collapsed(F.col("o_orderpriority"))).alias("key"))
-    return rows.join(terms, "key", "left").select("o_orderkey", "value", F.when(F.col("value").isNull(), "E_TYPE_NOT_IN_VOCABULARY").alias("refusal"))
+    """A term outside the vocabulary is refused; terms are compared with their case folded: sharp s and SS, composed and decomposed letters."""
+    terms = {"1-Urgent": "urgent", "2-high": "high", "3-medium": "medium", "5-low": "low", "Große  Straße": "street"}
+    k = F.col("o_orderkey") % 5
+    written = F.when(k == 0, "GROSSE STRASSE").when(k == 1, " große\tStraße").when(k == 2, "GROẞE Straße").when(k == 3, " ").otherwise("Grosse Gasse")
+    rows = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("raw")).unionByName(t.orders.select((-F.col("o_orderkey")).alias("o_orderkey"), written.alias("raw")))
+    return rows.select("o_orderkey", V.vocabulary_term(F.col("raw"), terms).alias("v")).select("o_orderkey", "v.value", "v.refusal")
 
 
 @query("""

@@ -34,18 +34,16 @@ def text(c):
 def schema_check(t: Tables):
     """Orders' fields in long form: missing, empty, uninterpreted, of another type, too precise, unknown."""
     k = F.col("o_orderkey") % 11
-    cell = lambda name, raw, kind, refusal, value, digits: F.struct(F.lit(name).alias("field"), raw.alias("raw"), kind.alias("kind"), refusal.alias("refusal"), value.alias("value_text"), digits.alias("digits"))
+    cell = lambda raw, kind, refusal, value, digits: F.struct(raw.alias("raw"), kind.alias("kind"), refusal.alias("refusal"), value.alias("value_text"), digits.alias("digits"))
     amount = F.col("o_totalprice").cast(MONEY).cast("string")
     none = F.lit(None).cast("string")
-    cells = F.array_compact(F.array(
-        F.when(k != 1, cell("amount", F.when(k == 2, " ").when(k == 3, "n/a").otherwise(amount), F.when(k == 4, "text").otherwise("money"), F.when(k == 3, "E_TYPE_NOT_A_NUMBER"), amount, F.when(k == 5, 3).otherwise(2))),
-        cell("priority", F.col("o_orderpriority"), F.lit("vocabulary"), none, F.col("o_orderpriority"), F.lit(None).cast("int")),
-        F.when(k == 6, cell("extra", amount, F.lit("money"), none, amount, F.lit(2))),
-    ))
-    fields = t.orders.select("o_orderkey", F.explode(cells).alias("c")).select("o_orderkey", "c.*")
-    spec = t.spark.createDataFrame([("amount", "money", True, None, 2), ("priority", "vocabulary", True, ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], None), ("note", "text", False, None, None)], "field string, kind string, required boolean, terms array<string>, max_digits int")
-    out = R.schema_check(fields, spec, t.orders, ["o_orderkey"])
-    return out.groupBy("field", "rule_id", "status").agg(F.count("*").alias("n"))
+    cells = {
+        "amount": F.when(k != 1, cell(F.when(k == 2, " ").when(k == 3, "n/a").otherwise(amount), F.when(k == 4, "text").otherwise("money"), F.when(k == 3, "E_TYPE_NOT_A_NUMBER"), amount, F.when(k == 5, 3).otherwise(2))),
+        "priority": cell(F.col("o_orderpriority"), F.lit("vocabulary"), none, F.col("o_orderpriority"), F.lit(None).cast("int")),
+        "extra": F.when(k == 6, cell(amount, F.lit("money"), none, amount, F.lit(2))),
+    }
+    spec = [R.Field("amount", "money", True, max_digits=2), R.Field("priority", "vocabulary", True, ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")), R.Field("note", "text")]
+    return R.schema_check(t.orders, ["o_orderkey"], spec, cells).groupBy("field", "rule_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -70,11 +68,31 @@ def order_inversions(t: Tables):
 
 
 @query("""
-    WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), s AS (SELECT l_orderkey, max(n) - min(n) + 1 - count(*) AS missing, count(*) AS c FROM e GROUP BY l_orderkey),
-    g AS (SELECT l_orderkey, lead(n) OVER (PARTITION BY l_orderkey ORDER BY n) - n > 1 AS hole FROM e)
-    SELECT s.l_orderkey, CASE WHEN missing > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(missing AS BIGINT) AS missing, count_if(coalesce(hole, false)) AS runs FROM s JOIN g ON g.l_orderkey = s.l_orderkey GROUP BY ALL""")
+    SELECT user_id, ts, event_id, before, after FROM (SELECT user_id, ts, event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, value AS after FROM events) WHERE before > after""")
+def order_inversions_listed(t: Tables):
+    """Every inversion, a row for each."""
+    return R.inversions(t.events, ["user_id"], ["ts", "event_id"], "value", "ascending")
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem), s AS (SELECT l_orderkey, max(n) - min(n) + 1 - count(*) AS missing, min(n) AS low, max(n) AS high, list(n) AS held FROM e GROUP BY l_orderkey),
+    g AS (SELECT l_orderkey, lead(n) OVER (PARTITION BY l_orderkey ORDER BY n) - n > 1 AS hole FROM e), r AS (SELECT l_orderkey, count_if(coalesce(hole, false)) AS runs FROM g GROUP BY 1)
+    SELECT s.l_orderkey, CASE WHEN missing > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CAST(missing AS BIGINT) AS missing, runs, array_to_string(list_filter(range(low, high), lambda x: NOT list_contains(held, x)), ',') AS first FROM s JOIN r ON r.l_orderkey = s.l_orderkey""")
 def number_gaps(t: Tables):
-    return R.gap_check(t.lineitem, ["l_orderkey"], "l_linenumber", "forbidden")
+    return R.gap_check(t.lineitem, ["l_orderkey"], "l_linenumber", "forbidden").withColumn("first", F.concat_ws(",", "first"))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT user_id, event_id AS n FROM events), s AS (SELECT user_id, max(n) - min(n) + 1 - count(*) AS missing, min(n) AS low, list(n) AS held FROM e GROUP BY 1),
+    p AS (SELECT * FROM (VALUES ('allowed', 'PASS'), ('forbidden', 'FAIL'), ('undeclared', 'UNKNOWN'), ('not_a_sequence', 'PASS'), ('no_basis', 'UNKNOWN')) v(policy, found))
+    SELECT policy, user_id, CASE WHEN missing > 0 OR policy IN ('undeclared', 'not_a_sequence', 'no_basis') THEN found ELSE 'PASS' END AS status, array_to_string(list_slice(list_filter(range(low, low + 400 + len(held)), lambda x: NOT list_contains(held, x) AND x < list_max(held)), 1, 20), ',') AS first FROM s, p""")
+def gap_policies(t: Tables):
+    """Gaps in each user's event numbers under every declaration; the first twenty missing numbers are named."""
+    policies, out = {"allowed": ("allowed", None), "forbidden": ("forbidden", None), "undeclared": (None, None), "not_a_sequence": ("not_a_sequence", "numbers of other documents"), "no_basis": ("not_a_sequence", None)}, None
+    for name, (policy, basis) in policies.items():
+        one = R.gap_check(t.events, ["user_id"], "event_id", policy, basis).select(F.lit(name).alias("policy"), "user_id", "status", F.concat_ws(",", "first").alias("first"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""
@@ -96,10 +114,120 @@ def balance_by_currency(t: Tables):
     ends = closing.select("document", F.lit("closing").alias("name"), "currency", (F.col("v") + cent).cast("decimal(38,2)").alias("value"))
     starts = t.nation.select(F.lit(1).alias("document"), F.lit("opening").alias("name"), F.col("n_nationkey").alias("currency"), F.lit("0.00").cast("decimal(38,2)").alias("value"))
     out = T.balance(records, ends.unionByName(starts), ["document"]).join(F.broadcast(t.nation), F.col("currency") == F.col("n_nationkey"))
-    used = out.where("computed IS NOT NULL").join(named.select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    used = out.join(named.select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
     return used.select(F.col("n_name").alias("currency"), "status", text("computed"), text("closing"))
 
 
+@query("""
+    WITH l AS (SELECT l_orderkey AS k, l_linenumber, l_orderkey % 6 AS m, CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(CAST(l_discount AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS DECIMAL(38,4)) AS r FROM lineitem),
+    s AS (SELECT k, m, CAST(sum(p * r) AS DECIMAL(38,6)) AS c, count(*) AS n FROM l GROUP BY 1, 2),
+    v AS (SELECT k, CASE m WHEN 0 THEN CAST(round(c, 2) AS DECIMAL(38,6)) WHEN 1 THEN c WHEN 2 THEN CAST(c + 0.000001 AS DECIMAL(38,6)) WHEN 4 THEN 0 WHEN 5 THEN NULL ELSE c END AS v, c, m FROM s)
+    SELECT k AS document, CASE WHEN m IN (3, 4) THEN 'UNKNOWN' WHEN v IS NULL THEN 'UNKNOWN' WHEN v = c THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN m = 4 THEN NULL ELSE CAST(c AS VARCHAR) END AS computed, CAST(v AS VARCHAR) AS declared FROM v""")
+def exact_control_totals(t: Tables):
+    """Amounts of six digits after the point: a total that was rounded, or is off in the last digit, fails; amounts that weren't read and sums beyond 38 digits are UNKNOWN."""
+    k, price = F.col("l_orderkey") % 6, F.col("l_extendedprice").cast(MONEY)
+    amount = (price * (F.col("l_discount").cast(MONEY) * F.col("l_tax").cast(MONEY)).cast("decimal(9,4)")).cast("decimal(38,6)")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("document"), k.alias("m"), amount.alias("amount"))
+    total = rows.groupBy("document", "m").agg(F.sum("amount").alias("c"))
+    one = F.lit("0.000001").cast("decimal(7,6)")
+    six = lambda c: c.cast("decimal(38,6)")
+    value = F.when(F.col("m") == 0, six(F.round("c", 2))).when(F.col("m") == 2, six(F.col("c") + one)).when(F.col("m") == 4, six(F.lit(0))).when(F.col("m") != 5, six(F.col("c")))
+    whole = F.lit("9" * 32).cast("decimal(38,6)")
+    huge = rows.where("m = 4").select("document", "m").distinct().select("document", F.explode(F.array_repeat(whole, 4)).alias("amount"))
+    unread = rows.where("m = 3").select("document").distinct().withColumn("amount", F.lit(None).cast("decimal(38,6)"))
+    own = rows.select("document", "amount").unionByName(huge).unionByName(unread)
+    out = T.control_totals(own, total.select("document", value.alias("value")), ["document"])
+    return out.select("document", "status", F.col("computed").cast("string").alias("computed"), F.col("declared").cast("string").alias("declared"))
+
+
+@query("""
+    WITH o AS (SELECT o_custkey AS document, o_orderpriority AS currency, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) / 8 AS a, o_custkey % 5 AS m FROM orders), e AS (SELECT document, currency, m, CAST(sum(CAST(a AS DECIMAL(38,5))) AS DECIMAL(38,5)) AS c FROM o GROUP BY 1, 2, 3)
+    SELECT document, currency, CASE WHEN m = 1 THEN 'UNKNOWN' WHEN m = 2 AND round(c, 2) <> c THEN 'FAIL' ELSE 'PASS' END AS status, CAST(c AS VARCHAR) AS computed FROM e""")
+def exact_balance(t: Tables):
+    """Thousandths of a unit: exact sums hold, a closing balance that was rounded doesn't, and one record without a currency leaves the document open."""
+    m = F.col("o_custkey") % 5
+    amount = (F.col("o_totalprice").cast(MONEY) / 8).cast("decimal(38,5)")
+    rows = t.orders.select(F.col("o_custkey").alias("document"), F.col("o_orderpriority").alias("currency"), amount.alias("a"), m.alias("m"))
+    sums = rows.groupBy("document", "currency", "m").agg(F.sum("a").alias("c"))
+    ends = sums.select("document", F.lit("closing").alias("name"), "currency", F.when(F.col("m") == 2, F.round("c", 2).cast("decimal(38,5)")).otherwise(F.col("c")).alias("value"))
+    starts = sums.select("document", F.lit("opening").alias("name"), "currency", F.lit(0).cast("decimal(38,5)").alias("value"))
+    unnamed = rows.where("m = 1").select("document").distinct().select("document", F.lit(None).cast("string").alias("currency"), F.lit("1.00000").cast("decimal(38,5)").alias("a"))
+    records = rows.select("document", "currency", "a").unionByName(unnamed).select("document", "currency", T.side(F.col("a")).alias("s")).select("document", "currency", "s.*")
+    return T.balance(records, starts.unionByName(ends), ["document"]).select("document", "currency", "status", F.col("computed").cast("string").alias("computed"))
+
+
+@query("""
+    WITH n AS (SELECT c_nationkey AS k, count(*) AS n, count(DISTINCT c_mktsegment) AS s, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS t, count_if(c_custkey % 977 = 0) AS open FROM customer GROUP BY 1)
+    SELECT k, CASE WHEN s > 1 THEN 'FAIL' ELSE 'PASS' END AS status FROM n UNION ALL
+    SELECT c_custkey + 100, CASE WHEN c_custkey % 977 = 0 THEN 'UNKNOWN' ELSE 'PASS' END FROM customer""")
+def single_currency_sums(t: Tables):
+    """Sums of nations, whose customers have several currencies (here segments), and of single customers, some without one."""
+    rows = t.customer.select(F.col("c_nationkey").cast("long").alias("k"), F.col("c_acctbal").cast(MONEY).alias("a"), F.col("c_mktsegment").alias("c"))
+    lone = t.customer.select((F.col("c_custkey") + 100).alias("k"), F.col("c_acctbal").cast(MONEY).alias("a"), F.when(F.col("c_custkey") % 977 != 0, F.col("c_mktsegment")).alias("c"))
+    return T.single_currency_sum(rows, ["k"], "a", "c").unionByName(T.single_currency_sum(lone, ["k"], "a", "c")).select("k", "status")
+
+
+@query("""
+    SELECT o_orderpriority AS p, trouble, CASE trouble WHEN 'no_value' THEN 'UNKNOWN' WHEN 'no_currency' THEN 'UNKNOWN' ELSE 'FAIL' END AS status, count(*) AS records FROM (
+        SELECT o_orderpriority, CASE WHEN o_orderkey % 8 = 0 THEN 'no_value' WHEN o_orderkey % 8 = 1 THEN 'no_currency' END AS trouble FROM orders UNION ALL
+        SELECT o_orderpriority, CASE WHEN o_orderkey % 8 = 2 THEN 'not_a_number' ELSE 'binary_fraction' END FROM orders) WHERE trouble IS NOT NULL GROUP BY ALL""")
+def amounts_in_trouble(t: Tables):
+    """The four troubles: decimals without a value or a currency, and doubles, which are no money whether finite or not."""
+    k = F.col("o_orderkey") % 8
+    exact = t.orders.select(F.col("o_orderpriority").alias("p"), F.when(k != 0, F.col("o_totalprice").cast(MONEY)).alias("a"), F.when(k != 1, "RUB").alias("c"))
+    binary = t.orders.select(F.col("o_orderpriority").alias("p"), F.when(k == 2, float("nan")).otherwise(F.col("o_totalprice")).alias("a"), F.lit("RUB").alias("c"))
+    return T.collect_amounts(exact, ["p"], "a", "c")[1].unionByName(T.collect_amounts(binary, ["p"], "a", "c")[1])
+
+
+SET = """
+    WITH r AS (SELECT l_orderkey AS d, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, l_returnflag = 'R' AS ret, l_quantity > 45 AS large, l_orderkey % 7 AS m FROM lineitem),
+    s AS (SELECT d, m, sum(a) AS w, coalesce(sum(a) FILTER (ret), 0) AS x, coalesce(sum(a) FILTER (NOT ret), 0) AS y, coalesce(sum(a) FILTER (large), 0) AS z, count(*) AS n, count_if(ret) AS nx, count_if(NOT ret) AS ny, count_if(large) AS nz, count_if(large AND ret) + count_if(large AND NOT ret) AS twice,
+        count_if(NOT ret) AS rest FROM r GROUP BY 1, 2),
+    t AS (SELECT *, m = 3 AS bad FROM s),
+    c AS (
+        SELECT d, 'sum/control' AS rule_id, 'whole' AS name, CASE WHEN bad THEN 'UNKNOWN' WHEN m = 1 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN bad THEN NULL ELSE w END AS computed, w + CASE WHEN m = 1 THEN 1 ELSE 0 END AS declared, n AS records FROM t WHERE m <> 5
+        UNION ALL SELECT d, 'sum/control', 'returned', CASE WHEN bad OR m = 6 THEN 'UNKNOWN' ELSE 'PASS' END, CASE WHEN bad THEN NULL ELSE x END, CASE WHEN m = 6 THEN NULL ELSE x END, CASE WHEN bad THEN NULL ELSE nx END FROM t WHERE m <> 5
+        UNION ALL SELECT d, 'sum/control', 'kept', CASE WHEN bad THEN 'UNKNOWN' ELSE 'PASS' END, CASE WHEN bad THEN NULL ELSE y END, y, CASE WHEN bad THEN NULL ELSE ny END FROM t WHERE m NOT IN (2, 5)
+        UNION ALL SELECT d, 'sum/control', 'large', 'PASS', z, z, nz FROM t WHERE m = 4
+        UNION ALL SELECT d, 'sum/parts', 'whole', CASE WHEN p = v THEN 'PASS' ELSE 'FAIL' END, p, v, k FROM (SELECT d, w + CASE WHEN m = 1 THEN 1 ELSE 0 END AS v, CASE WHEN m = 6 THEN 0 ELSE x END + CASE WHEN m = 2 THEN 0 ELSE y END + CASE WHEN m = 4 THEN z ELSE 0 END AS p, CASE WHEN m IN (2, 6) THEN 1 WHEN m = 4 THEN 3 ELSE 2 END AS k FROM t WHERE m <> 5)
+        UNION ALL SELECT d, 'money/no_value', NULL, 'UNKNOWN', NULL, NULL, 1 FROM t WHERE bad
+        UNION ALL SELECT d, 'sum/declared', NULL, 'UNKNOWN', NULL, NULL, NULL FROM t WHERE m = 5
+        UNION ALL SELECT d, CASE WHEN m = 4 AND twice > 0 THEN 'sum/overlap' ELSE 'sum/cover' END, NULL, CASE WHEN m = 4 AND twice > 0 THEN 'FAIL' WHEN m = 2 AND rest > 0 THEN 'UNKNOWN' ELSE 'PASS' END, NULL, NULL, CASE WHEN m = 4 AND twice > 0 THEN twice WHEN m = 2 AND rest > 0 THEN rest ELSE n END FROM t WHERE m NOT IN (3, 5))
+"""
+
+
+def _control_set(t: Tables):
+    m = F.col("d") % 7
+    lines = t.lineitem.select(F.col("l_orderkey").alias("d"), "l_linenumber", F.monotonically_increasing_id().alias("record"), F.lit("RUB").alias("currency"), F.col("l_extendedprice").cast(MONEY).alias("amount"), F.col("l_returnflag"), "l_quantity")
+    unread = t.lineitem.select(F.col("l_orderkey").alias("d")).where("d % 7 = 3").distinct().select("d", F.lit(0).alias("l_linenumber"), F.lit(-1).cast("long").alias("record"), F.lit("RUB").alias("currency"), F.lit(None).cast(MONEY).alias("amount"), F.lit("-").alias("l_returnflag"), F.lit(0.0).alias("l_quantity"))
+    returned, large = F.col("l_returnflag") == "R", F.col("l_quantity") > 45
+    of = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(F.lit(0).cast(MONEY)))
+    sums = lines.groupBy("d").agg(F.sum("amount").alias("w"), of(returned).alias("x"), of(~returned).alias("y"), of(large).alias("z"))
+    total = lambda name, value, there: F.when(there, F.struct(F.lit(name).alias("name"), F.lit("RUB").alias("currency"), value.cast("decimal(38,2)").alias("value")))
+    told = F.array_compact(F.array(total("whole", F.col("w") + F.when(m == 1, 1).otherwise(0), m != 5), total("returned", F.when(m != 6, F.col("x")), m != 5), total("kept", F.col("y"), ~m.isin(2, 5)), total("large", F.col("z"), m == 4)))
+    declared = sums.select("d", F.explode(told).alias("t")).select("d", "t.*")
+    return T.control_set(lines.unionByName(unread), declared, ["d"], "record", {"returned": returned, "kept": ~returned & (F.col("l_returnflag") != "-"), "large": large})
+
+
+@query(SET + "SELECT d, rule_id, name, status, CAST(CAST(computed AS DECIMAL(38,2)) AS VARCHAR) AS computed, CAST(CAST(declared AS DECIMAL(38,2)) AS VARCHAR) AS declared, CASE WHEN records = 0 AND rule_id = 'sum/control' THEN 0 ELSE coalesce(records, CASE WHEN rule_id = 'sum/control' THEN -1 END) END AS records FROM c")
+def control_set(t: Tables):
+    """Four control totals of each order: the whole, two parts that cover it, and in some a third that overlaps; some orders lack a part, a value, all totals, or an amount."""
+    out = _control_set(t)
+    hidden = (F.col("d") % 7 == 3) & (F.col("rule_id") == "sum/control") & (F.col("name") != "whole")
+    return out.select("d", "rule_id", "name", "status", text("computed"), text("declared"), F.when(hidden, -1).otherwise(F.col("records")).alias("records"))
+
+
+@query(SET + ", h AS (SELECT d, count_if(status <> 'PASS') = 0 AS control FROM c GROUP BY 1) SELECT d, control AND d % 4 <> 1 AS hold FROM h")
+def totals_hold(t: Tables):
+    """Whether all rules over totals pass: control sums, and a balance that doesn't close in a quarter of the orders."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("d"), F.col("l_extendedprice").cast(MONEY).alias("a"), F.lit("RUB").alias("currency"))
+    records = lines.select("d", "currency", T.side(F.col("a")).alias("s")).select("d", "currency", "s.*")
+    ends = lines.groupBy("d", "currency").agg(F.sum("a").alias("w"))
+    cell = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("decimal(38,2)").alias("value"))
+    declared = ends.select("d", "currency", F.explode(F.array(cell("opening", F.lit(0)), cell("closing", F.col("w") + F.when(F.col("d") % 4 == 1, 5).otherwise(0)))).alias("t")).select("d", "currency", "t.*")
+    return T.totals_hold(T.totals_set(T.balance(records, declared, ["d"]), _control_set(t), ["d"]), ["d"])
+
+
 CONTROL = """
     WITH l AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS c FROM lineitem {where} GROUP BY l_orderkey),
     d AS (SELECT o_orderkey, coalesce(c, 0) AS c, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE coalesce(c, 0) END AS v FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)

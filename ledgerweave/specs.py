@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.values import MoneyRules
@@ -38,10 +38,9 @@ class FamilySpec:
         n = self.content["normalisation"]
         return MoneyRules(n["decimal_separator"], n["group_separator"], n.get("parentheses_sign", False), n.get("implicit_cents"), n["currency"], n.get("currency_labels", {}))
 
-    def schema(self, spark: SparkSession) -> DataFrame:
+    def schema(self) -> list[R.Field]:
         """The declared fields as schema_check() takes them."""
-        rows = [(f["name"], f["type"], f["required"], f.get("terms"), f.get("max_digits")) for f in self.content["schema"]["fields"]]
-        return spark.createDataFrame(rows, "field string, kind string, required boolean, terms array<string>, max_digits int")
+        return [R.Field(f["name"], f["type"], f["required"], tuple(f["terms"]) if f.get("terms") is not None else None, f.get("max_digits")) for f in self.content["schema"]["fields"]]
 
     def bands(self) -> list[tuple[str, float, float]]:
         return [(c["field"], float(Decimal(c["from"])), float(Decimal(c["to"]))) for c in self.content["addressing"]["columns"]]

@@ -77,8 +77,14 @@ def test_order_gaps_duplicates(spark):
     df = frame(spark, [("a", 1, 1), ("a", 2, 1), ("a", 3, 5), ("a", 4, 4), ("b", 1, None), ("b", 2, 3), ("c", 1, 9)], "d string, pos int, v int")
     assert got(R.order_check(df, ["d"], ["pos"], "v", "ascending")) == [("a", "FAIL", 1), ("b", "UNKNOWN", 0), ("c", "PASS", 0)]
     assert {r[1] for r in got(R.order_check(df, ["d"], ["pos"], "v", None))} == {"UNKNOWN"} and {r[1] for r in got(R.order_check(df, ["d"], ["pos"], "v", "insignificant"))} == {"PASS"}
-    assert got(R.gap_check(df, ["d"], "v", "forbidden")) == [("a", "FAIL", 2, 1), ("b", "UNKNOWN", 0, 0), ("c", "PASS", 0, 0)]
-    assert got(R.gap_check(df, ["d"], "v", "allowed"))[0][1] == "PASS" and got(R.gap_check(df, ["d"], "v", None))[0][1] == "UNKNOWN"
+    assert got(R.gap_check(df, ["d"], "v", "forbidden")) == [("a", "FAIL", 2, 1, [2, 3]), ("b", "UNKNOWN", 0, 0, []), ("c", "PASS", 0, 0, [])]
+    of = lambda *how: [r[1] for r in got(R.gap_check(df, ["d"], "v", *how))]
+    assert of("allowed") == ["PASS", "UNKNOWN", "PASS"] and of("silent") == ["UNKNOWN", "UNKNOWN", "PASS"] and of(None) == ["UNKNOWN"] * 3
+    assert of("not_a_sequence", "numbers of others") == ["PASS"] * 3 and of("not_a_sequence") == ["UNKNOWN"] * 3
+    far = frame(spark, [("a", 1), ("a", 10**9), ("b", 1), ("b", 3), ("b", 40)], "d string, v long")
+    assert got(R.gap_check(far, ["d"], "v", "forbidden")) == [("a", "FAIL", 10**9 - 2, 1, list(range(2, 22))), ("b", "FAIL", 37, 2, [2, *range(4, 23)])]
+    assert got(R.gap_check(frame(spark, [("a", 1.5), ("a", 3.0)], "d string, v double"), ["d"], "v", "forbidden"))[0][1] == "UNKNOWN"
+    assert got(R.inversions(df, ["d"], ["pos"], "v", "ascending")) == [("a", 4, 5, 4)] and got(R.inversions(df, ["d"], ["pos"], "v", "descending")) == [("a", 3, 1, 5)]
     assert got(R.parse_duplicates(df, ["d", "v"]))[:3] == [("a", 1, "FAIL", 2), ("a", 4, "PASS", 1), ("a", 5, "PASS", 1)]
     assert ("b", None, "UNKNOWN", 1) in got(R.parse_duplicates(df, ["d", "v"]))
     assert sorted(r[1] for r in got(R.source_duplicates(df, F.coalesce(F.col("v").cast("string"), F.lit("")), "pos", "forbidden"))) == ["FAIL", "PASS", "PASS", "PASS", "PASS", "PASS"][:1] + ["PASS"] * 5
@@ -96,7 +102,10 @@ def test_fold_and_decide(spark):
     assert {r[1] for r in got(R.decide(records, folded, ["r"], ["x"], run_ok=False))} == {None}
     assert [r[3] for r in got(R.decide(records, folded, ["r"], ["x", "missing"]))] == [1, 2, 2, 2, 2, 2]
     both = folded.unionByName(frame(spark, [("a", "x", "NO", True)], "r string, conjunct string, state string, critical boolean"))
-    assert got(R.decide(records, both, ["r"], ["x"]))[0][1:] == ("review", "REVIEW", 1, 1)
+    assert got(R.decide(records, both, ["r"], ["x"]))[0][1:] == (None, "ERRORS", 1, "E_CONJUNCT_CONTRADICTED")
+    odd = folded.unionByName(frame(spark, [("a", "y", "NO", True)], "r string, conjunct string, state string, critical boolean"))
+    assert got(R.decide(records, odd, ["r"], ["x"]))[0][1:] == (None, "ERRORS", 0, "E_CONJUNCT_UNKNOWN") and len(R.CONJUNCTS) == 11
+    assert {r[1] for r in got(R.decide(records, folded, ["r"]))} == {None, "review"}  # x isn't of the formula
     runs = decided.withColumn("run", F.when(F.col("r") == "a", 1).otherwise(2))
     assert got(R.run_state(runs, ["run"])) == [(1, "completed"), (2, "partial")] and got(R.run_state(runs, ["run"], F.col("r") == "a", F.col("r") == "b")) == [(1, "blocked"), (2, "failed")]
 
@@ -108,15 +117,21 @@ def test_folding_in_the_row_is_the_same(spark):
     for name, own in rules.items():
         part = R.fold(R.apply_rules(df, ["k"], own), ["k"]).withColumn("conjunct", F.lit(name))
         results = part if results is None else results.unionByName(part)
+    assert got(R.decide(df, R.observe(df, ["k"], rules), ["k"], ["one", "two"])) == got(R.decide(df, results, ["k"], ["one", "two"]))
+    bad = frame(spark, [(1, "PASS"), (1, "FAIL"), (1, "PASS"), (2, "PASS"), (2, None), (3, None)], "k int, a string")
+    assert got(R.observe(bad, ["k"], {"c": [R.Rule("a", F.col("a"))]})) == [(1, "c", "NO", True), (2, "c", "YES", False), (3, "c", "UNKNOWN", False)]  # one bad row of several decides
     assert got(R.decide_in_row(df, ["k"], rules)) == got(R.decide(df, results, ["k"], ["one", "two"]))
     assert {r[1] for r in got(R.decide_in_row(df, ["k"], rules, run_ok=False))} == {None}
 
 
 def test_schema_rules(spark):
-    spec = frame(spark, [("a", "money", True, None, 2), ("v", "vocabulary", False, ["x"], None), ("w", "vocabulary", False, None, None)], "field string, kind string, required boolean, terms array<string>, max_digits int")
-    cells = [(1, "a", "1.5", "money", None, "1.5", 1), (1, "v", "y", "vocabulary", None, "y", None), (1, "w", "q", "vocabulary", None, "q", None), (1, "z", "?", "text", None, "?", None), (2, "a", " ", "money", None, None, None), (2, "v", "bad", None, "E", None, None)]
-    fields = frame(spark, cells, "r int, field string, raw string, kind string, refusal string, value_text string, digits int")
-    out = {(r, f, rule): s for r, f, rule, s in got(R.schema_check(fields, spec, frame(spark, [(1,), (2,), (3,)], "r int"), ["r"]))}
+    spec = [R.Field("a", "money", True, max_digits=2), R.Field("v", "vocabulary", terms=("x",)), R.Field("w", "vocabulary"), R.Field("q", None)]
+    cells = "r int, a struct<raw: string, kind: string, refusal: string, value_text: string, digits: int>, v struct<raw: string, kind: string, refusal: string, value_text: string, digits: int>, w struct<raw: string, kind: string, refusal: string, value_text: string, digits: int>, z struct<raw: string, kind: string, refusal: string, value_text: string, digits: int>, more array<string>"
+    rows = [(1, ("1.5", "money", None, "1.5", 1), ("y", "vocabulary", None, "y", None), ("q", "vocabulary", None, "q", None), ("?", "text", None, "?", None), ["odd"]), (2, (" ", "money", None, None, None), ("bad", None, "E", None, None), None, None, []), (3, None, None, None, None, []), (4, ("1.555", "money", None, "1.555", 3), None, None, None, [])]
+    records = frame(spark, rows, cells)
+    out = {(r, f, rule): s for r, f, rule, s in got(R.schema_check(records, ["r"], spec, {c: F.col(c) for c in ("a", "v", "w", "z")}, F.col("more")))}
+    assert out[4, "a", "precision"] == "FAIL" and out[1, "odd", "unknown_field"] == "FAIL" and (2, "z", "unknown_field") not in out and out[3, "q", "presence"] == "PASS"
+    assert [r[1:] for r in got(R.schema_check(records.limit(1), ["r"], [], {}))] == [(None, "declared", "UNKNOWN")]
     assert out[1, "a", "type"] == out[1, "a", "precision"] == "PASS" and out[1, "v", "vocabulary"] == "FAIL" and out[1, "w", "vocabulary"] == "UNKNOWN" and out[1, "z", "unknown_field"] == "FAIL"
     assert out[2, "a", "empty_value"] == "FAIL" and (2, "a", "type") not in out and out[2, "v", "uninterpreted"] == "FAIL"
     assert out[3, "a", "presence"] == "FAIL" and out[3, "v", "presence"] == "PASS"
@@ -139,6 +154,65 @@ def test_totals(spark):
     assert totals.in_scope(control, scopes, "d", "t").count() == 2 and totals.in_scope(control, scopes, "d", "whole").count() == 4
 
 
+def test_money_is_never_rounded(spark):
+    assert money(spark, ["1.005", "12.3456", "0.0000001", "1.50", "-0.00", "007.10", "9" * 32 + ".5", "9" * 33 + ".5"], decimal=".") == [
+        ("1.005", None, None), ("12.3456", None, None), (None, None, "E_TYPE_PRECISION"), ("1.5", None, None), ("0", None, None), ("7.1", None, None), (money(spark, ["9" * 32 + ".5"], decimal=".")[0][0], None, None), (None, None, "E_TYPE_PRECISION")
+    ]
+    df = V.with_money(frame(spark, [("1.50",), ("-0.00",), ("007.100",), (".5",), ("12.3456",)], "t string"), F.col("t"), "m", V.MoneyRules(decimal="."))
+    assert [(r["m"]["text"], r["m"]["digits"]) for r in df.collect()] == [("1.50", 2), ("0.00", 2), ("7.100", 3), ("0.5", 1), ("12.3456", 4)]
+
+
+def test_sums_keep_their_digits(spark):
+    side = lambda rows: rows.select("d", "currency", totals.side(F.col("a")).alias("s")).select("d", "currency", "s.*")
+    ends = lambda *rows: frame(spark, [(d, n, "A", Decimal(v)) for d, n, v in rows], "d int, name string, currency string, value decimal(38,3)")
+    halves = frame(spark, [(1, "A", Decimal("0.005")), (1, "A", Decimal("0.005"))], "d int, currency string, a decimal(9,3)")
+    assert [(r[2], str(r[3])) for r in got(totals.balance(side(halves), ends((1, "opening", "0"), (1, "closing", "0.01")), ["d"]))] == [("PASS", "0.010")]
+    assert got(totals.balance(side(halves), ends((1, "opening", "0"), (1, "closing", "0.02")), ["d"]))[0][2] == "FAIL"
+    nines = frame(spark, [(1, Decimal("9" * 36))] * 3, "d int, amount decimal(38,2)")
+    zero = frame(spark, [(1, Decimal("0.00")), (2, Decimal("0.00"))], "d int, value decimal(38,2)")
+    assert [(r[0], r[1], r[3]) for r in got(totals.control_totals(nines, zero, ["d"]))] == [(1, "UNKNOWN", None), (2, "PASS", Decimal("0.00"))]  # beyond 38 digits isn't a sum of nothing
+    big = nines.select("d", F.lit("A").alias("currency"), F.col("amount").alias("a"))
+    assert got(totals.balance(side(big), frame(spark, [(1, "opening", "A", Decimal(0)), (1, "closing", "A", Decimal(0))], "d int, name string, currency string, value decimal(38,2)"), ["d"]))[0][2:4] == ("UNKNOWN", None)
+    assert got(totals.parts_vs_whole(nines, zero, ["d"], "amount", "value"))[0][1] == "UNKNOWN"
+    # Digits that differ are compared by a declared rounding only.
+    three, two = frame(spark, [(1, Decimal("1.005"))], "d int, amount decimal(9,3)"), frame(spark, [(1, Decimal("1.01"))], "d int, value decimal(9,2)")
+    of = lambda rule: got(totals.control_totals(three, two, ["d"], rounding=rule))[0][1]
+    assert of(None) == "UNKNOWN" and of((2, "half_up")) == "PASS" and of((2, "half_even")) == "FAIL" and of((2, "down")) == "FAIL"
+    with pytest.raises(TypeError, match="E_TYPE_FLOAT_FORBIDDEN"):
+        totals.control_totals(three.withColumn("amount", F.col("amount").cast("double")), two, ["d"])
+    wide = frame(spark, [(1, Decimal("0.123456789012"))] * 3, "d int, amount decimal(38,12)")
+    assert got(totals.control_totals(wide, frame(spark, [(1, Decimal("0.370370367036"))], "d int, value decimal(38,12)"), ["d"]))[0][1] == "PASS"
+
+
+def test_troubles_and_the_whole_set(spark):
+    rows = frame(spark, [(1, 1, Decimal("5"), "A"), (1, 2, Decimal("7"), "A"), (2, 1, None, "A"), (2, 2, Decimal("1"), ""), (3, 1, Decimal("2"), "A"), (4, 1, Decimal("2"), "A"), (4, 2, Decimal("3"), "B")], "d int, r int, amount decimal(9,2), currency string")
+    assert got(totals.collect_amounts(rows, ["d"], "amount", "currency")[1]) == [(2, "no_currency", "UNKNOWN", 1), (2, "no_value", "UNKNOWN", 1)]
+    doubles = frame(spark, [(1, 1.5, "A"), (1, float("nan"), "A"), (1, float("inf"), "A"), (1, None, "A")], "d int, amount double, currency string")
+    assert {(r[1], r[2], r[3]) for r in got(totals.collect_amounts(doubles, ["d"], "amount", "currency")[1])} == {("binary_fraction", "FAIL", 1), ("not_a_number", "FAIL", 2), ("no_value", "UNKNOWN", 1)}
+    declared = frame(spark, [(1, "all", "A", Decimal("12")), (1, "p", "A", Decimal("5")), (1, "q", "A", Decimal("7")), (2, "all", "A", Decimal("1")), (4, "all", "A", Decimal("2")), (4, "all", None, Decimal("2"))], "d int, name string, currency string, value decimal(9,2)")
+    scopes = frame(spark, [(1, 1, "p"), (1, 2, "q")], "d int, r int, name string")
+    out = {(r["d"], r["rule_id"], r["name"], r["currency"]): r["status"] for r in totals.control_set(rows, declared, ["d"], "r", scopes=scopes).collect()}
+    assert out == {
+        (1, "sum/control", "all", "A"): "PASS", (1, "sum/control", "p", "A"): "PASS", (1, "sum/control", "q", "A"): "PASS", (1, "sum/parts", "all", "A"): "PASS", (1, "sum/cover", None, None): "PASS",
+        (2, "sum/control", "all", "A"): "UNKNOWN", (2, "money/no_value", None, None): "UNKNOWN", (2, "money/no_currency", None, None): "UNKNOWN", (3, "sum/declared", None, None): "UNKNOWN",
+        (4, "sum/control", "all", "A"): "PASS", (4, "sum/control", "all", None): "UNKNOWN",
+    }
+    twice = scopes.unionByName(frame(spark, [(1, 1, "q")], "d int, r int, name string"))
+    again = {(r["rule_id"], r["status"]) for r in totals.control_set(rows.where("d = 1"), declared.where("d = 1"), ["d"], "r", scopes=twice).collect()}
+    assert ("sum/overlap", "FAIL") in again and ("sum/control", "FAIL") in again
+    short = totals.control_set(rows.where("d = 1"), declared.where("d = 1 AND name <> 'q'"), ["d"], "r", scopes=scopes)
+    assert {(r["rule_id"], r["status"]) for r in short.collect()} >= {("sum/cover", "UNKNOWN"), ("sum/parts", "FAIL")}
+    assert got(totals.totals_hold(short, ["d"])) == [(1, False)] and totals.control_set(rows.limit(0), declared.limit(0), ["d"], "r").count() == 0
+
+
+def test_vocabulary_folds_case(spark):
+    df = frame(spark, [("STRASSE",), ("Straße",), (" straße\t",), ("ΣΊΣΥΦΟΣ",), ("cafe\u0301",), ("",), (None,), ("x",)], "t string")
+    out = [(r[0]["value"], r[0]["refusal"]) for r in df.select(V.vocabulary_term(F.col("t"), {"Straße": "street", "σίσυφος": "s", "Café": "c"})).collect()]
+    assert out == [("street", None)] * 3 + [("s", None), ("c", None), (None, "E_TYPE_EMPTY"), (None, "E_TYPE_EMPTY"), (None, "E_TYPE_NOT_IN_VOCABULARY")]
+    with pytest.raises(ValueError, match="CONTRADICTION"):
+        V.vocabulary_term(F.col("t"), {"A": "1", "a": "2"})
+
+
 def test_completeness(spark):
     docs = frame(spark, [(k,) for k in range(1, 6)], "d int")
     expected = frame(spark, [(1, "x", 2), (2, "x", 2), (4, "x", 1), (4, "x", 2), (5, "x", 1)], "d int, kind string, expected long")
@@ -178,6 +252,12 @@ def test_selection(spark):
         sampling.select_for_recheck(rows, "id", "stable", 0.1)
     m = frame(spark, [(1, 100, 1, True), (2, 10, 0, True), (3, 100, 50, True), (4, 100, 1, False), (5, None, 1, True)], "k int, observations long, errors long, same_version boolean")
     assert [r[-1] for r in got(sampling.gate(m, ["k"], 0.1))] == ["open", "rule_of_three", "error_share", "version", "metrics"] and {r[-1] for r in got(sampling.gate(m, ["k"], None))} == {"threshold"}
+    none = frame(spark, [(k,) for k in range(1000)], "id int").withColumn("reasons", F.array().cast("array<string>"))
+    assert [sampling.select_for_recheck(none, "id", "stable", x, "s").count() for x in ("0.00004", 0.001, "0.5005", 1)] == [1, 1, 501, 1000]
+    first = [r["id"] for r in none.orderBy(sampling.sample_key("s", F.col("id")), "id").limit(501).collect()]
+    sampling_edge, sampling.EDGE = sampling.EDGE, 3  # so that several rounds of counting are needed
+    assert sorted(r["id"] for r in sampling.select_for_recheck(none, "id", "stable", "0.5005", "s").collect()) == sorted(first)
+    sampling.EDGE = sampling_edge
     clusters = frame(spark, [(k, 1 + k % 5) for k in range(50)], "cluster int, size long")
     parts = sampling.split_corpus(clusters, "z")
     sizes = {r["part"]: r["n"] for r in parts.join(clusters, "cluster").groupBy("part").agg(F.sum("size").alias("n")).collect()}
@@ -234,6 +314,8 @@ def test_quality(spark):
     assert [r[5] for r in got(rows)] == [True, False, None, None]
     m = quality.metrics(rows.withColumn("g", F.lit(1)), ["g"], 1, "source").first()
     assert (m["far"], m["automation"], m["review_load"], m["false_alarm"], m["rule_of_three"]) == (0.5, pytest.approx(1 / 3), 0.25, None, None)
+    more = quality.metrics(rows.withColumn("g", F.lit(1)), ["g"], 1, "source", "k", "0.7").first()
+    assert (more["documents"], more["sources"], more["shortage"]) == (4, 2, 3) and quality.metrics(rows.withColumn("g", F.lit(1)), ["g"], 1, "source", threshold="0").first()["shortage"] is None
     lost = frame(spark, [(1, 10, 8, 1), (1, 5, 9, 0)], "g int, gold long, found long, unknown long")
     assert got(quality.coverage_loss(lost, ["g"])) == [(1, 0.2)]
     values = frame(spark, [(1, float(v)) for v in (1, 2, 3, 4)], "g int, v double")
