@@ -40,10 +40,13 @@ def word_counts(column: pa.Array) -> np.ndarray:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     begins = ~blank
     begins[1:] &= blank[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
+    some = at[:-1] < at[1:]
+    first = at[:-1][some]
     begins[first] = ~blank[first]
-    total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-    return total[at[1:]] - total[at[:-1]]
+    counts = np.zeros(len(column), np.int64)
+    if len(first):
+        counts[some] = np.add.reduceat(begins.view(np.int8), first, dtype=np.int64)
+    return counts
 
 
 def int_lists(parts: list[bytes], width: int = 4) -> pa.ListArray:

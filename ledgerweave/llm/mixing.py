@@ -20,11 +20,10 @@ import hashlib
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerweave.llm.arrow import batch, word_counts
+from ledgerweave.llm.arrow import batch, sliced, word_counts
 from ledgerweave.work import written
 
 #: Weights of the sources in order, repeating.
@@ -36,15 +35,20 @@ BUCKET_ROWS, FAN = 2_000, 64
 TINY = 1e-9
 
 
+def row_digest(docs: DataFrame) -> Column:
+    """A number that tells rows of docs apart by all their columns; rows that share it are alike (maps can't be hashed and play no part)."""
+    return F.xxhash64(*(docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()))
+
+
 def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each whole text; a null text has none."""
+    """(doc_id, source, digest, size): words of each whole text, however long; a null text has none."""
 
     def run(batches):
-        for b in batches:
-            yield batch({"doc_id": b["doc_id"], "source": b["source"], "size": word_counts(b["text"])})
+        for b in sliced(batches, 1024):
+            yield batch({"doc_id": b["doc_id"], "source": b["source"], "digest": b["digest"], "size": word_counts(b["text"])})
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), row_digest(docs).alias("digest"), docs[text].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, digest long, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -108,14 +112,14 @@ def pivot(odds: list[float], size: list[int], rng: random.Random) -> tuple[list[
     return odds, open_row
 
 
-ROWS = "source string, bucket long, doc_id long, nth long, size long, source_size long, target double, whole long, odds double, settled boolean"
+ROWS = "source string, bucket long, doc_id long, digest long, nth long, size long, source_size long, target double, whole long, odds double, settled boolean"
 
 
 def _reduce(seed: int, level: int, last: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         source, bucket = (x.as_py() for x in key)
-        ids, nth, size, odds = (rows[c].to_pylist() for c in ("doc_id", "nth", "size", "odds"))
-        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, nth[k]))
+        ids, digest, nth, size, odds = (rows[c].to_pylist() for c in ("doc_id", "digest", "nth", "size", "odds"))
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, digest[k], nth[k]))
         rng = draw(seed, level, source, bucket)
         rng.shuffle(order)
         odds, left = pivot([odds[k] for k in order], [size[k] for k in order], rng)
@@ -129,22 +133,25 @@ def _reduce(seed: int, level: int, last: bool):
 
 
 def mix(sized: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
-    """(doc_id, nth, size, source, source_size, target, copies, taken), one row for each row of sized.
+    """(doc_id, digest, nth, size, source, source_size, target, copies, taken), one row for each row of sized.
 
     No row has more than `most` copies. A source whose texts are all empty has
-    target 0. Rows that repeat an id are rows of their own (nth counts them). A
-    null source is a source, and comes last. An empty table gives an empty
-    result. Bucket counts follow from the sources' row counts alone.
+    target 0. Rows that repeat an id are rows of their own: their digest tells
+    them apart, and nth counts those that are alike in all columns. Rows are
+    dealt out by id, digest and nth, so that one id (or none) with very many rows
+    is spread, too. A null source is a source, and comes last. An empty table
+    gives an empty result. Bucket counts follow from the sources' row counts
+    alone.
     """
     per = written(targets(sized, weights, most), "targets")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
-    rows = sized.select(F.col("doc_id"), nth.alias("nth").cast("long"), F.col("source"), F.col("size"))
+    alike = sized.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("n"))  # combined before the shuffle
+    rows = alike.select("doc_id", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"), "source", "size")
     per = per.select(F.col("source").alias("of"), "source_size", "rows", "target")
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("of")))
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     expected = F.when(F.abs(expected - F.round(expected)) < TINY, F.round(expected)).otherwise(expected)
     buckets = F.greatest(F.ceil(F.col("rows") / bucket_rows), F.lit(1))
-    rows = rows.select("source", F.pmod(F.xxhash64("doc_id", "nth"), buckets).alias("bucket"), "doc_id", "nth", "size", "source_size", "target", F.floor(expected).alias("whole"), (expected - F.floor(expected)).alias("odds"))
+    rows = rows.select("source", F.pmod(F.xxhash64("doc_id", "digest", "nth"), buckets).alias("bucket"), "doc_id", "digest", "nth", "size", "source_size", "target", F.floor(expected).alias("whole"), (expected - F.floor(expected)).alias("odds"))
     rows = rows.withColumn("settled", F.lit(False))
     columns = [c.split()[0] for c in ROWS.split(", ")]
     level, done, most_buckets = 0, [], per.agg(F.max(F.ceil(F.col("rows") / bucket_rows))).first()[0] or 1
@@ -160,30 +167,25 @@ def mix(sized: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, mo
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("odds").cast("long")
-    return out.select("doc_id", "nth", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "digest", "nth", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 42, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """mix() of documents, from whole texts."""
+    """mix() of documents, from whole texts; null and empty ones have no words."""
     return mix(written(sizes(docs, text, key, source), "sizes"), seed, **options)
 
 
 def apply_mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
-    size, own = "__lw_size", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    # Rows are dealt out once, by id; numbering and join keep to that, so the join has one equality.
-    inner = docs.mapInArrow(_with_size(docs.columns), T.StructType([*docs.schema.fields, T.StructField(size, T.LongType())])).withColumn("__lw_key", own).repartition("__lw_key")
-    nth = F.row_number().over(Window.partitionBy("__lw_key", "doc_id").orderBy("source", size))
-    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(own.alias("__lw_of"), F.col("doc_id").alias("__lw_id"), F.col("nth").alias("__lw_nth"), F.col("copies").alias("__lw_copies"))
-    absent = F.col("__lw_id").isNull().cast("int")
-    same = F.col("__lw_own").between(F.col("__lw_nth"), F.col("__lw_nth")) & F.col("doc_id").isNull().cast("int").between(absent, absent)
-    told = inner.withColumn("__lw_own", nth.cast("long")).join(plan, (F.col("__lw_key") == F.col("__lw_of")) & same)
-    return told.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.col("__lw_copies").cast("int")))).select(*docs.columns)
-
-
-def _with_size(columns: list[str]):
-    def run(batches):
-        for b in batches:
-            yield batch({c: b[c] for c in columns} | {"__lw_size": word_counts(b["text"])})
+    """The rows of docs as often as the mix takes them, with all their columns.
 
-    return run
+    Null and empty texts have no words; their copies are drawn like others'. Rows
+    that share an id are told apart by all their columns, so reruns agree, and
+    rows that are alike stand for each other. Very long texts are counted whole.
+    An empty table gives an empty one.
+    """
+    key, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__lw_digest"
+    first = F.row_number().over(Window.partitionBy("__lw_key", digest).orderBy(F.lit(1)))  # of rows that are alike one; the limit is applied before the shuffle, too
+    rows = docs.withColumn(digest, row_digest(docs)).withColumn("__lw_key", key).withColumn("__lw_first", first).where("__lw_first = 1").drop("__lw_first")
+    plan = mix(written(sizes(docs), "sizes"), seed, **options).where("copies > 0").select(key.alias("__lw_of"), F.col("digest").alias("__lw_like"), F.col("copies").cast("int").alias("__lw_copies"))
+    told = rows.join(plan, (F.col("__lw_key") == F.col("__lw_of")) & (F.col(digest) == F.col("__lw_like")))
+    return told.withColumn("__lw_copy", F.explode(F.sequence(F.lit(1), F.col("__lw_copies")))).select(*docs.columns)
