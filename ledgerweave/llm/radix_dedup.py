@@ -8,10 +8,12 @@ bytes alone; no digest takes part.
    or ended. A group of copies leaves a task as one class, so that no later
    step meets a hot key, however many copies there are.
 2. Classes are dealt out by the first digit: the length and 64 bytes. A digit
-   whose classes hold more than a bounded share of bytes is split by longer
-   digits first, over and over, until it is small or its texts have ended.
-3. Each task splits what was dealt to it by further digits to the end, and
-   joins equal classes.
+   whose classes hold more than HOT_BYTES gets a number, and its classes are
+   dealt out by that number and the next, longer digit, over and over, until
+   what a digit holds is small or its texts have ended. Numbers stay in tables.
+3. Texts that have ended are equal where their digits are: an aggregation joins
+   them. Each task splits what else was dealt to it by further digits to the
+   end, and joins equal classes.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from ledgerweave.work import written
 HELD_BYTES = 48 << 20
 #: Bytes of the first digit, and how much longer each further one is.
 FIRST, STEP = 64, 16
-#: A digit is split again where its classes hold more bytes than this, or than this share of all.
-HOT_BYTES, HOT_SHARE = 48 << 20, 10_000
+#: A digit is split again where its classes hold more bytes than this.
+HOT_BYTES = 48 << 20
 
 
 def split(texts: list[bytes], at: int = 0, width: int = 16) -> list[list[int]]:
@@ -97,15 +99,12 @@ def _collapse(names: list[str], text: str, key: str):
 
 
 def _join_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task side of step 3: rows sorted by length and route. Gives rows for classes that equal another only."""
+    """Task side of step 3: rows sorted by bucket, HOT_BYTES of texts in each at most. Gives rows for classes that equal another only."""
     key, own, texts = None, [], []
 
     def merged() -> Iterator[pa.RecordBatch]:
-        if len(own) < 2:
-            return
-        ended = key[0] <= len(key[1])
         out = []
-        for group in [range(len(own))] if ended else split(texts, len(key[1])):
+        for group in split(texts, key[3]) if len(own) > 1 else []:
             if len(group) > 1:
                 win = max((own[r] for r in group), key=lambda x: (x[2] is not None, x[2] or 0, -x[0]))
                 size = sum(own[r][1] for r in group)
@@ -116,14 +115,16 @@ def _join_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         for at in range(0, b.num_rows, 512):
             p = b.slice(at, 512)
-            for cls, cnt, top, length, route, raw in zip(p["cls"].to_pylist(), p["cnt"].to_pylist(), p["top"].to_pylist(), p["len"].to_pylist(), p["route"].to_pylist(), as_bytes(p["text"]), strict=True):
-                if (length, route) != key:
-                    yield from merged()
-                    key, own, texts = (length, route), [], []
+            rows = zip(*(p[c].to_pylist() for c in ("cls", "cnt", "top", "len", "parent", "digit", "upto")), as_bytes(p["text"]), strict=True)
+            for cls, cnt, top, *bucket, raw in rows:
+                if bucket != key:
+                    if key is not None:
+                        yield from merged()
+                    key, own, texts = bucket, [], []
                 own.append((cls, cnt, top))
-                if length > len(route):
-                    texts.append(raw.lower())
-    yield from merged()
+                texts.append(raw.lower())
+    if key is not None:
+        yield from merged()
 
 
 def _classes(docs: DataFrame, text: str, key: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -133,21 +134,36 @@ def _classes(docs: DataFrame, text: str, key: str, keep: list[str]) -> tuple[Dat
     kinds = {f.name: f.dataType for f in source.schema}
     schema = T.StructType([T.StructField(n, k) for n, k in (("cls", T.LongType()), ("key", T.LongType()), ("sha", T.StringType()), ("cnt", T.LongType()), ("top", T.LongType()), ("head", T.BooleanType()), ("len", T.LongType()), ("digit", T.BinaryType()))] + [T.StructField(f"row_{c}", kinds[c]) for c in names])
     staged = written(source.mapInArrow(_collapse(names, text, key), schema), "radix")
-    heads = staged.where("head").select("cls", "cnt", "top", "len", F.col("digit").alias("route"), F.col(f"row_{text}").alias("text"))
-    total = staged.where("head").agg(F.sum("len")).first()[0] or 0
-    limit, width = max(HOT_BYTES, total // HOT_SHARE), FIRST
+    # A class's bucket: its length, the number of the digit before (0: none), its digit, and how many bytes both cover.
+    bucket = ["len", "parent", "digit", "upto"]
+    todo = staged.where("head").select("cls", "cnt", "top", "len", F.lit(0).cast("long").alias("parent"), "digit", F.lit(FIRST).cast("long").alias("upto"), F.col(f"row_{text}").alias("text"))
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+    settled, upto, made = [], FIRST, 0
     while True:
-        hot = heads.groupBy("len", "route").agg(F.sum("len").alias("held"), F.count("*").alias("classes"))
-        # At most HOT_SHARE rows: each holds at least that share of all bytes.
-        hot = hot.where((F.col("held") > limit) & (F.col("len") > width) & (F.length("route") == width) & (F.col("classes") > 1)).select("len", "route").collect()
-        if not hot:
+        held = todo.where(F.col("len") > upto).groupBy(*bucket).agg(F.sum("len").alias("held"), F.count("*").alias("classes")).where((F.col("held") > HOT_BYTES) & (F.col("classes") > 1))
+        hot = written(held.select(*(F.col(c).alias(f"hot_{c}") for c in bucket[:3]), (F.monotonically_increasing_id() + made + 1).alias("number")), "radix-hot")
+        last = hot.agg(F.max("number")).first()[0]
+        if last is None:
+            settled.append(todo)
             break
-        width *= STEP
-        known = F.broadcast(docs.sparkSession.createDataFrame([(r[0], bytes(r[1]), True) for r in hot], "len long, route binary, hot boolean"))
-        lowered = F.substring(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 1, width)
-        heads = heads.join(known, ["len", "route"], "left").withColumn("route", F.when(F.col("hot"), lowered).otherwise(F.col("route"))).drop("hot")
-    merged = heads.repartition("len", "route").sortWithinPartitions("len", "route").mapInArrow(_join_classes, "cls long, win long, keep long, size long")
-    return staged, written(merged, "radix-merged")
+        # Spark knows the table's size: it is broadcast where it is small, and else the join's skewed keys are split.
+        told = todo.join(hot, (F.col("len") == F.col("hot_len")) & (F.col("parent") == F.col("hot_parent")) & (F.col("digit") == F.col("hot_digit")), "left")
+        settled.append(told.where("number IS NULL").select(todo.columns))
+        digit = F.substring(lowered, upto + 1, upto * (STEP - 1))
+        todo = written(told.where("number IS NOT NULL").select("cls", "cnt", "top", "len", F.col("number").alias("parent"), digit.alias("digit"), F.lit(upto * STEP).cast("long").alias("upto"), "text"), "radix-todo")
+        upto, made = upto * STEP, last
+    rows = settled[0]
+    for more in settled[1:]:
+        rows = rows.unionByName(more)
+    merged = rows.where("len > upto").repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_join_classes, "cls long, win long, keep long, size long")
+    merged = written(merged, "radix-merged")
+    ended = rows.where("len <= upto").select("cls", "cnt", "top", *bucket)
+    best = F.max(F.struct(F.col("top").isNotNull().alias("known"), "top", (-F.col("cls")).alias("win"))).alias("best")
+    alike = ended.groupBy(*bucket).agg(best, F.sum("cnt").alias("size"), F.count("*").alias("classes")).where("classes > 1")
+    alike = alike.select(*(F.col(c).alias(f"of_{c}") for c in bucket), (-F.col("best.win")).alias("win"), F.col("best.top").alias("keep"), "size")
+    same = [F.col(c) == F.col(f"of_{c}") for c in bucket]
+    short = ended.join(alike, same).select("cls", "win", "keep", "size")
+    return staged, merged.unionByName(written(short, "radix-ended"))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -155,7 +171,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     Texts are equal when identical after lowering A-Z; a null text is empty. Of
     equal texts the row with the largest key stays; a null key counts as the
-    smallest, and of rows that share the largest key one stays. Empty tables
+    smallest, and of rows that share the largest key one stays. Very long texts
+    are compared whole. Rows that repeat have rows of their own. Empty tables
     give an empty result. Other columns play no part.
     """
     staged, merged = _classes(docs, text, key, [])
@@ -171,7 +188,11 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_groups() keeps, with all their columns."""
+    """The rows of docs that exact_groups() keeps, with all their columns.
+
+    Null and empty texts are equal, so one such row stays; of rows that tie or
+    repeat one stays. An empty table gives an empty one.
+    """
     staged, merged = _classes(docs, text, key, docs.columns)
     lost = merged.where("win <> cls").select("cls")
     return staged.where("head").join(lost, "cls", "left_anti").select(*(F.col(f"row_{c}").alias(c) for c in docs.columns))
