@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ne
 
     Fingerprints within `near` bits are linked; component_id is the smallest id
     that a row reaches over links. A text without words has fingerprint zero and
-    is linked like any other. Null ids name no component unless it has no other
-    id. An empty table gives an empty result; other columns play no part.
+    is linked like any other; very long texts count whole. Rows that repeat have
+    rows of their own. Null ids name no component unless it has no other id. An
+    empty table gives an empty result; other columns play no part.
     """
     rows = written(fingerprints(docs, text, key), "fingerprints")
     return rows.join(components(rows, near).drop("keep_fp"), "fp").select("doc_id", "fp", "component_id")
@@ -226,7 +227,8 @@ def drop_near_copies(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """Of each component the row with the smallest id, with all its columns.
 
     Rows that share that id and its fingerprint all stand for one document; one
-    of them stays.
+    of them stays. Null and empty texts are one group; an empty table gives an
+    empty one.
     """
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

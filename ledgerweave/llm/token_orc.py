@@ -81,6 +81,7 @@ class WordEncoder:
         if not (split and names == ["NFC", "Replace", "Lowercase"] and levels == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"]):
             raise ValueError("the tokenizer must lower its text, drop white space and then work on bytes of words")
         self.added = [x["content"] for x in steps["added_tokens"]]
+        self.heads = sorted({x[:2].encode() for x in self.added})
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.tokenize = self.library.model.tokenize
@@ -102,7 +103,7 @@ class WordEncoder:
 
     def __call__(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if b"<|" not in text:  # else upper-case letters may tell a word from an added token
+        if not any(h in text for h in self.heads):  # else upper-case letters may tell a word from an added token
             text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -165,7 +166,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write documents' ids, read the files back, and digest what they hold."""
+    """Write documents' ids, read the files back, and digest what they hold: (doc_id, start, n_tokens, ids_crc32).
+
+    One row for each row of docs: null and empty texts have the end id alone,
+    very long ones are encoded whole, and rows that repeat or share an id follow
+    each other. An empty table gives an empty result.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)

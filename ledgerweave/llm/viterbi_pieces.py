@@ -258,8 +258,9 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
 
     Whole texts are encoded, and their ids decoded again: round_trip tells
     whether that gave the text back, but for U+2581, which the model reads as a
-    blank. A null text is empty and has no ids; an empty table gives an empty
-    result; other columns play no part. ids_crc32 is over little-endian unsigned
+    blank. A null text is empty and has no ids; a very long one is encoded whole
+    within the window. Rows that repeat have rows of their own; an empty table
+    gives an empty result; other columns play no part. ids_crc32 is over little-endian unsigned
     32-bit integers.
     """
 

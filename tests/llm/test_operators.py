@@ -68,6 +68,15 @@ def test_chat(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
+def test_long_conversation(spark):
+    turns = [(9, k, "user" if k % 2 == 0 else "assistant", f"[INST]{k}\\" * (20_000 if k == 7 else 1)) for k in range(4000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    (r,) = chat.chat_digests(df).collect()
+    loss = "".join(t for _, k, role, t in turns if role == "assistant")
+    assert r["n_turns"] == 4000 and (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in turns).encode()).hexdigest()
+
+
 def fill(sizes, weights=mixing.WEIGHTS, most=mixing.MOST):
     """Targets by the rule's own words: reshare what lies above until nothing does."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -110,6 +119,18 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
+def test_mixing_tells_rows_of_one_id_apart(spark):
+    """Rows that share id, source and size: the same texts are taken whatever way the table lies."""
+    rows = [(i, f"{a} {b}", "s", k) for i in (7, None) for k in range(200) for a, b in [divmod(k * 7919 % 400, 20)]] + [(None, None, None, 0)] * 50
+    rows += [(100 + k, "x " * 40, "t", 0) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    seen = []
+    for data in (df.repartition(1), df.repartition(5, "text"), df.orderBy(F.desc("extra")).coalesce(2)):
+        seen.append(collections.Counter(map(tuple, mixing.apply_mix(data, bucket_rows=16, fan=4).collect())))
+        assert mixing.mix_documents(data, bucket_rows=16, fan=4).count() == len(rows)
+    assert seen[0] == seen[1] == seen[2] and set(seen[0]) <= set(rows) and len(seen[0]) > 100
+
+
 def test_mixing_keeps_expectations():
     total = np.zeros(6)
     for k in range(4000):
@@ -141,6 +162,31 @@ def test_vectors(spark):
             assert got == want
 
 
+def test_vectors_of_many_regions(spark):
+    """Isotropic Gaussian vectors, the hardest case for pruning: exact at factor 1, and few results lost at the factor in use."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 48)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    want = dict(brute_nearest({k: v.astype(float) for k, v in enumerate(x)}, every=60))
+    for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.95)):
+        got = collections.defaultdict(list)
+        for r in vptree.nearest_vectors(table, every=60, factor=factor, shard=700).collect():
+            got[r["query_id"]].append((-r["score"], r["vec_id"]))
+        hit = sum(len({i for _, i in got[q]} & {i for _, i in w}) for q, w in want.items()) / sum(map(len, want.values()))
+        assert hit >= least and all(len(got[q]) == 20 for q in want)
+
+
+def test_regions_bound_their_points():
+    rng = np.random.default_rng(2)
+    points, queries = rng.standard_normal((3000, 8)) * [5, 3, 1, 1, 1, 1, 1, 1], rng.standard_normal((50, 8)) * 4
+    router = vptree.Router(points[::3], 20)
+    home, bound = router.home(points), router.bounds(queries)
+    assert len(router.ways) == 20 and set(home) == set(range(20))
+    for r in range(20):
+        assert (vptree._distances(queries, points[home == r]).min(axis=1) >= bound[:, r] - 1e-9).all()
+    assert len(vptree.Router(np.ones((50, 3)), 9).ways) == 1
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (20, [3.0, -1.0]), *((k, [2.0, 2.0]) for k in range(21, 60)), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, None]), (5, [float("inf"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 2.0]), (61, [0.5, -0.0])]
@@ -264,6 +310,31 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxic_scores(none, labels).count() == 0 and toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_features_by_brute_force():
+    """Words without their ends, pairs, triples and pairs that skip one, each by its own formula."""
+    mask = 2**64 - 1
+    for text in ("", "One", "a, B; c", "Ä «ä» x!! ... y " * 3, "w1 w2 w3 w4 w5 w6"):
+        h = [xxhash.xxh64_intdigest(w.strip(toxicity.ENDS) or w) for w in text.lower().split()]
+        one, two, three, skip, last = (int(m) for m in toxicity.MIX)
+        pair = [(a * two + b) & mask for a, b in zip(h, h[1:], strict=False)]
+        kinds = [a * one for a in h] + [p * two for p in pair] + [(p * three + c) * three for p, c in zip(pair, h[2:], strict=False)] + [(a * skip + c) * skip for a, c in zip(h, h[2:], strict=False)]
+        want = sorted({(((x & mask) ^ (x & mask) >> 31) * last & mask) >> (64 - toxicity.BITS) for x in kinds})
+        assert toxicity.Features()(text.encode()).tolist() == want
+
+
+def test_toxicity_bounds_what_it_learns_from(spark):
+    rows = [(k, f"clean words {k} of here" if k % 2 else f"foul words {k} of here") for k in range(200)]
+    many = [(0, f"clean text {j} under a hot id") for j in range(3000)]
+    docs = spark.createDataFrame(rows + many, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(200)] * 2, "doc_id long, toxic int")
+    plain, hot = toxicity.fit(docs.where("doc_id > 0"), labels.where("doc_id > 0")), toxicity.fit(docs, labels)
+    assert len(plain.places) and abs(len(hot.places) - len(plain.places)) <= 12  # one text of the hot id was learnt from
+    none, some = toxicity.fit(docs, labels, train_places=0), toxicity.fit(docs, labels, train_rows=30)
+    assert len(none.places) == 0 and none.bias == 0 and len(some.places) <= len(plain.places)
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxic_scores(docs.where("doc_id > 0"), labels).collect()}
+    assert sum(scores[k] == 1 - k % 2 for k in scores) >= 0.95 * len(scores)
+
+
 def plain_ftrl(rows, labels, size, alpha, beta, l1, l2, epochs):
     """The published update, coordinate by coordinate; the last is the bias, without L1."""
     z, n = [0.0] * (size + 1), [0.0] * (size + 1)
@@ -303,6 +374,48 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.predict(odd, language.fit(none)).collect()} == {"und"}
 
 
+def plain_profile(texts, depth):
+    n = collections.Counter()
+    for t in texts:
+        words = "".join(c.lower()[0] if c.isalpha() else " " for c in t).split()
+        flat = " " + "".join(w + " " for w in words)
+        for size in (1, 2, 3):
+            n.update(g for k in range(len(flat) - size + 1) if (g := flat[k : k + size]).strip() and (size < 3 or g[1] != " "))
+    value = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(n, key=lambda g: (-n[g], value(g)))[:depth]
+
+
+def test_language_by_brute_force(spark):
+    """Profiles, out-of-place distances, the nearest language and the score, in plain words."""
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice(a) for _ in range(rng.randint(1, 90))), lang) for k, (lang, a) in enumerate([("aa", "abcdé  "), ("bb", "bcdfx  "), ("cc", "Ωωβγ 12 ")] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    depth = 25
+    profiles = {g: plain_profile([t for _, t, x in learnt if x == g], depth) for g in ("aa", "bb", "cc")}
+    got = language.predict(docs, language.fit(docs, depth=depth)).collect()
+    truth = {i: t for i, t, _ in rows}
+    for r in got:
+        own = plain_profile([truth[r["doc_id"]]], depth)
+        d = {g: sum(abs(p.index(x) - k) if x in p else depth for k, x in enumerate(own)) for g, p in profiles.items()}
+        if not own:
+            assert r["lang_pred"] == "und"
+            continue
+        first, second = sorted(d.values())[:2]
+        assert r["lang_pred"] == min(d, key=lambda g: (d[g], g)) and r["score"] == pytest.approx(1 - first / second if second > first else 0)
+
+
+def test_language_learns_from_so_many_documents(spark):
+    rows = [(k, "abc", "x") for k in range(9000)] + [(k, "abd", "y") for k in range(20)] + [(3, f"zz{k}", "x") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = docs.where("crc32(CAST(doc_id AS string)) % 4 <> 2")
+    chosen = language._chosen(learnt, 100, 9)
+    want = learnt.where("lang = 'x'").select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).distinct().orderBy("h", "doc_id").limit(100)
+    assert {r["doc_id"] for r in chosen.where("lang = 'x'").collect()} == {r["doc_id"] for r in want.collect()}
+    assert chosen.where("lang = 'y'").count() == learnt.where("lang = 'y'").count() and language._chosen(learnt, 100, 1).where("lang = 'y'").count() == 0
+    assert language.fit(docs).names == ["x", "y"]
+
+
 def test_ngrams():
     text = " ab ab "
     want = collections.Counter(g for n in (1, 2, 3) for k in range(len(text) - n + 1) if (g := text[k : k + n]).strip() and not (n == 3 and g[1] == " "))
@@ -344,6 +457,21 @@ def test_exact_splits_hot_digits(spark, monkeypatch):
     assert collections.Counter(r["group_size"] for r in got) == {3: 120, 100: 100} and sum(r["kept"] for r in got) == 41
 
 
+def test_exact_splits_many_hot_digits(spark, monkeypatch):
+    """Hundreds of beginnings that are each too hot, over two rounds, beside texts that end within a digit and copies."""
+    monkeypatch.setattr(radix_dedup, "HOT_BYTES", 4000)
+    rng = random.Random(1)
+    texts = [f"{p:05d}" * 13 + "Ä" * rng.choice([0, 600]) + f"{rng.randint(0, 3):04d}" for p in range(150) for _ in range(12)]
+    texts += [f"{p:05d}" * 13 for p in range(150)] * 2 + ["q" * 64, "q" * 63, "Q" * 64] * 50 + ["", None] * 40
+    rng.shuffle(texts)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[low(t)].append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in radix_dedup.exact_groups(data).collect()}
+    assert got == {i: (max(ids), len(ids), i == max(ids)) for ids in groups.values() for i in ids}
+
+
 def test_tokens(spark, docs, odd, none):
     path = queries.tokenizer_path("word_bpe_49k.json")
     encode = token_orc.encoder(path)
@@ -402,3 +530,15 @@ def test_archive(spark, tmp_path):
         assert len(list(warc.records(whole.read()))) == index.where(F.col("bundle").endswith(name.name)).count()
     assert {r["record_type"] for r in warc.read_archive(warc.write_archive(pages, f"file://{tmp_path}/large", min_bytes=10**9)).collect()} == {"response"}
     assert warc.read_archive(warc.write_archive(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    """Of equal payloads without an id one is the response, whatever their urls are; rows are dealt out by content."""
+    rows = [(None, f"http://a/{k % 7}", "same") for k in range(40)] + [(None, None, f"own {k}") for k in range(20)] + [(5, "u", "both"), (None, "u", "both"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.read_archive(warc.write_archive(pages, f"file://{tmp_path}/warc")).collect()
+    told = collections.Counter((r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in got)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = collections.Counter({(4, digest("same"), "response"): 1, (4, digest("same"), "revisit"): 39, (4, digest("both"), "response"): 1, (4, digest("both"), "revisit"): 1, (0, digest(""), "response"): 1, (0, digest(""), "revisit"): 1})
+    want.update((len(t := f"own {k}"), digest(t), "response") for k in range(20))
+    assert told == want and {r["refers_to"] for r in got if r["payload_digest"] == digest("both")} == {None, 5}
