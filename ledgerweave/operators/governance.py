@@ -102,6 +102,20 @@ def lost_in_upgrade(before: DataFrame, after: DataFrame, keys: list[str]) -> Dat
     return before.join(after, keys, "left_anti").select(*keys)
 
 
+def past_survived(before: DataFrame, after: DataFrame, stream: str) -> DataFrame:
+    """(stream, verdict): whether each journal outlived an upgrade: kept, continued, lost (gone or shorter), or replaced.
+
+    Both sides are journals' entries: stream, sequence, hash. A journal that is as
+    long or longer, but doesn't hold its former head at its place, was replaced.
+    """
+    head = before.groupBy(stream).agg(F.max(F.struct("sequence", "hash")).alias("h")).select(stream, F.col("h.sequence").alias("__n"), F.col("h.hash").alias("__hash"))
+    now = after.groupBy(stream).agg(F.max("sequence").alias("__now"))
+    at = after.select(F.col(stream).alias("__s"), F.col("sequence").alias("__at"), F.col("hash").alias("__found"))
+    both = head.join(now, stream, "left").join(at, (F.col(stream) == F.col("__s")) & (F.col("__n") == F.col("__at")), "left")
+    verdict = F.when(F.col("__now").isNull() | (F.col("__now") < F.col("__n")), "lost").when(~F.coalesce(F.col("__found") == F.col("__hash"), F.lit(False)), "replaced").when(F.col("__now") == F.col("__n"), "kept").otherwise("continued")
+    return both.select(stream, verdict.alias("verdict"))
+
+
 class Migrations:
     """Steps between versions of an artefact, from a version to the next; a route is the shortest one."""
 

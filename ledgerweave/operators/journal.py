@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,20 +16,41 @@ def entry_hash(sequence: Column, previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat_ws("\n", sequence.cast("string"), previous, payload), 256)
 
 
-def chained(rows: DataFrame, stream: str, order: list[str], payload: str) -> DataFrame:
-    """rows with sequence, previous_hash and hash (V06): each hash feeds the next, so a stream is a fold of its own."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence long, previous_hash string, hash string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        last, before, own = GENESIS, [], []
-        for k, p in enumerate(pdf[payload], 1):
-            before.append(last)
-            last = hashlib.sha256(f"{k}\n{last}\n{p}".encode()).hexdigest()
-            own.append(last)
-        return pdf.assign(sequence=range(1, len(pdf) + 1), previous_hash=before, hash=own)
+def chained(rows: DataFrame, stream: str, order: list[str], payload: str, heads: DataFrame | None = None) -> DataFrame:
+    """rows with sequence, previous_hash and hash (V06): each hash feeds the next, so a stream is a fold of its own.
 
-    return rows.groupBy(stream).applyInPandas(fold, schema)
+    heads (stream, sequence, hash) is where streams stand; without one a stream begins.
+    A stream's rows come sorted and are folded batch by batch: a task holds one hash.
+    """
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence long, previous_hash string, hash string"
+    start = F.lit(None).cast("struct<sequence: long, hash: string>").alias("__head")
+    if heads is None:
+        told = rows.select(*names, start)
+    else:
+        told = rows.join(heads.select(stream, F.struct("sequence", "hash").alias("__head")), stream, "left")
+    told = told.select(*names, F.coalesce("__head.sequence", F.lit(0)).alias("__at"), F.coalesce("__head.hash", F.lit(GENESIS)).alias("__last"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, k, last = object(), 0, GENESIS
+        for b in batches:
+            counted, before, own = [], [], []
+            for s, p, first, head in zip(b[stream], b[payload], b["__at"], b["__last"], strict=True):
+                if s != key:
+                    key, k, last = s, int(first), head
+                k += 1
+                counted.append(k)
+                before.append(last)
+                last = hashlib.sha256(f"{k}\n{last}\n{p}".encode()).hexdigest()
+                own.append(last)
+            yield b[names].assign(sequence=counted, previous_hash=before, hash=own)
+
+    return told.repartition(stream).sortWithinPartitions(stream, *order).mapInPandas(fold, schema)
+
+
+def tail_faults(tails: DataFrame, stream: str, payload: str) -> DataFrame:
+    """Streams whose last entry doesn't carry its own hash: nothing may be appended to them (T03). tails: stream, sequence, previous_hash, payload, hash."""
+    return tails.where(~F.coalesce(F.col("hash") == entry_hash(F.col("sequence"), F.col("previous_hash"), F.col(payload)), F.lit(False))).select(stream)
 
 
 def verify_chain(entries: DataFrame, stream: str, payload: str) -> DataFrame:
@@ -77,6 +99,40 @@ def may_accept(status: Column) -> Column:
     return status.isin("review", "rejected")
 
 
+ACCEPTED_MANUAL, REJECTED = "accepted_manual", "rejected"
+
+
+def manual(decisions: DataFrame, events: DataFrame, record: str, order: list[str]) -> DataFrame:
+    """(record, status, was, operator, basis, refusal): decisions after a person's last event for each record.
+
+    events: record, action (accept or reject), operator, basis, time and the
+    columns of order. An event needs an operator, a basis and a time, and a
+    record that waits for review or was rejected; else it is refused with a code
+    and the decision stays. A manual acceptance is a status of its own.
+    """
+    last = events.groupBy(record).agg(F.max_by(F.struct("action", "operator", "basis", "time"), F.struct(*order)).alias("e"))
+    last = last.select(record, F.col("e.action").alias("__action"), "e.operator", "e.basis", "e.time")
+    both = decisions.join(last.withColumn("__asked", F.lit(True)), record, "left")
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    refusal = (
+        F.when(F.col("__asked").isNull(), None).when(F.col("status").isNull(), "E_NO_STATUS").when(~may_accept(F.col("status")), "E_TRANSITION")
+        .when(blank("operator") | blank("basis") | blank("time"), "E_EVENT_INCOMPLETE").when(~F.coalesce(F.col("__action").isin("accept", "reject"), F.lit(False)), "E_ACTION_UNKNOWN")
+    )
+    done = F.col("__asked").isNotNull() & refusal.isNull()
+    status = F.when(done, F.when(F.col("__action") == "accept", ACCEPTED_MANUAL).otherwise(REJECTED)).otherwise(F.col("status"))
+    told = lambda c: F.when(done, F.col(c)).alias(c)
+    return both.select(record, status.alias("status"), F.when(done, F.col("status")).alias("was"), told("operator"), told("basis"), refusal.alias("refusal"))
+
+
+def stamped(records: DataFrame, decisions: DataFrame, record: str, field: str = "decision") -> DataFrame:
+    """records with their decision's status in one field and nothing else changed (O07); without a status `review`."""
+    mark = decisions.select(F.col(record).alias("__of"), F.col("status").alias("__status"))
+    told = records.join(mark, F.col(record) == F.col("__of"), "left")
+    own = F.when(F.col("__status").startswith("accepted"), "accepted").when(F.col("__status") == REJECTED, "rejected").otherwise("review")
+    names = records.columns if field in records.columns else [*records.columns, field]
+    return told.withColumn(field, own).select(*names)
+
+
 def fan_out(decisions: DataFrame, members: DataFrame, group: str, record: str) -> DataFrame:
     """(record, decision..., applied): one decision for each member of its group, where the group has the expected count.
 

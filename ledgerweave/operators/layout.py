@@ -85,6 +85,22 @@ def grid_lines(cells: DataFrame, page: list[str], row: str, column: str, text: s
     return cells.groupBy(*page, row).agg(F.transform(F.sort_array(F.collect_list(F.struct(column, text))), lambda s: s[text]).alias("cells"))
 
 
+def whole_lines(objects: DataFrame, document: list[str], page: str, path: str, kind: str, text: str, cells: str, label: str) -> DataFrame:
+    """(document, line, place, cells, unparsed): whole records are lines of their own, fields of a message one line for each message.
+
+    objects: document, page (the message's number), path, kind, text, cells (a
+    map of a record's cells), label (of a message's field). What is neither is
+    told as unparsed and not put together by a guess.
+    """
+    record = F.col(kind) == "record"
+    shown = F.when(F.size(cells) > 0, F.transform(F.array_sort(F.map_entries(cells)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    own = objects.where(record).select(*document, F.col(path).alias("line"), F.lit("record").alias("place"), shown.alias("cells"), F.lit(False).alias("unparsed"))
+    fields = objects.where(~record & F.col(label).isNotNull()).groupBy(*document, page).agg(F.transform(F.sort_array(F.collect_list(F.struct(path, label, text))), lambda e: F.concat(e[label], F.lit("="), F.coalesce(e[text], F.lit("")))).alias("cells"))
+    told = fields.select(*document, F.concat(F.lit("message["), F.col(page).cast("string"), F.lit("]")).alias("line"), F.lit("message").alias("place"), "cells", F.lit(False).alias("unparsed"))
+    rest = objects.where(~record & F.col(label).isNull()).select(*document, F.col(path).alias("line"), F.lit("none").alias("place"), F.array(F.coalesce(text, F.lit(""))).alias("cells"), F.lit(True).alias("unparsed"))
+    return own.unionByName(told).unionByName(rest)
+
+
 def into_bands(cells: DataFrame, x: str, bands: list[tuple[str, float, float]]) -> DataFrame:
     """cells with fields (names of the bands that x falls into) and verdict: one, conflict or extra.
 
@@ -128,6 +144,28 @@ def context(lines: DataFrame, document: list[str], order: list[str], text: str,
     return lines.withColumn("context", F.collect_list(text).over(w))
 
 
+#: How many lines a level of context shows at most; fixed values.
+LEVELS = {"field": 0, "line": 1, "neighbours": 3, "table": 12, "page": 120}
+
+
+def context_levels(lines: DataFrame, page: list[str], order: list[str], text: str, field: str, levels: dict[str, int] = LEVELS) -> DataFrame:
+    """(page, order, level, shown, at): what each level shows around a line, from the field alone to the page, and the line's place in it.
+
+    A level shows so many lines with the line in the middle, fewer at the page's
+    ends; a page that is longer than its level is cut around the line.
+    """
+    every = Window.partitionBy(*page).orderBy(*order)
+    rows, cells = lines, []
+    for name, most in levels.items():
+        if most <= 1:
+            cells.append(F.struct(F.lit(name).alias("level"), F.array(F.col(field if most == 0 else text)).alias("shown"), F.lit(0).alias("at")))
+            continue
+        w = every.rowsBetween(-(most // 2), most - most // 2 - 1)
+        rows = rows.withColumn(f"__{name}", F.collect_list(text).over(w)).withColumn(f"__{name}_at", F.least(F.row_number().over(every) - 1, F.lit(most // 2)))
+        cells.append(F.struct(F.lit(name).alias("level"), F.col(f"__{name}").alias("shown"), F.col(f"__{name}_at").alias("at")))
+    return rows.select(*page, *order, F.explode(F.array(*cells)).alias("__l")).select(*page, *order, "__l.*")
+
+
 def stitch(tables: DataFrame, document: list[str], page: str, must_repeat: bool | None = None, tolerance: float = 0.02) -> DataFrame:
     """(document, page, header_repeated, verdict, chain): a page's last table with the next page's first.
 

@@ -78,11 +78,24 @@ def form_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.size("errors") == 0).alias("sound"), F.count_if(F.coalesce(F.trim("doubt"), F.lit("")) != "").alias("doubtful"))
 
 
-def recovery(entries: DataFrame, stream: str, results: DataFrame) -> DataFrame:
-    """(stream, verdict): what is left after a stop: a broken chain, a finished result, or one that has to run again.
+def recovery(entries: DataFrame, stream: str, results: DataFrame, parts: DataFrame | None = None, space: DataFrame | None = None, needed: int = 0) -> DataFrame:
+    """(stream, verdict, codes): what is left after a stop, and every fault by its code; nothing is mended.
 
-    entries: verify_chain()'s rows; results: stream, complete.
+    entries: verify_chain()'s rows; results: stream, complete; parts:
+    verify_parts()'s rows; space: stream, writable, free (bytes). The verdict is
+    the first of: a broken journal, none, a folder that can't be worked in, a
+    finished result, or one that has to run again.
     """
     both = entries.join(results, stream, "full_outer")
-    verdict = F.when(F.coalesce("broken", F.lit(0)) > 0, "journal broken").when(F.col("entries").isNull(), "no journal").when(F.coalesce("complete", F.lit(False)), "finished").otherwise("run again")
-    return both.select(stream, verdict.alias("verdict"))
+    if parts is not None:
+        both = both.join(parts.groupBy(stream).agg(F.count_if(~F.col("linked")).alias("unlinked")), stream, "left")
+    if space is not None:
+        both = both.join(space.select(stream, "writable", "free"), stream, "left")
+    broken, unlinked = F.coalesce("broken", F.lit(0)) > 0, F.coalesce("unlinked", F.lit(0)) > 0 if parts is not None else F.lit(False)
+    shut = ~F.coalesce("writable", F.lit(False)) if space is not None else F.lit(False)
+    full = ~F.coalesce(F.col("free") >= needed, F.lit(False)) if space is not None and needed else F.lit(False)
+    none, whole = F.col("entries").isNull(), F.coalesce("complete", F.lit(False))
+    faults = {"E_JOURNAL_BROKEN": broken, "E_JOURNAL_PARTS": unlinked, "E_JOURNAL_MISSING": none, "E_RESULT_INCOMPLETE": ~whole, "E_NOT_WRITABLE": shut, "E_NO_SPACE": full}
+    codes = F.array_compact(F.array(*(F.when(c, code) for code, c in faults.items())))
+    verdict = F.when(broken | unlinked, "journal broken").when(none, "no journal").when(shut | full, "no room").when(whole, "finished").otherwise("run again")
+    return both.select(stream, verdict.alias("verdict"), F.concat_ws(",", codes).alias("codes"))

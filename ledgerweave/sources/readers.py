@@ -11,7 +11,6 @@ import csv
 import io
 import re
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -19,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.deadline import Deadline, DeadlineError
+from ledgerweave.sources.pdf import texts
+
 OBJECT = "document_id string, page int, structural_path string, raw_text string, properties map<string,string>, engine string"
 Item = tuple[int, str, str | None, dict[str, str]]
 READERS: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]] = {}
@@ -40,15 +42,26 @@ def read(files: DataFrame, kind: str) -> DataFrame:
     return READERS[kind][1](files)
 
 
+def read_all(files: DataFrame, kind: str = "kind") -> DataFrame:
+    """Source objects of files of all registered formats, each by its own reader; files of other kinds give a refusal."""
+    out = files.where(~F.coalesce(F.col(kind).isin(*READERS), F.lit(False))).select("document_id", F.lit(0).alias("page"), F.lit("refusal").alias("structural_path"), F.lit(None).cast("string").alias("raw_text"), F.create_map(F.lit("code"), F.lit("E_ADAPTER_NONE")).alias("properties"), F.lit("none").alias("engine"))
+    for name in sorted(READERS):
+        out = out.unionByName(read(files.where(F.col(kind) == name).select("document_id", "content"), name).select(out.columns))
+    return out
+
+
 def _by_document(files: DataFrame, parse: Callable[[bytes], Iterator[Item]], engine: str) -> DataFrame:
-    """Rows of a Python parser, a document at a time; one that can't be read gives a row with its code and no text."""
+    """Rows of a Python parser, a document at a time; one that can't be read, or takes too long, gives a row with its code and no text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, data in zip(b["document_id"], b["content"], strict=True):
+                deadline = Deadline(engine)
                 try:
-                    rows = list(parse(bytes(data)))
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, zlib.error, UnicodeDecodeError) as e:
+                    rows = [r for r in parse(bytes(data)) if deadline.tick()]
+                except DeadlineError as e:
+                    rows = [(0, "refusal", None, {"code": "E_DEADLINE", "reason": str(e)})]
+                except Exception as e:  # noqa: BLE001  whatever a damaged file makes a parser do, the other documents are read
                     rows = [(0, "refusal", None, {"code": "E_ADAPTER_FAILED", "reason": type(e).__name__})]
                 yield pd.DataFrame([(doc, *r, engine) for r in rows], columns=["document_id", "page", "structural_path", "raw_text", "properties", "engine"])
 
@@ -94,7 +107,7 @@ def ofx(files: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all(text, F.lit(r"(?is)<STMTTRN>(.*?)(?=</STMTTRN>|<STMTTRN>|</BANKTRANLIST>|$)"), F.lit(1))
     rows = files.select("document_id", F.posexplode(blocks).alias("n", "block"))
     names, values = (F.regexp_extract_all("block", F.lit(r"(?i)<([A-Z0-9.]+)>([^<\r\n]*)"), F.lit(k)) for k in (1, 2))
-    cells = F.array_sort(F.filter(F.arrays_zip(F.transform(names, F.upper).alias("k"), F.transform(values, F.trim).alias("v")), lambda e: e["v"] != ""))
+    cells = F.array_sort(F.filter(F.arrays_zip(F.transform(names, lambda x: F.upper(x)).alias("k"), F.transform(values, lambda x: F.trim(x)).alias("v")), lambda e: e["v"] != ""))
     rows = rows.withColumn("cells", cells)
     shown = F.concat_ws(";", F.transform("cells", lambda e: F.concat(e["k"], F.lit("="), e["v"])))
     return _objects(rows, "ofx/1", F.concat(F.lit("transaction["), (F.col("n") + 1).cast("string"), F.lit("]")), shown, F.map_from_entries(F.array_distinct(F.col("cells"))))
@@ -211,90 +224,14 @@ def docx(files: DataFrame) -> DataFrame:
     return _by_document(files, parse, "docx/1")
 
 
-def pdf_objects(data: bytes) -> dict[int, tuple[bytes, bytes | None]]:
-    """Objects of a PDF by number, found by a scan: (dictionary, decoded stream). The last revision of an object wins."""
-    found: dict[int, tuple[bytes, bytes | None]] = {}
-    for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.DOTALL):
-        head, marked, rest = m[2].partition(b"stream")
-        body = None
-        if marked:
-            body = re.sub(rb"\r?\nendstream\s*$|endstream\s*$", b"", re.sub(rb"^\r?\n", b"", rest, count=1))
-            if b"/FlateDecode" in head:
-                body = zlib.decompressobj().decompress(body)
-        found[int(m[1])] = (head, body)
-    return found
-
-
-TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?\d*\.?\d+|/[^\s/\[\]()<>]+|[A-Za-z'\"*]+", re.DOTALL)
-ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _shown(token: bytes) -> str:
-    if token.startswith(b"<"):
-        return bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode()).decode("latin-1")
-    plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
-    return plain.decode("latin-1")
-
-
 @register("pdf")
 def pdf(files: DataFrame) -> DataFrame:
-    """Texts of each page with their place as shares of the page; simple fonts of one byte for a character.
+    """Texts of each page with their place as shares of the page, and each page's text layer.
 
-    A page without text is told as `scan`. Composite fonts need a map that isn't
-    read here: such texts come as their codes, and the text layer is `unreadable`
-    where most characters aren't printable.
+    A page without text is told as `scan`; one where most characters can't be
+    told, as those of a composite font without a map to Unicode, as `unreadable`.
     """
-
-    def parse(data: bytes) -> Iterator[Item]:
-        if not data.startswith(b"%PDF-"):
-            raise ValueError("not a PDF")
-        objects = pdf_objects(data)
-        pages = [n for n, (head, _) in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", head)]
-        for page, n in enumerate(pages, 1):
-            head = objects[n][0]
-            box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", head) or next((m for h, _ in objects.values() if (m := re.search(rb"/MediaBox\s*\[([^\]]*)\]", h))), None)
-            left, low, right, high = (float(x) for x in box[1].split()) if box else (0.0, 0.0, 595.0, 842.0)
-            turned = re.search(rb"/Rotate\s+(-?\d+)", head)
-            own = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", head)
-            refs = [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", own[1])] if own else []
-            stack: list = []
-            x = y = line_x = line_y = leading = size = 0.0
-            order = printable = total = 0
-            for token in TOKEN.findall(b"\n".join(objects[r][1] or b"" for r in refs if r in objects)):
-                if token[:1] in b"(<[]/" or re.fullmatch(rb"[-+]?\d*\.?\d+", token):
-                    stack.append(token)
-                    continue
-                number = lambda k: float(stack[k])  # noqa: B023, E731
-                if token == b"BT":
-                    x = y = line_x = line_y = 0.0
-                elif token == b"Tf" and len(stack) >= 2:
-                    size = number(-1)
-                elif token == b"TL" and stack:
-                    leading = number(-1)
-                elif token in (b"Td", b"TD") and len(stack) >= 2:
-                    line_x, line_y = line_x + number(-2), line_y + number(-1)
-                    leading = -number(-1) if token == b"TD" else leading
-                    x, y = line_x, line_y
-                elif token == b"Tm" and len(stack) >= 6:
-                    line_x, line_y = number(-2), number(-1)
-                    x, y = line_x, line_y
-                elif token in (b"T*", b"'", b'"'):
-                    line_y -= leading
-                    x, y = line_x, line_y
-                if token in (b"Tj", b"TJ", b"'", b'"'):
-                    text = "".join(_shown(t) for t in stack if t[:1] in b"(<")
-                    if text.strip():
-                        order += 1
-                        total, printable = total + len(text), printable + sum(c.isprintable() for c in text)
-                        yield page, f"page[{page}]/text[{order}]", text, {
-                            "kind": "text", "x": f"{min(1, max(0, (x - left) / (right - left))):.3f}", "y": f"{min(1, max(0, (y - low) / (high - low))):.3f}",
-                            "font_size": f"{size:g}", "font_share": f"{size / (high - low):.6f}", "order": str(order), "rotation": turned[1].decode() if turned else "0",
-                        }
-                stack = []
-            layer = "scan" if not total else "readable" if printable >= 0.6 * total else "unreadable"
-            yield page, f"page[{page}]/layer", None, {"kind": "layer", "layer": layer}
-
-    return _by_document(files, parse, "pdf/1")
+    return _by_document(files, texts, "pdf/1")
 
 
 #: Columns of the annotation form, in order; fixed values.

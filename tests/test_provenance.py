@@ -85,7 +85,11 @@ def test_prior_decisions_and_recovery(spark):
     chain = journal.chained(rows, "s", ["k"], "p")
     seen = journal.verify_chain(chain.withColumn("p", F.when(F.col("s") == "u", "x").otherwise(F.col("p"))), "s", "p")
     results = spark.createDataFrame([("s", True), ("t", False), ("v", True)], "s string, complete boolean")
-    assert sorted(map(tuple, provenance.recovery(seen, "s", results).collect())) == [("s", "finished"), ("t", "run again"), ("u", "journal broken"), ("v", "no journal")]
+    assert sorted((r[0], r[1]) for r in provenance.recovery(seen, "s", results).collect()) == [("s", "finished"), ("t", "run again"), ("u", "journal broken"), ("v", "no journal")]
+    parts = spark.createDataFrame([("s", 1, True), ("s", 2, False), ("t", 1, True)], "s string, part int, linked boolean")
+    space = spark.createDataFrame([("s", True, 10), ("t", True, 5), ("v", False, 100)], "s string, writable boolean, free long")
+    got = {r["s"]: (r["verdict"], r["codes"]) for r in provenance.recovery(seen, "s", results, parts, space, 8).collect()}
+    assert got["s"] == ("journal broken", "E_JOURNAL_PARTS") and got["t"] == ("no room", "E_RESULT_INCOMPLETE,E_NO_SPACE") and got["v"] == ("no journal", "E_JOURNAL_MISSING,E_NOT_WRITABLE")
 
 
 def test_training_document(spark):

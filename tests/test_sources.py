@@ -30,11 +30,11 @@ def rows(df):
 
 
 def test_files_are_known_by_their_bytes(spark, tmp_path):
-    for name, data in (("a.csv", b"x;y\n"), ("own.txt", b"..." + S.DERIVED_MARK.encode())):
+    for name, data in (("a.csv", b"x;y\n"), ("own.txt", b"..." + S.DERIVED_MARK.encode()), ("none.txt", b"")):
         (tmp_path / name).write_bytes(data)
     got = {r["name"]: r for r in S.read_files(spark, str(tmp_path)).collect()}
     assert got["a.csv"]["refusals"] == [] and len(got["a.csv"]["document_id"]) == 64
-    assert got["own.txt"]["refusals"] == ["E_DERIVED_INPUT"]
+    assert got["own.txt"]["refusals"] == ["E_DERIVED_INPUT"] and got["none.txt"]["refusals"] == ["E_EMPTY_FILE"]
     small = {r["name"]: r for r in S.read_files(spark, str(tmp_path), S.Limits(file_bytes=2)).collect()}
     assert small["a.csv"]["refusals"] == ["E_LIMIT_SIZE"] and small["a.csv"]["content"] is None
 
@@ -77,6 +77,8 @@ def test_ofx(spark):
     text = "OFXHEADER:100\n<OFX><BANKTRANLIST><STMTTRN><TRNTYPE>DEBIT<TRNAMT>-1.50\n<NAME>Shop & co</STMTTRN><STMTTRN>\n<TRNAMT>2</BANKTRANLIST>"
     got = rows(R.read(given(spark, text.encode()), "ofx"))
     assert [x for *_, x in got] == [{"TRNTYPE": "DEBIT", "TRNAMT": "-1.50", "NAME": "Shop & co"}, {"TRNAMT": "2"}]
+    digits = "<STMTTRN><A> 010.20 <B>1001<C>2-2</STMTTRN>"  # a cell's number in the list plays no part
+    assert rows(R.read(given(spark, digits.encode()), "ofx"))[0][3] == {"A": "010.20", "B": "1001", "C": "2-2"}
 
 
 def test_camt053(spark):
@@ -116,6 +118,103 @@ def test_pdf(spark):
     assert got["page[1]/layer"][1]["layer"] == "readable" and got["page[2]/layer"][1]["layer"] == "scan"
 
 
+def pdf_of(*objects, tail=b""):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, x) for n, x in objects) + tail
+
+
+def stream(head, body, length=None):
+    return b"<< %s /Length %d >>\nstream\n%s\nendstream" % (head, len(body) if length is None else length, body)
+
+
+def test_pdf_fonts_with_a_map(spark):
+    table = b"begincmap 1 beginbfchar <0001> <00480069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0416> <D83DDE00>] endbfrange endcmap"
+    fonts = b"<< /Font << /F1 5 0 R /F2 6 0 R /F3 7 0 R >> >>"
+    content = b"q 2 0 0 2 10 20 cm BT /F1 5 Tf 1 0 0 1 20 40 Tm <0001001000110012> Tj /F3 5 Tf 0 -10 Td (caf\\351 \\(x\\)) Tj ET Q BT /F1 8 Tf 1 0 0 3 100 500 Tm [<0020> -20 <0021>] TJ ET % endobj 9 0 obj"
+    good = pdf_of(
+        (1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /MediaBox [0 0 200 1000] /Rotate 90 /Resources " + fonts + b" /Kids [3 0 R 8 0 R] /Count 2 >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents [4 0 R] >>"),
+        (4, stream(b"", content)), (5, b"<< /Subtype /Type0 /ToUnicode 10 0 R >>"), (6, b"<< /Subtype /Type0 >>"), (7, b"<< /Subtype /Type1 >>"), (8, b"<< /Type /Page /Contents 11 0 R /Rotate 0 >>"), (10, stream(b"/Filter /FlateDecode", zlib.compress(table))),
+        (11, stream(b"", b"BT /F2 5 Tf 10 10 Td <00010002> Tj ET")),
+    )
+    got = {p: (t, x) for _, p, t, x in rows(R.read(given(spark, good), "pdf"))}
+    first, second, third = (got[f"page[1]/text[{k}]"] for k in (1, 2, 3))
+    assert (first[0], second[0], third[0]) == ("Hiabc", "café (x)", "Ж😀")
+    assert (first[1]["x"], first[1]["y"], first[1]["font_share"]) == ("0.250", "0.100", "0.010000") and third[1]["font_size"] == "24" and first[1]["rotation"] == "90"
+    assert got["page[1]/layer"][1] | {"layer": "readable", "rotation": "90"} == got["page[1]/layer"][1] and got["page[2]/layer"][1]["layer"] == "unreadable" and got["page[2]/layer"][1]["rotation"] == "0"
+
+
+def test_pdf_structure(spark):
+    from ledgerweave.sources import pdf
+
+    heads = b"5 0 6 43 "
+    packed = heads + b"<< /Type /Page /MediaBox [0 0 9 9] >>".ljust(43) + b"42"
+    doc = pdf.read(pdf_of((1, b"<< /Old true >>"), (2, stream(b"", b"a endobj 7 0 obj (no) endobj b")), (1, b"<< /New [1 0 R (a(b)\\n\\051) <4a4> -.5 null true /A#20b] >>"), (3, stream(b"", b"wrong length", 3)), (4, stream(b"/Type /ObjStm /N 2 /First 9", packed))))
+    assert doc.values[1] == {"New": [pdf.Ref(1), b"a(b)\n)", b"J@", -0.5, None, True, "A b"]} and 7 not in doc.values
+    assert doc.streams[2].endswith(b"endobj b") and doc.streams[3].strip() == b"wrong length" and doc.values[6] == 42 and [p.get("MediaBox") for p in doc.pages()] == [[0, 0, 9, 9]]
+    loop = pdf_of((1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Kids [2 0 R 2 0 R] >>"))
+    assert pdf.read(loop).pages() == []
+    for data in (b"%PDF-1.4 garbage << [ ( <", b"no pdf", b"%PDF-1.4 /Encrypt " + loop, b"%PDF-1.4\n1 0 obj " + b"[" * 5000):
+        assert all(p in ("refusal",) for _, p, *_ in rows(R.read(given(spark, data), "pdf")))
+
+
+def test_deadlines():
+    from ledgerweave.sources.deadline import TICKS, Deadline, DeadlineError
+
+    now = [0.0]
+    whole = Deadline("document", 10, clock=lambda: now[0])
+    page, short = whole.child("page", 100), whole.child("table", 3)
+    assert whole.left() == page.left() == 10 and short.left() == 3 and page.tick()
+    now[0] = 5
+    with pytest.raises(DeadlineError, match="table"):
+        short.tick()
+    now[0] = 11
+    assert all(page.tick() for _ in range(TICKS - 1))  # the clock isn't asked each time
+    with pytest.raises(DeadlineError, match="document"):
+        page.tick()
+
+
+def test_policy(spark):
+    locked = bytearray(zipped(a_dot_txt=b"x"))
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    cases = [b"", b"%PDF-1.4 %%EOF", b"%PDF-1.4", b"%PDF-1.4 /Encrypt %%EOF", bytes(locked), zipped(xl__vbaProject_dot_bin=b"x"), b"PK\x03\x04 not", b"\xd0\xcf\x11\xe0" + S.OLE_ENCRYPTED, b"\xd0\xcf\x11\xe0" + S.OLE_MACROS[1], b"plain"]
+    assert [S.policy_codes(c) for c in cases] == [["E_POLICY_BROKEN"], [], ["E_POLICY_BROKEN"], ["E_POLICY_ENCRYPTED"], ["E_POLICY_ENCRYPTED"], ["E_POLICY_MACROS"], ["E_POLICY_BROKEN"], ["E_POLICY_ENCRYPTED"], ["E_POLICY_MACROS"], []]
+    assert [(r["kind"], r["codes"]) for r in S.apply_policy(given(spark, *cases[:2])).orderBy("document_id").collect()] == [("text", ["E_POLICY_BROKEN"]), ("pdf", [])]
+
+
+def test_blob_store(spark, tmp_path):
+    import json
+
+    from ledgerweave.sources.store import BlobStore, JdbcBlobStore, StoreError, load_run, save_run
+
+    blobs = lambda *rows: spark.createDataFrame([(a, n, bytearray(c)) for a, n, c in rows], "shelf string, name string, content binary")
+    for box in (BlobStore(spark, str(tmp_path / "store")), JdbcBlobStore(spark, f"jdbc:derby:{tmp_path}/db;create=true", "blobs")):
+        assert box.listed().count() == 0 and box.restore().count() == 0
+        assert box.save(blobs(("s", "a", b"1"), ("s", "b", b"2"))) == 2 and box.save(blobs(("s", "a", b"1"))) == 0
+        assert box.save(blobs(("s", "a", b"3"), ("t", "a", b"1"))) == 2
+        assert sorted((r["shelf"], r["name"], bytes(r["content"])) for r in box.restore().collect()) == [("s", "a", b"3"), ("s", "b", b"2"), ("t", "a", b"1")]
+    part = next((tmp_path / "store").glob("version=1/part*"))
+    broken = spark.createDataFrame([("s", "b", "0" * 64, bytearray(b"9"))], "shelf string, name string, document_id string, content binary")
+    broken.coalesce(1).write.parquet(str(tmp_path / "store" / "version=9"))
+    with pytest.raises(Exception, match="E_STORE_CONTENT"):
+        BlobStore(spark, str(tmp_path / "store")).restore().collect()
+    assert part.exists()
+    save_run({"a": spark.range(3)}, str(tmp_path / "run"))
+    assert load_run(spark, str(tmp_path / "run"))["a"].count() == 3
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "run" / "a"))
+    with pytest.raises(StoreError, match="E_RUN_ROWS"):
+        load_run(spark, str(tmp_path / "run"))
+    spark.range(2).write.parquet(str(tmp_path / "half" / "a"))
+    with pytest.raises(StoreError, match="E_RUN_NOT_WHOLE"):
+        load_run(spark, str(tmp_path / "half"))
+    decisions = spark.createDataFrame([(1, "x", "DATA"), (1, "y", "REJECTED"), (2, "z", "DATA")], "batch int, id string, sheet string")
+    gates = spark.createDataFrame([(1, "open"), (2, "closed")], "batch int, gate string")
+    W.release_books(decisions, gates, ["batch"], ["id"], str(tmp_path / "books"))
+    client = rows(R.read(given(spark, (tmp_path / "books" / "client.xlsx").read_bytes()), "xlsx"))
+    assert [(p, t) for _, p, t, _ in client] == [("DATA!A1", "id"), ("DATA!A2", "x")]
+    told = json.loads((tmp_path / "books" / "control.json").read_text())
+    assert told["sheets"] == {"DATA": 2, "REVIEW": 0, "REJECTED": 1, "ERRORS": 0, "AUDIT": 2} and len(told["sha256"]) == 64
+
+
 def test_annotation_form(spark):
     head = ";".join(R.FORM)
     text = f"{head}\nd;1;1;01;02;2024;;1,50;debit;;;\nd;1;1;01;02;2024;;1,50;both;;;\n;1;2;;;;;;;;;\n"
