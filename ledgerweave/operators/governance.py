@@ -149,3 +149,9 @@ class Migrations:
             now = self.steps[artefact][a][b](now)
         told = now.withColumn("migrated", F.lit(">".join([source, *(b for _, b in way)])))
         return told, multiset_diff(rows.select(*payload), now.select(*payload))
+
+
+def upgrade_action(language: Column, supported: tuple[str, ...], convertible: dict[str, str], previous: Column, core: str) -> Column:
+    """What a package's owner does after an upgrade: keep, convert, go back, or rebuild (V11), for each package of a table."""
+    converts = language.isin(*(source for source, target in convertible.items() if target in supported)) if convertible else F.lit(False)
+    return F.when(language.isin(*supported), "keep").when(converts, "convert").when(previous.isNotNull(), F.concat(F.lit("go back to "), previous)).otherwise(f"rebuild for {core}")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerweave.plans import decisions, events, governance, layout, provenance, quality, sources, typing, validation  # noqa: F401  each registers its queries
+from ledgerweave.plans import actions, decisions, events, governance, layout, provenance, quality, sources, typing, validation  # noqa: F401  each registers its queries
 from ledgerweave.plans.registry import QUERIES, SQL
 
 

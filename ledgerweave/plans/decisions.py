@@ -150,7 +150,12 @@ def cluster_sources(t: Tables):
     return connected_components(_links(t))
 
 
-@query()
+@query("""
+    WITH RECURSIVE c AS (SELECT min(c_custkey) AS cluster, count(*) + 1 AS size FROM customer GROUP BY c_nationkey), o AS (SELECT *, row_number() OVER (ORDER BY sha256(concat(least('seed-1', CAST(cluster AS VARCHAR)), greatest('seed-1', CAST(cluster AS VARCHAR)))), cluster) AS n, sum(size) OVER () AS total FROM c),
+    r AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS cluster, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS d, NULL::VARCHAR AS part
+        UNION ALL SELECT n, cluster, a + CASE WHEN part = 'development' THEN size ELSE 0 END, b + CASE WHEN part = 'check' THEN size ELSE 0 END, d + CASE WHEN part = 'closed' THEN size ELSE 0 END, part FROM (
+            SELECT o.n, o.cluster, o.size, a, b, d, a - 0.6::DOUBLE * total AS x, b - 0.2::DOUBLE * total AS y, d - 0.2::DOUBLE * total AS z, CASE WHEN x <= y AND x <= z THEN 'development' WHEN y <= z THEN 'check' ELSE 'closed' END AS part FROM r JOIN o ON o.n = r.n + 1))
+    SELECT cluster, part FROM r WHERE n > 0""")
 def corpus_split(t: Tables):
     """Customers linked through their nation, each cluster whole to one part."""
     links = t.customer.select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1_000_000_000).cast("long").alias("b"))

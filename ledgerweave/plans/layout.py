@@ -38,14 +38,25 @@ def requisites_next_cell(t: Tables):
     return out.select("conv_id", "name", F.sha2("value", 256).alias("value"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT vec_id AS object_id, label AS page, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, row_number() OVER (PARTITION BY label ORDER BY CAST(embedding[2] AS DOUBLE) DESC, CAST(embedding[1] AS DOUBLE), vec_id) AS n FROM embeddings),
+    r AS (SELECT object_id, page, x, y, n, 1 AS line, y AS anchor FROM o WHERE n = 1
+        UNION ALL SELECT o.object_id, o.page, o.x, o.y, o.n, CASE WHEN abs(anchor - o.y) > 0.004 THEN line + 1 ELSE line END, CASE WHEN abs(anchor - o.y) > 0.004 THEN o.y ELSE anchor END FROM r JOIN o ON o.page = r.page AND o.n = r.n + 1)
+    SELECT object_id, page, x, y, line FROM r""")
 def line_clustering(t: Tables):
     """Objects placed by their first two components, a page for each label."""
     rows = t.embeddings.select(F.col("vec_id").alias("object_id"), F.col("label").alias("page"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")))
     return L.cluster_lines(rows, ["page"], "x", "y")
 
 
-@query()
+@query("""
+    WITH RECURSIVE c AS (SELECT event_id // 200 AS page, event_id // 4 AS line, (event_id % 4) * 0.25::DOUBLE + user_id % 3 * 0.011::DOUBLE AS x FROM events),
+    l AS (SELECT page, line, list_sort(list(x)) AS xs, row_number() OVER (PARTITION BY page ORDER BY line) AS n FROM c GROUP BY 1, 2),
+    r AS (SELECT page, line, n, 1 AS run, line AS first, xs AS shared FROM l WHERE n = 1
+        UNION ALL SELECT page, line, n, CASE WHEN joined THEN run ELSE run + 1 END, CASE WHEN joined THEN first ELSE line END, CASE WHEN joined THEN common ELSE xs END FROM (
+            SELECT l.page, l.line, l.n, r.run, r.first, l.xs, list_filter(r.shared, lambda a: len(list_filter(l.xs, lambda b: abs(a - b) <= 0.02)) > 0) AS common, l.line = r.line + 1 AND len(common) >= 2 AS joined FROM r JOIN l ON l.page = r.page AND l.n = r.n + 1)),
+    t AS (SELECT page, run, min(first) AS first_line, max(line) AS last_line, arg_max(len(shared), n) AS columns, count(*) AS lines FROM r GROUP BY 1, 2)
+    SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY first_line) AS INT) AS "table", first_line, last_line, columns FROM t WHERE lines >= 2 AND columns >= 2""")
 def table_detect(t: Tables):
     rows = t.events.select((F.col("event_id") / 200).cast("long").alias("page"), (F.col("event_id") / 4).cast("long").alias("line"), ((F.col("event_id") % 4) * 0.25 + F.col("user_id") % 3 * 0.011).alias("x"))
     return L.detect_tables(rows, ["page"], "line", "x")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.streaming import watch
@@ -45,3 +46,49 @@ def test_tumbling(spark, tmp_path):
     put(spark, tmp_path / "in", [("a", s, "") for s in (0, 30, 61)])
     rows = watch.tumbling(spark.read.parquet(str(tmp_path / "in")), "time", "1 minute", ["key"])
     assert sorted(r["n"] for r in rows.select("n").collect()) == [1, 2] and rows.where(F.col("n") > 1).count() == 1
+
+
+def test_journals_grow_by_their_tails(spark, tmp_path):
+    from ledgerweave.operators import journal
+
+    batch = lambda *rows: spark.createDataFrame(list(rows), "s string, k int, p string, previous_hash string")
+    path = str(tmp_path / "journal")
+    write = watch.append_chained(path, "s", ["k"], "p")
+    write(batch(("a", 1, "x", None), ("a", 2, "y", None), ("b", 1, "z", None)), 0)
+    last = {r["s"]: r["hash"] for r in spark.read.parquet(f"{path}/tails/after=0").collect()}
+    write(batch(("a", 3, "w", last["a"]), ("c", 1, "v", None)), 1)
+    write(batch(("a", 3, "w", last["a"]), ("c", 1, "v", None)), 1)  # a batch that comes again replaces itself
+    entries = lambda: spark.read.parquet(f"{path}/entries")
+    told = sorted(map(tuple, journal.verify_chain(entries(), "s", "p").collect()))
+    assert told == [("a", 3, 0, None), ("b", 1, 0, None), ("c", 1, 0, None)] and spark.read.parquet(f"{path}/tails/after=1").count() == 3
+    whole = journal.chained(entries().select("s", "k", "p"), "s", ["k"], "p")
+    assert {r["hash"] for r in whole.collect()} == {r["hash"] for r in entries().collect()}
+    with pytest.raises(Exception, match="E_JOURNAL_PREDECESSOR"):
+        write(batch(("a", 4, "u", "0" * 64)), 2)
+    tails = spark.read.parquet(f"{path}/tails/after=1").withColumn("p", F.when(F.col("s") == "b", "forged").otherwise(F.col("p"))).collect()
+    spark.createDataFrame(tails).write.mode("overwrite").parquet(f"{path}/tails/after=1")
+    with pytest.raises(watch.JournalError, match="E_JOURNAL_TAIL .*b"):
+        write(batch(("a", 4, "u", None)), 2)
+
+
+def test_runs_are_compared(spark, tmp_path):
+    put(spark, tmp_path / "in", [("f1", 0, "x"), ("f1", 1, "x"), ("f2", 2, "p")])
+    put(spark, tmp_path / "in", [("f1", 3, "y"), ("f2", 4, "p"), ("f3", 5, "q")])
+    runs = watch.watch_runs(stream(spark, tmp_path / "in"), "key", "name", "time").writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    runs.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("runs").collect())) == [("f1", "first", "x"), ("f1", "mismatch", "y"), ("f1", "repeat", "x"), ("f2", "first", "p"), ("f2", "repeat", "p"), ("f3", "first", "q")]
+
+
+def test_heartbeats():
+    from types import SimpleNamespace as At
+
+    marks, now = [], [0.0]
+    beat = watch.Heartbeat(marks.append, clock=lambda: now[0])
+    progress = lambda batch, rows: beat.onQueryProgress(At(progress=At(id="q", batchId=batch, numInputRows=rows)))
+    beat.onQueryStarted(At(id="q"))
+    for at, batch in ((0.2, 1), (1.1, 2), (1.5, 3), (2.2, 3), (3.4, 3)):
+        now[0] = at
+        progress(batch, 5)
+    beat.onQueryTerminated(At(id="q", exception=None))
+    assert [(m["state"], m["batch"]) for m in marks] == [("started", -1), ("running", 2), ("running", 3), ("finished", -1)]
+    watch.Heartbeat(lambda mark: 1 / 0).onQueryStarted(At(id="q"))  # a writer that fails stops nothing
