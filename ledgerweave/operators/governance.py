@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.values import percent
+
 #: Which role may do which work; what isn't named is forbidden.
 ROLES = {
     "operator": ("confirm", "reject", "correct", "undo"),
@@ -86,6 +89,18 @@ def bill_of_materials(listed: DataFrame, inside: DataFrame, name: str, fingerpri
     return both.select(name, F.when(F.col("__in_a").isNull(), "unlisted").when(F.col("__in_b").isNull(), "missing").when(F.col("__a").eqNullSafe(F.col("__b")), "ok").otherwise("changed").alias("verdict"))
 
 
+def licence_mentions(text: Column, names: tuple[str, ...]) -> Column:
+    """The licences of a declared list that a text names as whole words, in the list's order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(low.rlike(f"(^|[^a-z]){re.escape(x)}([^a-z]|$)"), x) for x in names)))
+
+
+def outgoing_counters(documents: DataFrame, by: list[str], counted: dict[str, Column]) -> DataFrame:
+    """(by, documents, NAME_percent...): counts and whole percents, all that leaves for a dashboard."""
+    n = documents.groupBy(*by).agg(F.count("*").alias("documents"), *(F.count_if(c).alias(f"__{k}") for k, c in counted.items()))
+    return n.select(*by, "documents", *(percent(F.col(f"__{k}"), F.col("documents")).alias(f"{k}_percent") for k in counted))
+
+
 def licence_obligations(components: DataFrame, name: str, declared: str, mentioned: str) -> DataFrame:
     """(name, wider): licences that a component's text names beyond the declared one: a reason to read it, not a finding."""
     wider = F.filter(mentioned, lambda x: ~F.contains(F.lower(F.col(declared)), F.lower(x)))

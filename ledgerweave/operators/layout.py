@@ -187,6 +187,11 @@ def stitch(tables: DataFrame, document: list[str], page: str, must_repeat: bool
     return rows.withColumn("chain", chain).select(*document, page, "header_repeated", "verdict", "chain")
 
 
+def stitch_counters(stitched: DataFrame) -> DataFrame:
+    """(verdict, pages, headers): how many pages were stitched, left apart or left open, and how many repeated headers were dropped."""
+    return stitched.groupBy("verdict").agg(F.count("*").alias("pages"), F.count_if("header_repeated").alias("headers"))
+
+
 def record_anchor(cells: DataFrame, record: list[str], page: str, x: str, y: str, key: str) -> DataFrame:
     """(record, key): the topmost, then leftmost cell of each record."""
     first = F.min(F.struct(page, (-F.col(y)).alias("up"), x, key)).alias("a")

@@ -16,6 +16,19 @@ def anchor_id(document: Column, page: Column, role: Column, system: Column, plac
     return F.when(~F.coalesce(ordinal_path(place), F.lit(True)), F.substring(F.sha2(text, 256), 1, 32))
 
 
+def anchor_collisions(objects: DataFrame, anchor: str, key: str) -> DataFrame:
+    """(anchor, objects, first_object): anchors that several objects share."""
+    return objects.groupBy(anchor).agg(F.count("*").alias("objects"), F.min(key).alias("first_object")).where("objects > 1")
+
+
+def warning_counts(warnings: DataFrame) -> DataFrame:
+    """(grouping, name, n): warnings counted by kind, by field and by rule in one pass of grouping sets (A17). warnings: field, kind, rule."""
+    names = ["kind", "field", "rule"]
+    sets = warnings.groupingSets([[F.col(c)] for c in names], *names).agg(F.grouping_id(*names).alias("__g"), F.count("*").alias("n"))
+    grouping = F.when(F.col("__g") == 3, "kind").when(F.col("__g") == 5, "field").otherwise("rule")
+    return sets.select(grouping.alias("grouping"), F.when(F.col("__g") == 3, F.col("kind")).when(F.col("__g") == 5, F.col("field")).otherwise(F.col("rule")).alias("name"), "n")
+
+
 def evidence(fields: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, field, raw, value, address, rule, reason): each value beside what was read, by which rule, and why it has no address (P10).
 

@@ -273,15 +273,21 @@ def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjunc
     record gets no status, and goes to the sheet ERRORS with its code. A blocked
     or failed run gives no status either.
     """
-    foreign = ~F.coalesce(F.col("conjunct").isin(*conjuncts), F.lit(False))
-    one = observations.groupBy(*keys, "conjunct").agg(F.min("state").alias("state"), F.count_distinct("state").alias("states"), F.max("critical").alias("critical"))
-    per = one.groupBy(*keys).agg(
-        F.count_if(foreign).alias("foreign"), F.count_if(F.col("states") > 1).alias("contradicted"),
-        F.count_if(~foreign & (F.col("state") == "NO") & F.col("critical")).alias("no_critical"), F.count_if(~foreign & (F.col("state") == "YES")).alias("yes"),
-    )
-    out = records.select(*keys).join(per, keys, "left").fillna(0, ["no_critical", "yes", "contradicted", "foreign"])
-    error = F.when(F.col("foreign") > 0, "E_CONJUNCT_UNKNOWN").when(F.col("contradicted") > 0, "E_CONJUNCT_CONTRADICTED")
-    return _decided(out.withColumn("error", error), keys, F.lit(len(conjuncts)) - F.col("yes"), F.col("no_critical") > 0, run_ok)
+    if len(conjuncts) > 15:
+        raise ValueError("a formula has fifteen conjuncts at most")
+    # Four bits for each conjunct tell which states were seen of it: one number for each record, folded in one pass.
+    place = F.coalesce(*(F.when(F.col("conjunct") == c, 4 * k) for k, c in enumerate(conjuncts)))
+    code = F.when(F.col("state") == "NO", 1).when(F.col("state") == "UNKNOWN", 2).when(F.col("state") == "YES", 4).otherwise(8).cast("long")
+    seen = observations.select(*keys, place.isNull().alias("__foreign"), F.call_function("shiftleft", code, place).alias("__seen"), F.when((code == 1) & F.col("critical"), 1).otherwise(0).alias("__hard"))
+    per = seen.groupBy(*keys).agg(F.max("__foreign").alias("__foreign"), F.coalesce(F.bit_or("__seen"), F.lit(0).cast("long")).alias("__seen"), F.max("__hard").alias("__hard"))
+    out = records.select(*keys).join(per, keys, "left").fillna(0, ["__seen", "__hard"]).fillna(False, ["__foreign"])
+    yes, twice = F.lit(0), F.lit(False)
+    for k in range(len(conjuncts)):
+        own = F.shiftright("__seen", 4 * k).bitwiseAND(15)
+        yes, twice = yes + (own == 4).cast("int"), twice | (F.bit_count(own) > 1)
+    error = F.when(F.col("__foreign"), "E_CONJUNCT_UNKNOWN").when(twice, "E_CONJUNCT_CONTRADICTED")
+    out = out.select(*keys, error.alias("error"), yes.alias("__yes"), (F.col("__hard") > 0).alias("__rejected"))
+    return _decided(out, keys, F.lit(len(conjuncts)) - F.col("__yes"), F.col("__rejected"), run_ok)
 
 
 def _decided(rows: DataFrame, keys: list[str], unmet: Column, rejected: Column, run_ok: bool) -> DataFrame:
@@ -333,6 +339,11 @@ def decision_summary(decisions: DataFrame, by: list[str]) -> DataFrame:
     return n.withColumn("automation", F.col("data").cast("double") / F.col("records"))
 
 
+def rule_summary(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, passed, failed, unknown): results of rules by status."""
+    return results.groupBy(*by).agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in ((PASS, "passed"), (FAIL, "failed"), (UNKNOWN, "unknown"))))
+
+
 def release_gate(decisions: DataFrame, batch: list[str], totals_ok: str = "totals_ok") -> DataFrame:
     """(batch, gate, unmet): open when the run completed, nothing waits for review, totals hold and some record is accepted."""
     n = decisions.groupBy(*batch).agg(F.count_if(F.col("status").isNull() | (F.col("status") == "review")).alias("open"), F.count_if(F.col("status") == "accepted_auto").alias("accepted"), F.min(totals_ok).alias("totals"), F.count("*").alias("n"))

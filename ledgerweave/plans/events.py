@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import values as V
+from ledgerweave.operators import governance as G
 from ledgerweave.operators import journal as J
 from ledgerweave.operators import records as R
 from ledgerweave.plans.registry import Tables, query
@@ -139,8 +140,7 @@ def vulnerability_feed(t: Tables):
     SELECT source, count(*) AS documents, count_if(n_chars < 1000) * 100 // count(*) AS short_percent FROM documents GROUP BY 1""")
 def outgoing_counters(t: Tables):
     """What may leave: a closed list of counters and whole percents."""
-    n = t.documents.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("n_chars") < 1000).alias("short"))
-    return n.select("source", "documents", V.percent(F.col("short"), F.col("documents")).alias("short_percent"))
+    return G.outgoing_counters(t.documents, ["source"], {"short": F.col("n_chars") < 1000})
 
 
 @query("""
@@ -171,8 +171,7 @@ def stall_detection(t: Tables):
     SELECT doc_id, array_to_string(found, ',') AS licences FROM l WHERE len(found) > 0""")
 def licence_mentions(t: Tables):
     """Licences that a text names."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(low.rlike(f"(^|[^a-z]){x}([^a-z]|$)"), x) for x in ("apache", "mit", "gpl", "bsd"))))
+    found = G.licence_mentions(F.col("text"), ("apache", "mit", "gpl", "bsd"))
     return t.documents.select("doc_id", F.concat_ws(",", found).alias("licences")).where("licences <> ''")
 
 

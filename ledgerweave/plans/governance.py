@@ -208,7 +208,7 @@ def rule_summary(t: Tables):
     """Union of two levels' results, counted by status."""
     one = R.apply_rules(t.lineitem, ["l_orderkey"], [R.Rule("discount", F.when(F.col("l_discount") > 0.08, R.FAIL).when(F.col("l_linenumber") == 7, R.UNKNOWN).otherwise(R.PASS))])
     two = R.apply_rules(t.lineitem, ["l_orderkey"], [R.Rule("tax", F.when(F.col("l_tax") > 0.07, R.FAIL).otherwise(R.PASS))])
-    return one.unionByName(two).agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in ((R.PASS, "passed"), (R.FAIL, "failed"), (R.UNKNOWN, "unknown"))))
+    return R.rule_summary(one.unionByName(two), [])
 
 
 @query("""
@@ -227,9 +227,11 @@ def load_forecast(t: Tables):
 
 
 @query("""
-    WITH m AS (SELECT lang, source, avg(CAST(n_chars < 1000 AS INT)) AS short, avg(CAST(n_chars > 5000 AS INT)) AS long FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1, 2),
-    c AS (SELECT a.lang, a.short - b.short AS s, a.long - b.long AS l FROM m a JOIN m b ON a.lang = b.lang AND a.source = 'src1' AND b.source = 'src2')
-    SELECT lang, 'short' AS metric, s AS change FROM c UNION ALL SELECT lang, 'long', l FROM c""")
+    WITH m AS (SELECT lang, CAST(substr(source, 4) AS INT) AS version, avg(CAST(n_chars < 1000 AS INT)) AS short, avg(CAST(n_chars > 5000 AS INT)) AS long FROM documents GROUP BY 1, 2),
+    c AS (SELECT a.lang, a.version, a.short - b.short AS s, a.long - b.long AS l FROM m a JOIN m b ON a.lang = b.lang AND a.version = b.version + 1)
+    SELECT lang, version, 'short' AS metric, s AS change FROM c UNION ALL SELECT lang, version, 'long', l FROM c""")
 def template_drift(t: Tables):
-    m = t.documents.where("source IN ('src1', 'src2')").groupBy("lang", "source").agg(F.avg((F.col("n_chars") < 1000).cast("int")).alias("short"), F.avg((F.col("n_chars") > 5000).cast("int")).alias("long"))
-    return Q.template_drift(m.where("source = 'src1'"), m.where("source = 'src2'"), ["lang"], ["short", "long"])
+    """Metrics of each version of a template (here a source of a language) against those of the one before."""
+    version = F.substring("source", 4, 10).cast("int").alias("version")
+    m = t.documents.groupBy("lang", version).agg(F.avg((F.col("n_chars") < 1000).cast("int")).alias("short"), F.avg((F.col("n_chars") > 5000).cast("int")).alias("long"))
+    return Q.template_drift(m, m.withColumn("version", F.col("version") + 1), ["lang", "version"], ["short", "long"])

@@ -128,4 +128,4 @@ def record_anchor(t: Tables):
     SELECT CASE WHEN NOT follows THEN 'separate' WHEN repeated THEN 'stitched' ELSE 'unresolved' END AS verdict, count(*) AS pages, count_if(follows AND repeated) AS headers FROM v GROUP BY 1""")
 def stitch_counters(t: Tables):
     """How many pages were stitched, left apart or left open, and how many repeated headers were dropped."""
-    return L.stitch(_paged(t), ["doc_id"], "page").groupBy("verdict").agg(F.count("*").alias("pages"), F.count_if("header_repeated").alias("headers"))
+    return L.stitch_counters(L.stitch(_paged(t), ["doc_id"], "page"))

@@ -12,12 +12,12 @@ from ledgerweave.plans.registry import Tables, query
 
 
 @query("""
-    WITH e AS (SELECT user_id AS d, event_id, [event_id % 20, event_id % 20 + 1] AS a, event_type FROM events WHERE event_type IN ('click', 'purchase')), x AS (SELECT d, unnest(a) AS a, event_id, event_type FROM e)
+    WITH e AS (SELECT user_id AS d, event_id, [event_id % 20, event_id % 20 + 1] AS a, event_type FROM events), x AS (SELECT d, unnest(a) AS a, event_id, event_type FROM e)
     SELECT r.d || '-' || r.a AS record_id, arg_max(event_type, event_id) AS action FROM (SELECT DISTINCT d, a FROM x WHERE a % 3 = 0) r JOIN x ON x.d = r.d AND x.a IN (r.a, r.a + 1) GROUP BY 1""")
 def prior_decisions(t: Tables):
     """Decisions by anchors, found again for records that were read anew."""
     k = F.col("event_id") % 20
-    told = t.events.where(F.col("event_type").isin("click", "purchase")).select(F.col("user_id").alias("document_id"), F.array(k, k + 1).alias("anchors"), F.col("event_type").alias("action"), F.lit("x").alias("operator"), "event_id")
+    told = t.events.select(F.col("user_id").alias("document_id"), F.array(k, k + 1).alias("anchors"), F.col("event_type").alias("action"), F.lit("x").alias("operator"), "event_id")
     a = told.select("document_id", F.explode("anchors").alias("a")).where("a % 3 = 0").distinct()
     now = a.select("document_id", F.concat_ws("-", "document_id", "a").alias("record_id"), F.array("a", F.col("a") + 1).alias("anchors"))
     return P.prior_decisions(told, now, ["event_id"]).select("record_id", "action")

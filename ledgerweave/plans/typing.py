@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import values as V
+from ledgerweave.operators import provenance as P
 from ledgerweave.operators import rules as R
 from ledgerweave.plans.registry import Tables, query
 
@@ -99,11 +100,7 @@ def value_warnings_summary(t: Tables):
     date = F.date_format("o_orderdate", "dd.MM.yyyy")
     warn = lambda when, field, kind, rule: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
     found = F.array_compact(F.array(warn(V.ambiguous_date(date), "date", "ambiguous_date", "DMY"), warn(raw.rlike("^[0-9]+$"), "amount", "implicit_cents", "declared"), warn(raw.startswith("("), "amount", "parentheses_sign", "declared")))
-    rows = t.orders.select(F.explode(found).alias("w")).select("w.*")
-    rows.createOrReplaceTempView("value_warnings")
-    sets = t.spark.sql("SELECT field, kind, rule, grouping_id() AS g, count(*) AS n FROM value_warnings GROUP BY GROUPING SETS ((kind), (field), (rule))")
-    grouping = F.when(F.col("g") == 3, "kind").when(F.col("g") == 5, "field").otherwise("rule")
-    return sets.select(grouping.alias("grouping"), F.coalesce("kind", "field", "rule").alias("name"), "n")
+    return P.warning_counts(t.orders.select(F.explode(found).alias("w")).select("w.*"))
 
 
 @query("""
@@ -114,7 +111,7 @@ def anchors_collisions(t: Tables):
     """Objects whose snapped places give one anchor id."""
     grid = lambda k: V.snapped(F.col("embedding")[k].cast("double")).cast("decimal(4,3)").cast("string")
     rows = t.embeddings.select("vec_id", F.substring(F.sha2(F.concat_ws("|", F.lit("page"), F.col("label").cast("string"), grid(0), grid(1)), 256), 1, 32).alias("anchor_id"))
-    return rows.groupBy("anchor_id").agg(F.count("*").alias("objects"), F.min("vec_id").alias("first_object")).where("objects > 1")
+    return P.anchor_collisions(rows, "anchor_id", "vec_id")
 
 
 @query("""
@@ -144,11 +141,11 @@ def family_recognition(t: Tables):
 @query("""
     SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 1, 0) AS VARCHAR) AS half_up,
            CAST(CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS VARCHAR) AS down, CAST(CAST(ceil(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS VARCHAR) AS up,
-           CAST(CAST(round_even(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT) AS VARCHAR) AS half_even FROM orders WHERE o_totalprice >= 0""".replace("CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 1, 0) AS VARCHAR)", "CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT) AS VARCHAR)"))
+           CAST(CAST(round_even(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT) AS VARCHAR) AS half_even FROM orders""".replace("CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) / 1, 0) AS VARCHAR)", "CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS BIGINT) AS VARCHAR)"))
 def rounding_modes(t: Tables):
     a = F.col("o_totalprice").cast("decimal(18,2)")
     made = {m: V.rounded(a, 0, m).cast("long").cast("string").alias(m) for m in ("half_up", "down", "up", "half_even")}
-    return t.orders.where("o_totalprice >= 0").select("o_orderkey", *made.values())
+    return t.orders.select("o_orderkey", *made.values())
 
 
 @query("""
