@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
+#: Sequence numbers that a window goes over at most.
+SPAN = 65_536
 
 
 def entry_hash(sequence: Column, previous: Column, payload: Column) -> Column:
@@ -55,11 +57,17 @@ def tail_faults(tails: DataFrame, stream: str, payload: str) -> DataFrame:
 
 def verify_chain(entries: DataFrame, stream: str, payload: str) -> DataFrame:
     """(stream, entries, broken, first_broken): sequence, previous hash and own hash of every entry; each row checks itself."""
-    w = Window.partitionBy(stream).orderBy("sequence")
-    linked = F.col("previous_hash") == F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))
-    counted = F.col("sequence") == F.row_number().over(w)
+    # Windows go over spans of sequence numbers, not over whole streams: one stream may hold most entries. Spans meet at their ends.
+    rows = entries.withColumn("__span", F.floor(F.col("sequence") / SPAN))
+    spans = rows.groupBy(stream, "__span").agg(F.count("*").alias("__n"), F.max_by("hash", "sequence").alias("__end"))
+    before = Window.partitionBy(stream).orderBy("__span")
+    spans = spans.select(stream, "__span", F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.coalesce(F.lag("__end").over(before), F.lit(GENESIS)).alias("__link"))
+    w = Window.partitionBy(stream, "__span").orderBy("sequence")
+    rows = rows.withColumn("__nth", F.row_number().over(w)).withColumn("__last", F.lag("hash").over(w)).join(spans, [stream, "__span"])
+    linked = F.col("previous_hash") == F.coalesce("__last", "__link")
+    counted = F.col("sequence") == F.col("__before") + F.col("__nth")
     own = F.col("hash") == entry_hash(F.col("sequence"), F.col("previous_hash"), F.col(payload))
-    rows = entries.withColumn("__fine", linked & counted & own)
+    rows = rows.withColumn("__fine", F.coalesce(linked & counted & own, F.lit(False)))
     return rows.groupBy(stream).agg(F.count("*").alias("entries"), F.count_if(~F.col("__fine")).alias("broken"), F.min(F.when(~F.col("__fine"), F.col("sequence"))).alias("first_broken"))
 
 

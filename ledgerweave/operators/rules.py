@@ -161,8 +161,8 @@ def inversions(rows: DataFrame, document: list[str], position: list[str], value:
     return told.where(F.col("before") > F.col("after") if declared == "ascending" else F.col("before") < F.col("after")).select(*document, *position, "before", "after")
 
 
-#: How many of the missing numbers are named.
-NAMED = 20
+#: How many of the missing numbers are named, and how many numbers a window goes over at most.
+NAMED, SPAN = 20, 65_536
 
 
 def gap_check(rows: DataFrame, document: list[str], number: str, policy: str | None, basis: str | None = None) -> DataFrame:
@@ -176,11 +176,17 @@ def gap_check(rows: DataFrame, document: list[str], number: str, policy: str | N
     whole = isinstance(rows.schema[number].dataType, T.IntegralType)
     own = rows.select(*document, F.col(number).alias("__n")) if whole else rows.select(*document, F.when(F.col(number) == F.floor(number), F.col(number)).try_cast("long").alias("__n"))
     given = own.groupBy(*document).agg(F.count_if(F.col("__n").isNull()).alias("nulls"))
-    after = F.lead("__n").over(Window.partitionBy(*document).orderBy("__n"))
-    held = own.where(F.col("__n").isNotNull()).distinct().withColumn("hole", after - F.col("__n") - 1).where("hole > 0")
+    # Windows go over spans of numbers, not over whole documents: one document may hold most rows. Spans meet at their edges.
+    held = own.where(F.col("__n").isNotNull()).distinct().withColumn("__span", F.floor(F.col("__n") / SPAN))
+    inside = held.withColumn("hole", F.lead("__n").over(Window.partitionBy(*document, "__span").orderBy("__n")) - F.col("__n") - 1)
+    edges = held.groupBy(*document, "__span").agg(F.min("__n").alias("__low"), F.max("__n").alias("__n"))
+    edges = edges.withColumn("hole", F.lead("__low").over(Window.partitionBy(*document).orderBy("__span")) - F.col("__n") - 1)
+    found = inside.select(*document, "__n", "hole").unionByName(edges.select(*document, "__n", "hole")).where("hole > 0")
+    holes = found.groupBy(*document).agg(F.sum("hole").alias("missing"), F.count("*").alias("runs"))
     nth = F.row_number().over(Window.partitionBy(*document).orderBy("__n"))
-    some = F.when(F.col("nth") <= NAMED, F.sequence(F.col("__n") + 1, F.col("__n") + F.least(F.col("hole"), F.lit(NAMED))))
-    holes = held.withColumn("nth", nth).groupBy(*document).agg(F.sum("hole").alias("missing"), F.count("*").alias("runs"), F.slice(F.sort_array(F.flatten(F.collect_list(some))), 1, NAMED).alias("first"))
+    some = F.sequence(F.col("__n") + 1, F.col("__n") + F.least(F.col("hole"), F.lit(NAMED)))
+    named = found.withColumn("nth", nth).where(F.col("nth") <= NAMED).groupBy(*document).agg(F.slice(F.sort_array(F.flatten(F.collect_list(some))), 1, NAMED).alias("first"))
+    holes = holes.join(named, document)
     out = given.join(holes, document, "left").fillna(0, ["missing", "runs"])
     absent = F.col("missing") > 0
     if policy is None or (policy == "not_a_sequence" and not basis):

@@ -282,6 +282,19 @@ def test_tables_and_stitching(spark):
     assert [r[4] for r in got(layout.stitch(t, ["d"], "page"))] == [1, 1, 2, 3, 4]
 
 
+def test_spans_meet(spark, monkeypatch):
+    """Checks over a document or a stream in spans give what they give in one piece."""
+    rng = random.Random(3)
+    numbers = frame(spark, [(d, n) for d in "abc" for n in rng.sample(range(-40, 160), 90)] + [("c", 900), ("d", 5)], "d string, v long")
+    chain = journal.chained(frame(spark, [(s, k, f"p{k}") for s in "st" for k in range(1, 40)], "s string, k int, p string"), "s", ["k"], "p").withColumn("p", F.when((F.col("s") == "t") & (F.col("k") == 17), "x").otherwise(F.col("p"))).cache()
+    broken = chain.where("NOT (s = 's' AND k = 8)").withColumn("previous_hash", F.when((F.col("s") == "t") & (F.col("k") == 25), None).otherwise(F.col("previous_hash")))
+    want = got(R.gap_check(numbers, ["d"], "v", "forbidden")), got(journal.verify_chain(chain, "s", "p")), got(journal.verify_chain(broken, "s", "p"))
+    assert want[1] == [("s", 39, 0, None), ("t", 39, 1, 17)] and want[2] == [("s", 38, 31, 9), ("t", 39, 2, 17)]
+    monkeypatch.setattr(R, "SPAN", 8)
+    monkeypatch.setattr(journal, "SPAN", 8)
+    assert want == (got(R.gap_check(numbers, ["d"], "v", "forbidden")), got(journal.verify_chain(chain, "s", "p")), got(journal.verify_chain(broken, "s", "p")))
+
+
 def test_chain(spark):
     rows = frame(spark, [("s", k, f"p{k}") for k in range(1, 8)], "s string, k int, p string")
     chain = journal.chained(rows, "s", ["k"], "p")
