@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = "all"
@@ -104,10 +104,35 @@ def weakest(segments: DataFrame, metric: str) -> DataFrame:
     return rows.orderBy(F.desc(metric), "segment", "value").limit(1)
 
 
+#: Cuts that a group's values are dealt out by, and how closely a sketch places them.
+CUTS, ACCURACY = 128, 10_000
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """(by, n, p50, p95...): elements at number ceil(share * n), exactly."""
-    made = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").cast("double").alias(f"p{round(s * 100)}") for s in shares]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *made)
+    """(by, n, p50, p95...): elements at number ceil(share * n) in order, exactly; nulls don't count.
+
+    No group's values meet in one task's memory: a sketch of each group gives
+    cuts, exact counts between them tell in which piece an element lies and at
+    which number, and only those pieces are ordered. The cuts make pieces small,
+    never the result: pieces are counted, not estimated.
+    """
+    own = rows.select(F.struct(*by).alias("__g"), F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    steps = F.array(*(F.lit(k / CUTS) for k in range(1, CUTS)))
+    cuts = own.groupBy(F.col("__g").alias("__of")).agg(F.array_distinct(F.percentile_approx("__v", steps, ACCURACY)).alias("__cuts"))
+    below = F.size(F.filter("__cuts", lambda x: x < F.col("__v")))
+    pieces = own.join(cuts, F.col("__g").eqNullSafe(F.col("__of"))).select("__g", "__v", below.alias("__piece"))
+    counts = pieces.groupBy("__g", "__piece").agg(F.count("*").alias("__n"))
+    # A row for each piece of a group from here on.
+    counts = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__g").orderBy("__piece"))).withColumn("n", F.sum("__n").over(Window.partitionBy("__g")))
+    number = F.array(*(F.struct(F.lit(k).alias("share"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(str(x)).cast("decimal(9,6)"))).cast("long").alias("number")) for k, x in enumerate(shares)))
+    wanted = counts.select(F.col("__g").alias("__of"), F.col("__piece").alias("__in"), "__n", "__upto", "n", F.explode(number).alias("__w")).where("__w.number <= __upto AND __w.number > __upto - __n")
+    wanted = wanted.select("__of", "__in", "n", F.col("__w.share").alias("__share"), (F.col("__w.number") - F.col("__upto") + F.col("__n")).alias("__nth"))
+    same = F.col("__g").eqNullSafe(F.col("__of")) & (F.col("__piece") == F.col("__in"))
+    few = pieces.join(wanted.select("__of", "__in").distinct(), same, "left_semi").groupBy("__g", "__piece", "__v").agg(F.count("*").alias("__c"))
+    few = few.withColumn("__end", F.sum("__c").over(Window.partitionBy("__g", "__piece").orderBy("__v")))
+    hit = few.join(wanted, same & (F.col("__nth") <= F.col("__end")) & (F.col("__nth") > F.col("__end") - F.col("__c")))
+    out = hit.groupBy("__g", "n").agg(*(F.max(F.when(F.col("__share") == k, F.col("__v"))).alias(f"p{round(x * 100)}") for k, x in enumerate(shares)))
+    return out.select("__g.*", "n", *(f"p{round(x * 100)}" for x in shares))
 
 
 def full_cost(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -153,8 +178,6 @@ def template_drift(current: DataFrame, admitted: DataFrame, keys: list[str], nam
 
 def doubt_groups(doubts: DataFrame, kind: str, record: str, field: str) -> DataFrame:
     """(kind, records, fields, first, middle, last): groups of records that share a doubt, with examples by record; the largest comes first."""
-    from pyspark.sql import Window
-
     one = doubts.groupBy(kind, record).agg(F.collect_set(field).alias("f"))
     n = one.groupBy(kind).agg(F.count("*").alias("records"))
     fields = doubts.select(kind, field).distinct().groupBy(kind).agg(F.sort_array(F.collect_list(field)).alias("fields"))

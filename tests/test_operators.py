@@ -333,3 +333,10 @@ def test_quality(spark):
     assert got(quality.coverage_loss(lost, ["g"])) == [(1, 0.2)]
     values = frame(spark, [(1, float(v)) for v in (1, 2, 3, 4)], "g int, v double")
     assert got(quality.percentiles(values, ["g"], "v")) == [(1, 4, 2.0, 4.0)]
+    rng = random.Random(6)
+    odd = [(None, 2.5), (None, None), ("one", -1.0), ("none", None)] + [("many", float(rng.choice([-3, 0, 7, 7, 7, rng.random()]))) for _ in range(3000)] + [("same", 4.0)] * 700
+    out = {r["g"]: tuple(r)[1:] for r in quality.percentiles(frame(spark, odd, "g string, v double").repartition(5), ["g"], "v", (0.001, 0.5, 0.95, 1)).collect()}
+    for g in (None, "one", "many", "same"):
+        own = sorted(v for k, v in odd if k == g and v is not None)
+        assert out[g] == (len(own), *(own[max(1, -(-len(own) * x // 1000)) - 1] for x in (1, 500, 950, 1000)))
+    assert set(out) == {None, "one", "many", "same"} and quality.percentiles(values.limit(0), ["g"], "v").count() == 0
