@@ -77,10 +77,10 @@ def policy_applied(t: Tables):
 
 
 @query("""
-    SELECT CAST(doc_id AS VARCHAR) AS document_id, count_if(trim(l, ' ') <> '') AS objects, sha256(string_agg('line[' || n || ']' || l, '|' ORDER BY n) FILTER (trim(l, ' ') <> '')) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE NOT contains(text, chr(13))) GROUP BY 1 HAVING objects > 0""")
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, count_if(trim(l, ' ') <> '') AS objects, sha256(string_agg('line[' || n || ']' || l, '|' ORDER BY n) FILTER (trim(l, ' ') <> '')) AS digest FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS l, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS n FROM documents) GROUP BY 1 HAVING objects > 0""")
 def text_read(t: Tables):
     """Every document as a text file: an object for each line that isn't blank."""
-    plain = t.documents.where(~F.contains("text", F.lit("\r"))).select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").cast("binary").alias("content"))
+    plain = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").cast("binary").alias("content"))
     rows = R.read(plain, "text").withColumn("n", F.regexp_extract("structural_path", r"\[(\d+)\]", 1).cast("int"))
     told = F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat("structural_path", "raw_text").alias("x")))), lambda e: e["x"])
     return rows.groupBy("document_id").agg(F.count("*").alias("objects"), digest(F.array_join(told, "|"), "digest"))

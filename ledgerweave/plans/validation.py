@@ -209,7 +209,7 @@ def _control_set(t: Tables):
     return T.control_set(lines.unionByName(unread), declared, ["d"], "record", {"returned": returned, "kept": ~returned & (F.col("l_returnflag") != "-"), "large": large})
 
 
-@query(SET + "SELECT d, rule_id, name, status, CAST(CAST(computed AS DECIMAL(38,2)) AS VARCHAR) AS computed, CAST(CAST(declared AS DECIMAL(38,2)) AS VARCHAR) AS declared, CASE WHEN records = 0 AND rule_id = 'sum/control' THEN 0 ELSE coalesce(records, CASE WHEN rule_id = 'sum/control' THEN -1 END) END AS records FROM c")
+@query(SET + "SELECT d, rule_id, name, status, CAST(CAST(computed AS DECIMAL(38,2)) AS VARCHAR) AS computed, CAST(CAST(declared AS DECIMAL(38,2)) AS VARCHAR) AS declared, CAST(coalesce(records, CASE WHEN rule_id = 'sum/control' THEN -1 END) AS BIGINT) AS records FROM c")
 def control_set(t: Tables):
     """Four control totals of each order: the whole, two parts that cover it, and in some a third that overlaps; some orders lack a part, a value, all totals, or an amount."""
     out = _control_set(t)
