@@ -178,26 +178,31 @@ def control_set(records: DataFrame, declared: DataFrame, keys: list[str], record
     """
     exact = not isinstance(records.schema["amount"].dataType, (T.FractionalType, T.StringType)) or isinstance(records.schema["amount"].dataType, T.DecimalType)
     kind = exact_kind((declared, "value"), *([(records, "amount")] if exact else []))
-    fine, bad = collect_amounts(records, keys, "amount", "currency")
-    fine = fine.select(*keys, record, "currency", F.col("amount").try_cast(kind).alias("amount"), (_digits(records, "amount") if exact else F.lit(0)).alias("__d"))
     conditions = conditions or {}
-    named = F.array_compact(F.array(*(F.when(c, name) for name, c in conditions.items()))) if conditions else F.array().cast("array<string>")
-    member = records.select(*keys, record, F.explode(named).alias("name"))
+    names = F.array_compact(F.array(*(F.when(c, name) for name, c in conditions.items()))) if conditions else F.array().cast("array<string>")
+    rows = with_trouble(records, "amount", "currency")
+    rows = rows.select(*keys, F.col(record).alias("__record"), "currency", "trouble", F.col("amount").try_cast(kind).alias("__amount"), (_digits(records, "amount") if exact else F.lit(0)).alias("__d"), names.alias("__names"))
     if scopes is not None:
-        member = member.unionByName(scopes.select(*keys, record, "name"))
-    member = member.distinct()
-    parted = declared.select(*keys, "name").distinct().join(member.select(*keys, "name").distinct(), [*keys, "name"], "left_semi").withColumn("__part", F.lit(True))
-    lone = [F.lit(n) for n in conditions]
-    totals = declared.join(parted, [*keys, "name"], "left").withColumn("__part", F.coalesce("__part", F.col("name").isin(lone) if lone else F.lit(False), F.lit(False)))
+        given = scopes.groupBy(*keys, F.col(record).alias("__record")).agg(F.collect_set("name").alias("__scoped"))
+        rows = rows.join(given, [*keys, "__record"], "left").withColumn("__names", F.array_union("__names", F.coalesce("__scoped", F.array().cast("array<string>"))))
+    # One pass over the records: sums by the set of totals that a record belongs to. All that follows reads a few rows for each document.
+    base = rows.groupBy(*keys, F.sort_array("__names").alias("__names"), "currency", "trouble").agg(*_summed(F.col("__amount"), "__s"), F.count("*").alias("__n"), F.max("__d").alias("__d"))
+    fine = base.where("trouble IS NULL")
+    status = F.coalesce(*(F.when(F.col("trouble") == k, v) for k, v in TROUBLES.items()))
+    bad = base.where("trouble IS NOT NULL").groupBy(*keys, "trouble").agg(F.sum("__n").alias("records")).withColumn("status", status)
+    member = base.select(*keys, F.explode("__names").alias("name")).distinct()
+    parted = member.withColumn("__part", F.lit(True))
+    totals = declared.join(parted, [*keys, "name"], "left").withColumn("__part", F.coalesce("__part", F.col("name").isin(*conditions) if conditions else F.lit(False), F.lit(False)))
     troubled = bad.groupBy(*keys).agg(F.sum("records").alias("__bad"))
-    sums_of = lambda rows, *by: rows.groupBy(*keys, *by, "currency").agg(*_summed(F.col("amount"), "__s"), F.count("*").alias("__n"), F.max("__d").alias("__d"))
-    whole, inside = sums_of(fine), sums_of(fine.join(member, [*keys, record]), "name")
+    lost = F.max("__s_lost") | (exact_sum(F.col("__s")).isNull() & (F.count("__s") > 0))
+    sums_of = lambda rows, *by: rows.groupBy(*keys, *by, "currency").agg(exact_sum(F.col("__s")).alias("__sum"), lost.alias("__lost"), F.sum("__n").alias("__count"), F.max("__d").alias("__d"))
+    whole, inside = sums_of(fine), sums_of(fine.withColumn("name", F.explode("__names")), "name")
     of = lambda sums, on, part: totals.where(F.col("__part") == part).join(sums, on, "left")
     told = of(whole, [*keys, "currency"], False).unionByName(of(inside, [*keys, "name", "currency"], True)).join(troubled, keys, "left")
     zero = F.lit(0).cast(kind)
-    computed = F.when(F.col("currency").isNotNull() & F.col("__bad").isNull() & ~F.coalesce("__s_lost", F.lit(False)), F.coalesce("__s", zero).try_cast(kind))
+    computed = F.when(F.col("currency").isNotNull() & F.col("__bad").isNull() & ~F.coalesce("__lost", F.lit(False)), F.coalesce("__sum", zero).try_cast(kind))
     value = F.col("value").try_cast(kind)
-    told = told.select(*keys, "name", "currency", "__part", computed.alias("computed"), value.alias("declared"), F.coalesce("__n", F.lit(0)).alias("records"), "__d", _digits(declared, "value").alias("__v"))
+    told = told.select(*keys, "name", "currency", "__part", computed.alias("computed"), value.alias("declared"), F.coalesce("__count", F.lit(0)).alias("records"), "__d", _digits(declared, "value").alias("__v"))
     status = compared(F.col("computed"), F.col("declared"), F.coalesce("__d", "__v"), F.col("__v"), rounding)
     severity = lambda s: F.when(s == PASS, FIXABLE).otherwise(CRITICAL)
     result = lambda rows, **made: rows.select(*keys, *(made.get(c, F.lit(None).cast({"computed": kind, "declared": kind, "records": T.LongType()}.get(c, T.StringType()))).alias(c) for c in RESULT))
@@ -208,10 +213,9 @@ def control_set(records: DataFrame, declared: DataFrame, keys: list[str], record
     pages = told.where("NOT __part AND declared IS NOT NULL").join(sums, [*keys, "currency"]).withColumn("__p", F.col("__sum").try_cast(kind))
     agree = compared(F.col("__p"), F.col("declared"), F.lit(0), F.lit(0), rounding)
     parts = result(pages, rule_id=F.lit("sum/parts"), name=F.col("name"), currency=F.col("currency"), status=agree, severity=severity(agree), computed=F.col("__p"), declared=F.col("declared"), records=F.col("__n"))
-    held = totals.where("__part").select(*keys, "name").distinct()
-    covered = member.join(held, [*keys, "name"], "left_semi").groupBy(*keys, record).agg(F.count("*").alias("__of"))
-    cover = fine.select(*keys, record).join(held.select(*keys).distinct(), keys, "left_semi").join(covered, [*keys, record], "left").join(troubled, keys, "left_anti")
-    cover = cover.groupBy(*keys).agg(F.count_if(F.col("__of") > 1).alias("__twice"), F.count_if(F.col("__of").isNull()).alias("__never"), F.count("*").alias("__n"))
+    held = totals.where("__part").groupBy(*keys).agg(F.collect_set("name").alias("__held"))
+    over = fine.join(held, keys).join(troubled, keys, "left_anti").withColumn("__of", F.size(F.array_intersect("__names", "__held")))
+    cover = over.groupBy(*keys).agg(F.sum(F.when(F.col("__of") > 1, F.col("__n")).otherwise(0)).alias("__twice"), F.sum(F.when(F.col("__of") == 0, F.col("__n")).otherwise(0)).alias("__never"), F.sum("__n").alias("__n"))
     twice, never = F.col("__twice") > 0, F.col("__never") > 0
     cover = result(cover, rule_id=F.when(twice, "sum/overlap").otherwise("sum/cover"), status=F.when(twice, FAIL).when(never, UNKNOWN).otherwise(PASS), severity=F.when(twice, CRITICAL).otherwise(FIXABLE), records=F.when(twice, F.col("__twice")).when(never, F.col("__never")).otherwise(F.col("__n")))
     out = control
