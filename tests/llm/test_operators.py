@@ -304,7 +304,7 @@ def test_toxicity(spark, odd, none):
     held = [(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     bad, good = ([s for s, t in held if t == k] for k in (1, 0))
-    assert sum(s >= 0.7 for s in bad) >= 0.65 * len(bad) and sum(s >= 0.7 for s in good) <= 0.01 * len(good)
+    assert sum(s >= 0.7 for s in bad) >= 0.75 * len(bad) and sum(s >= 0.7 for s in good) <= 0.01 * len(good)  # README has the figures
     assert toxicity.toxic_scores(odd, labels.withColumn("text", F.lit("clash"))).count() == len(ODD)
     assert {r["score"] for r in toxicity.toxic_scores(odd, labels.limit(0)).collect()} == {0.5}
     assert toxicity.toxic_scores(none, labels).count() == 0 and toxicity.drop_toxic(odd, labels).columns == odd.columns
