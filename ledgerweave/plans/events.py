@@ -59,11 +59,11 @@ def history_latest(t: Tables):
 
 
 @query("""
-    WITH e AS (SELECT event_id % 200 AS o, event_id, value FROM events WHERE event_type = 'click'), l AS (SELECT o, arg_max(value, event_id) AS v FROM e GROUP BY 1)
+    WITH e AS (SELECT event_id % 200 AS o, event_id, value FROM events), l AS (SELECT o, arg_max(value, event_id) AS v FROM e GROUP BY 1)
     SELECT o_orderkey, o_totalprice, coalesce(v, o_totalprice) AS corrected_o_totalprice FROM orders LEFT JOIN l ON o = o_orderkey""")
 def corrected_copy(t: Tables):
     """Corrections are a layer of their own; the primary value stays beside the corrected one."""
-    told = t.events.where("event_type = 'click'").select((F.col("event_id") % 200).alias("o_orderkey"), "event_id", F.col("value").alias("new_value"))
+    told = t.events.select((F.col("event_id") % 200).alias("o_orderkey"), "event_id", F.col("value").alias("new_value"))
     return J.corrected(t.orders.select("o_orderkey", "o_totalprice"), told, ["o_orderkey"], ["event_id"], "o_totalprice")
 
 

@@ -181,11 +181,6 @@ def inspect_archives(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return files.where(input_policy(F.col("content")) == "zip").select("document_id", "content").mapInPandas(run, "document_id string, codes array<string>")
 
 
-def missing_from(store: DataFrame, local: DataFrame) -> DataFrame:
-    """What a store lacks by name and fingerprint: the part that a save sends."""
-    return local.join(store.select("name", "document_id"), ["name", "document_id"], "left_anti")
-
-
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a small file to any path that Spark writes to: under a name of its own first, then in place at once."""
     jvm = spark._jvm.org.apache.hadoop.fs
