@@ -218,16 +218,35 @@ def exposed(components: DataFrame, feed: DataFrame, name: str, version: str) ->
     return components.join(feed, name).where(hit)
 
 
+#: Seconds that a window over marks goes over at most.
+DAY = 86_400
+
+
 def stalls(marks: DataFrame, key: str, time: str, limit_seconds: float) -> DataFrame:
-    """(key, from, to, seconds): silences of at least the limit between neighbouring marks."""
-    w = Window.partitionBy(key).orderBy(time)
-    after = F.lead(time).over(w)
-    seconds = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1_000_000
-    return marks.select(key, F.col(time).alias("from"), after.alias("to"), seconds.alias("seconds")).where(F.col("seconds") >= limit_seconds)
+    """(key, from, to, seconds): silences of at least the limit between neighbouring marks.
+
+    Neighbours are looked for within days, and between the last mark of a day and
+    the first of the next that has one: no key's marks meet in one task.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = marks.select(key, F.col(time).alias("from"), F.floor(micros / (DAY * 1_000_000)).alias("__day"))
+    inside = rows.withColumn("to", F.lead("from").over(Window.partitionBy(key, "__day").orderBy("from")))
+    edges = rows.groupBy(key, "__day").agg(F.max("from").alias("from"), F.min("from").alias("__first"))
+    edges = edges.withColumn("to", F.lead("__first").over(Window.partitionBy(key).orderBy("__day")))
+    both = inside.select(key, "from", "to").unionByName(edges.select(key, "from", "to"))
+    seconds = (F.unix_micros(F.col("to").cast("timestamp")) - F.unix_micros(F.col("from").cast("timestamp"))) / 1_000_000
+    return both.withColumn("seconds", seconds).where(F.col("seconds") >= limit_seconds)
 
 
 def cut_parts(entries: DataFrame, stream: str, size: Column, limit: int) -> DataFrame:
-    """entries with part: a new part begins where the bytes before an entry reach another multiple of the limit."""
-    w = Window.partitionBy(stream).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return entries.withColumn("part", F.floor(before / limit).cast("long"))
+    """entries with part: a new part begins where the bytes before an entry reach another multiple of the limit.
+
+    Bytes are summed within spans of sequence numbers, on top of those of the spans before.
+    """
+    rows = entries.withColumn("__size", size).withColumn("__span", F.floor(F.col("sequence") / SPAN))
+    before = Window.partitionBy(stream).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(stream, "__span").agg(F.sum("__size").alias("__bytes"))
+    spans = spans.select(F.col(stream).alias("__s"), F.col("__span").alias("__of"), F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__before"))
+    own = Window.partitionBy(stream, "__span").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__own", F.coalesce(F.sum("__size").over(own), F.lit(0))).join(spans, F.col(stream).eqNullSafe(F.col("__s")) & (F.col("__span") == F.col("__of")))
+    return rows.select(*entries.columns, F.floor((F.col("__before") + F.col("__own")) / limit).cast("long").alias("part"))

@@ -1,5 +1,6 @@
 """Operators on literal rows: every branch of a tri-state, ties, nulls and empty tables."""
 
+import datetime as dt
 import random
 from decimal import Decimal
 
@@ -290,8 +291,15 @@ def test_spans_meet(spark, monkeypatch):
     broken = chain.where("NOT (s = 's' AND k = 8)").withColumn("previous_hash", F.when((F.col("s") == "t") & (F.col("k") == 25), None).otherwise(F.col("previous_hash")))
     want = got(R.gap_check(numbers, ["d"], "v", "forbidden")), got(journal.verify_chain(chain, "s", "p")), got(journal.verify_chain(broken, "s", "p"))
     assert want[1] == [("s", 39, 0, None), ("t", 39, 1, 17)] and want[2] == [("s", 38, 31, 9), ("t", 39, 2, 17)]
+    cut = lambda: got(journal.cut_parts(chain.select("s", "sequence"), "s", F.col("sequence") % 5 + 1, 7))
+    sizes, want_parts = [k % 5 + 1 for k in range(1, 40)], cut()
+    assert {r[1]: r[2] for r in want_parts if r[0] == "s"} == {k + 1: sum(sizes[:k]) // 7 for k in range(39)}
     monkeypatch.setattr(R, "SPAN", 8)
     monkeypatch.setattr(journal, "SPAN", 8)
+    assert cut() == want_parts
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    marks = frame(spark, [("a", at(s)) for s in (0, 100, 400, 86_300, 86_500, 400_000, 400_000)] + [("b", at(5))], "k string, t timestamp")
+    assert [r[3] for r in got(journal.stalls(marks, "k", "t", 210))] == [300.0, 85_900.0, 313_500.0] and [r[3] for r in got(journal.stalls(marks, "k", "t", 200))][-2:] == [200.0, 313_500.0]
     assert want == (got(R.gap_check(numbers, ["d"], "v", "forbidden")), got(journal.verify_chain(chain, "s", "p")), got(journal.verify_chain(broken, "s", "p")))
 
 
