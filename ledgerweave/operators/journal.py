@@ -30,14 +30,15 @@ def chained(rows: DataFrame, stream: str, order: list[str], payload: str, heads:
     if heads is None:
         told = rows.select(*names, start)
     else:
-        told = rows.join(heads.select(stream, F.struct("sequence", "hash").alias("__head")), stream, "left")
+        told = rows.join(heads.select(F.col(stream).alias("__of"), F.struct("sequence", "hash").alias("__head")), F.col(stream).eqNullSafe(F.col("__of")), "left")
     told = told.select(*names, F.coalesce("__head.sequence", F.lit(0)).alias("__at"), F.coalesce("__head.hash", F.lit(GENESIS)).alias("__last"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, k, last = object(), 0, GENESIS
         for b in batches:
             counted, before, own = [], [], []
-            for s, p, first, head in zip(b[stream], b[payload], b["__at"], b["__last"], strict=True):
+            streams = b[stream].astype(object).where(b[stream].notna(), None)
+            for s, p, first, head in zip(streams, b[payload], b["__at"], b["__last"], strict=True):
                 if s != key:
                     key, k, last = s, int(first), head
                 k += 1
@@ -61,9 +62,10 @@ def verify_chain(entries: DataFrame, stream: str, payload: str) -> DataFrame:
     rows = entries.withColumn("__span", F.floor(F.col("sequence") / SPAN))
     spans = rows.groupBy(stream, "__span").agg(F.count("*").alias("__n"), F.max_by("hash", "sequence").alias("__end"))
     before = Window.partitionBy(stream).orderBy("__span")
-    spans = spans.select(stream, "__span", F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.coalesce(F.lag("__end").over(before), F.lit(GENESIS)).alias("__link"))
+    spans = spans.select(F.col(stream).alias("__s"), F.col("__span").alias("__of"), F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.coalesce(F.lag("__end").over(before), F.lit(GENESIS)).alias("__link"))
     w = Window.partitionBy(stream, "__span").orderBy("sequence")
-    rows = rows.withColumn("__nth", F.row_number().over(w)).withColumn("__last", F.lag("hash").over(w)).join(spans, [stream, "__span"])
+    rows = rows.withColumn("__nth", F.row_number().over(w)).withColumn("__last", F.lag("hash").over(w))
+    rows = rows.join(spans, F.col(stream).eqNullSafe(F.col("__s")) & F.col("__span").eqNullSafe(F.col("__of")))
     linked = F.col("previous_hash") == F.coalesce("__last", "__link")
     counted = F.col("sequence") == F.col("__before") + F.col("__nth")
     own = F.col("hash") == entry_hash(F.col("sequence"), F.col("previous_hash"), F.col(payload))

@@ -100,7 +100,8 @@ def append_chained(path: str, stream: str, order: list[str], payload: str):
         columns = [stream, "sequence", "previous_hash", payload, "hash"]
         last = written.groupBy(stream).agg(F.max_by(F.struct(*columns[1:]), "sequence").alias("t")).select(stream, "t.*")
         if tails is not None:
-            last = last.unionByName(tails.join(last.select(stream), stream, "left_anti").select(*columns))
+            now = last.select(F.col(stream).alias("__of"))
+            last = last.unionByName(tails.join(now, F.col(stream).eqNullSafe(F.col("__of")), "left_anti").select(*columns))
         last.write.mode("overwrite").parquet(f"{path}/tails/after={batch_id}")
 
     return write
