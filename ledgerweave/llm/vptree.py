@@ -39,6 +39,8 @@ K, EVERY = 20, 20
 SHARD, LEAF, PART, STEP = 16_384, 64, 32_768, 1_024
 #: Regions of one length of vectors, and points of the sample that they are drawn from, at most.
 MOST_REGIONS, SAMPLE = 1_024, 16_384
+#: Bytes of a shard's points and of a sample, at most: long vectors have smaller shards and samples.
+HELD_BYTES = 32 << 20
 #: How much the pruning is relaxed: a leaf or region is left out where FACTOR times its bound exceeds the k-th distance.
 FACTOR = 2.0
 
@@ -299,12 +301,14 @@ def nearest_vectors(vectors: DataFrame, k: int = K, every: int = EVERY, factor:
     if not stats:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = {s["dims"]: float(s["most"]) ** 0.5 for s in stats}
+    room = {s["dims"]: max(256, HELD_BYTES // (8 * (s["dims"] + 1))) for s in stats}
     routers = {}
-    for s in stats:
-        if s["n"] > shard:
-            draw = F.shiftrightunsigned(F.xxhash64("v"), 1) < F.lit(int(min(1.0, SAMPLE / s["n"]) * (2**63 - 1025)))
-            sample = rows.where((F.col("dims") == s["dims"]) & draw).select("v").distinct().orderBy("v").limit(2 * SAMPLE).collect()
-            routers[s["dims"]] = Router(_lifted(np.array([r["v"] for r in sample], np.float64).reshape(-1, s["dims"]), longest[s["dims"]]), min(MOST_REGIONS, -(-s["n"] // shard)))
+    for dims, n in ((s["dims"], s["n"]) for s in stats):
+        size, drawn = min(shard, room[dims]), min(SAMPLE, room[dims])
+        if n > size:
+            draw = F.shiftrightunsigned(F.xxhash64("v"), 1) < F.lit(int(min(1.0, drawn / n) * (2**63 - 1025)))
+            sample = rows.where((F.col("dims") == dims) & draw).select("v").distinct().orderBy("v").limit(2 * drawn).collect()
+            routers[dims] = Router(_lifted(np.array([r["v"] for r in sample], np.float64).reshape(-1, dims), longest[dims]), min(MOST_REGIONS, -(-n // size)))
     # A point keeps the k + 1 smallest ids of its equal vectors; row_number's limit is applied before the shuffle, too.
     least = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     points = rows.select("id", "v", "dims").withColumn("nth", least).where(F.col("nth") <= k + 1)
@@ -312,7 +316,7 @@ def nearest_vectors(vectors: DataFrame, k: int = K, every: int = EVERY, factor:
     points = written(points.mapInArrow(_assign(routers, longest, True), f"dims int, v {kind}, ids array<long>, region int"), "vp-points")
     asked = rows.where(F.col("id") % every == 0).select("id", "v", "dims")
     asked = written(asked.mapInArrow(_assign(routers, longest, False), f"id long, v {kind}, dims int, region int"), "vp-queries")
-    shards = {(r["dims"], r["region"]): -(-r["n"] // shard) for r in points.groupBy("dims", "region").agg(F.count("*").alias("n")).collect()}  # a row for each region
+    shards = {(r["dims"], r["region"]): -(-r["n"] // min(shard, room[r["dims"]])) for r in points.groupBy("dims", "region").agg(F.count("*").alias("n")).collect()}  # a row for each region
 
     def met(visits: DataFrame) -> DataFrame:
         """Visits: id, v, dims, region, near. Each meets all shards of its region."""
