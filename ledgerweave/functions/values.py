@@ -60,7 +60,7 @@ def with_money(rows: DataFrame, raw: Column, name: str, rules: MoneyRules) -> Da
     declared = F.lit(rules.decimal).cast("string")
     rows = rows.withColumn("__point", c("__one").eqNullSafe(declared)).withColumn("__group", c("__one").eqNullSafe(F.lit(rules.group).cast("string")))
     three = F.char_length(F.call_function("substring_index", c("__bare"), F.coalesce("__one", F.lit(".")), F.lit(-1))) == 3
-    rows = rows.withColumn("__three", three).withColumn("__digits", c("__bare").rlike("^[0-9]+$"))
+    rows = rows.withColumn("__three", three).withColumn("__left", F.translate("__bare", "0123456789", "")).withColumn("__digits", (c("__left") == "") & (c("__bare") != ""))
     plain, pointed = F.translate("__bare", ".,", ""), F.translate("__bare", ",", ".")
     last_dot = F.instr(F.reverse("__bare"), ".") < F.instr(F.reverse("__bare"), ",")
     cents = F.lpad(c("__bare"), F.greatest(F.char_length("__bare"), F.lit(3)), "0")
@@ -74,21 +74,21 @@ def with_money(rows: DataFrame, raw: Column, name: str, rules: MoneyRules) -> Da
         (declared.isNull() & ~c("__three"), pointed),
     )
     rows = rows.withColumn("__number", number)
-    shape = c("__number").rlike("^[0-9]*(\\.[0-9]*)?$") & c("__number").rlike("[0-9]")
+    shape = F.translate("__number", "0123456789", "").isin("", ".") & ~c("__number").isin("", ".")
     rows = rows.withColumn("__number", F.when(shape, c("__number")))
-    whole, fraction = F.regexp_replace(F.substring_index("__number", ".", 1), "^0+", ""), F.regexp_extract("__number", "\\.([0-9]*)$", 1)
-    rows = rows.withColumn("__whole", F.when(whole == "", "0").otherwise(whole)).withColumn("__fraction", fraction)
-    kept_digits = F.regexp_replace("__fraction", "0+$", "")
-    fits = (F.char_length(kept_digits) <= rules.scale) & (F.char_length("__whole") <= 38 - rules.scale)
-    plain_text = F.concat(c("__whole"), F.when(c("__fraction") != "", F.concat(F.lit("."), c("__fraction"))).otherwise(""))
-    signed = F.concat(F.when(c("__minus") & plain_text.rlike("[1-9]"), "-").otherwise(""), plain_text)
+    whole = F.ltrim(F.substring_index("__number", ".", 1), F.lit("0"))
+    fraction = F.when(F.contains(c("__number"), F.lit(".")), F.substring_index("__number", ".", -1)).otherwise("")
+    rows = rows.withColumn("__whole", F.when(whole == "", "0").otherwise(whole)).withColumn("__fraction", F.when(c("__number").isNotNull(), fraction))
+    fits = (F.char_length(F.rtrim("__fraction", F.lit("0"))) <= rules.scale) & (F.char_length("__whole") <= 38 - rules.scale)
+    plain_text = F.when(c("__fraction") == "", c("__whole")).otherwise(F.concat(c("__whole"), F.lit("."), c("__fraction")))
+    signed = F.when(c("__minus") & (F.translate(plain_text, "0.", "") != ""), F.concat(F.lit("-"), plain_text)).otherwise(plain_text)
     rows = rows.withColumn("__fits", F.when(c("__number").isNotNull(), fits)).withColumn("__exact", signed)
     rows = rows.withColumn("__value", F.when(c("__fits"), c("__exact").try_cast(f"decimal(38,{rules.scale})")))
     lone = ~c("__both") & c("__one").isNotNull() & (c("__dots") + c("__commas") == 1) & ~c("__point") & ~c("__group")
     refusal = _first(
         (c("__raw").isNull() | (F.trim("__raw") == ""), F.lit("E_TYPE_EMPTY")),
         (c("__brackets") & F.lit(not rules.parentheses), F.lit("E_TYPE_NO_RULE")),
-        ((c("__bare") == "") | c("__bare").rlike("\\p{L}"), F.lit("E_TYPE_NOT_A_NUMBER")),
+        ((c("__bare") == "") | (~c("__left").isin("", ".", ",") & c("__left").rlike("\\p{L}")), F.lit("E_TYPE_NOT_A_NUMBER")),
         (c("__one").isNull() & c("__digits") & F.lit(rules.implicit_cents is None), F.lit("E_TYPE_AMBIGUOUS_AMOUNT")),
         (lone & declared.isNotNull(), F.lit("E_TYPE_NO_RULE")),
         (lone & declared.isNull() & c("__three"), F.lit("E_TYPE_AMBIGUOUS_AMOUNT")),

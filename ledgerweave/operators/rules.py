@@ -246,6 +246,10 @@ CONJUNCTS = (
 )
 
 
+#: Conjuncts whose states one number holds, four bits each.
+FOLDED = 15
+
+
 def observe(rows: DataFrame, keys: list[str], conjuncts: dict[str, list[Rule]]) -> DataFrame:
     """(keys, conjunct, state, critical): the rules of all rows of a record folded into one observation of each conjunct.
 
@@ -254,21 +258,23 @@ def observe(rows: DataFrame, keys: list[str], conjuncts: dict[str, list[Rule]])
     """
     told = {(c, k): f"__{c}_{k}" for c, rules in conjuncts.items() for k in range(len(rules))}
     flat = rows.select(*keys, *(conjuncts[c][k].status.alias(name) for (c, k), name in told.items()))
-    any_of = lambda holds: F.coalesce(F.max(holds), F.lit(False))
-    parts = []
-    for c, rules in conjuncts.items():
-        own = [F.col(told[c, k]) for k in range(len(rules))]
-        failed, critical, open_, said = F.lit(False), F.lit(False), F.lit(False), F.lit(False)
-        for s, rule in zip(own, rules, strict=True):
-            failed = failed | F.coalesce(s == FAIL, F.lit(False))
-            critical = critical | (F.coalesce(s == FAIL, F.lit(False)) & F.lit(rule.severity == CRITICAL))
-            open_ = open_ | F.coalesce(~s.isin(PASS, FAIL), F.lit(False))
-            said = said | s.isNotNull()
-        parts.append((c, any_of(failed), any_of(critical), any_of(open_), any_of(said)))
-    n = flat.groupBy(*keys).agg(*(x.alias(f"{c}__{k}") for c, *columns in parts for k, x in zip(("failed", "critical", "open", "said"), columns, strict=True)))
-    of = lambda c, k: F.col(f"{c}__{k}")
-    cells = F.array(*(F.struct(F.lit(c).alias("conjunct"), F.when(of(c, "failed"), "NO").when(of(c, "open") | ~of(c, "said"), "UNKNOWN").otherwise("YES").alias("state"), of(c, "critical").alias("critical")) for c in conjuncts))
-    return n.select(*keys, F.explode(cells).alias("__o")).select(*keys, "__o.*")
+    # Four bits for each conjunct: failed, failed critically, open, told at all. A record's rows fold by or, FOLDED conjuncts in a number.
+    names, masks = list(conjuncts), []
+    for at in range(0, len(names), FOLDED):
+        mask = F.lit(0).cast("long")
+        for place, c in enumerate(names[at : at + FOLDED]):
+            for k, rule in enumerate(conjuncts[c]):
+                s = F.col(told[c, k])
+                bits = F.when(s.isNull(), 0).when(s == PASS, 8).when(s == FAIL, 11 if rule.severity == CRITICAL else 9).otherwise(12).cast("long")
+                mask = mask.bitwiseOR(F.shiftleft(bits, 4 * place))
+        masks.append(mask)
+    n = flat.select(*keys, *(m.alias(f"__mask_{i}") for i, m in enumerate(masks))).groupBy(*keys).agg(*(F.bit_or(f"__mask_{i}").alias(f"__mask_{i}") for i in range(len(masks))))
+    cells = []
+    for place, c in enumerate(names):
+        own = F.shiftright(f"__mask_{place // FOLDED}", 4 * (place % FOLDED)).bitwiseAND(15)
+        state = F.when(own.bitwiseAND(1) > 0, "NO").when((own.bitwiseAND(4) > 0) | (own == 0), "UNKNOWN").otherwise("YES")
+        cells.append(F.struct(F.lit(c).alias("conjunct"), state.alias("state"), (own.bitwiseAND(2) > 0).alias("critical")))
+    return n.select(*keys, F.explode(F.array(*cells)).alias("__o")).select(*keys, "__o.*")
 
 
 def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjuncts: list[str] | tuple[str, ...] = CONJUNCTS, run_ok: bool = True) -> DataFrame:
@@ -279,7 +285,7 @@ def decide(records: DataFrame, observations: DataFrame, keys: list[str], conjunc
     record gets no status, and goes to the sheet ERRORS with its code. A blocked
     or failed run gives no status either.
     """
-    if len(conjuncts) > 15:
+    if len(conjuncts) > FOLDED:
         raise ValueError("a formula has fifteen conjuncts at most")
     # Four bits for each conjunct tell which states were seen of it: one number for each record, folded in one pass.
     place = F.coalesce(*(F.when(F.col("conjunct") == c, 4 * k) for k, c in enumerate(conjuncts)))
