@@ -48,6 +48,27 @@ def test_query(spark, sf, duck, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in rows) == want
 
 
+@pytest.mark.parametrize(
+    "pages",
+    [
+        [(i, f"http://{i:05}/" + "u" * 21000) for i in range(80)],  # all too large, many of one size
+        [(i, "u" * (21000 if i % 2 else 3)) for i in range(80)],  # texts that are equal, read or not
+        [(i, f"u{i}") for i in range(40) if i != 7] + [(None, "v"), (80, None)],  # no empty file; pages without an id
+        [],
+    ],
+    ids=["one size", "equal", "no id", "none"],
+)
+def test_each_different_file_is_taken_in_once(spark, tmp_path, pages):
+    """files_accepted tells files that are too large apart by their text, as its SQL does."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalogue.queries()["files_accepted"](spark, str(tmp_path)).select("document_id", "size", "refusals").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT document_id, size, refusals FROM ({catalogue.oracle_sql()['files_accepted']})").fetchall()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_without_the_llm_parts(tmp_path):
     """The driver's contract holds when the llm folders and the pipeline are gone."""
     shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "spark-warehouse", "__pycache__"))
